@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulary.llm import exact_dedup
+from formulary.llm import exact_dedup, mixing
 from formulary.llm.storage import table
 
 
@@ -26,9 +26,43 @@ FROM t WINDOW w AS (PARTITION BY text_sha256)
 """
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.copies(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
+
+
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS size,
+         ('0x' || substr(md5(CAST(doc_id AS VARCHAR)), 1, 3))::INTEGER AS bucket
+  FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (
+  SELECT source, source_size, 2.0::DOUBLE * source_size AS most,
+         list_extract([3.0, 1.0, 2.0]::DOUBLE[], (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1) AS weight
+  FROM s),
+l AS (
+  SELECT source, source_size, most, weight,
+         ((SELECT sum(source_size) FROM s) * 1.5::DOUBLE - coalesce(sum(most) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM w WINDOW o AS (ORDER BY most / weight, source NULLS LAST)),
+t AS (
+  SELECT source, source_size,
+         least(most, coalesce((SELECT max(level) FROM l WHERE level < most / weight) * weight, most)) AS target,
+         ('0x' || substr(md5('mix:' || coalesce(source, chr(1))), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u
+  FROM l),
+r AS (
+  SELECT d.*, t.source_size, t.target, t.u, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS f,
+         row_number() OVER (PARTITION BY d.source ORDER BY d.size, d.bucket, d.doc_id) AS rank
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, target, (floor(rank * f + u) - floor((rank - 1) * f + u))::BIGINT * size AS taken
+FROM r
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL}
