@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulary.llm import exact_dedup, mixing, quality, warc
+from formulary.llm import exact_dedup, mixing, near_dedup, quality, warc
 from formulary.llm.storage import table
 
 
@@ -60,6 +60,10 @@ FROM r
 """
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.classes(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -88,7 +92,7 @@ FROM b WINDOW w AS (PARTITION BY payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op8_quality": op8_quality, "op10_warc": op10_warc}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op8_quality": op8_quality, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
