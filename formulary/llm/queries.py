@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulary.llm import exact_dedup, mixing, near_dedup, quality, warc
+from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, warc
 from formulary.llm.storage import table
 
 
@@ -64,6 +64,54 @@ def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.classes(table(spark, sf_dir, "documents"), k=3, num=9, den=10)
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = line_dedup.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode("text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+OP4_SQL = r"""
+WITH l AS (
+  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS content, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 AS line
+  FROM documents),
+w AS (SELECT doc_id, line, content, list_filter(regexp_split_to_array(content, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM l),
+u AS (SELECT words, len(words) AS n, min(ROW(doc_id, line)) AS place FROM w WHERE len(words) > 0 GROUP BY words),
+v AS (
+  SELECT place, n, unnest(range(n)) AS i, words FROM u WHERE n >= 8),
+d AS (SELECT place, n, i, array_to_string(list_concat(words[1:i], words[i + 2:]), ' ') AS key FROM v),
+f AS (SELECT place, array_to_string(words, ' ') AS key FROM u WHERE n >= 8),
+near AS (
+  SELECT a.place FROM d a JOIN (SELECT key, i, min(place) AS p FROM d GROUP BY key, i) b ON a.key = b.key AND a.i = b.i AND b.p < a.place
+  UNION SELECT f.place FROM f JOIN d ON f.key = d.key AND d.place < f.place
+  UNION SELECT d.place FROM f JOIN d ON f.key = d.key AND f.place < d.place),
+k AS (SELECT place FROM u WHERE place NOT IN (SELECT place FROM near)),
+s AS (
+  SELECT w.doc_id, w.line, w.content, len(w.words) = 0 OR k.place IS NOT NULL AS stays
+  FROM w LEFT JOIN k ON k.place = ROW(w.doc_id, w.line))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_removed,
+       sha256(coalesce(string_agg(content, chr(10) ORDER BY line) FILTER (stays), '')) AS kept_sha256
+FROM s GROUP BY doc_id
+"""
+
+
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS item FROM benchmark),
+dw AS (SELECT doc_id, len(words) AS n, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM d),
+bw AS (SELECT item_id, len(item) AS m, unnest(item) AS word, generate_subscripts(item, 1) - 1 AS q FROM b WHERE len(item) > 0),
+same AS (SELECT doc_id, item_id, n, m, p - q AS shift, list(q) AS places, count(*) AS k FROM dw JOIN bw USING (word) GROUP BY ALL),
+ok AS (
+  SELECT doc_id, item_id, k FROM same
+  WHERE m >= 12 AND k >= 11
+    AND len(list_filter(range(m - 11), lambda s: shift + s >= 0 AND shift + s + 12 <= n AND len(list_filter(places, lambda x: x >= s AND x < s + 12)) >= 11)) > 0
+  UNION ALL SELECT doc_id, item_id, k FROM same WHERE m < 12 AND k = m)
+SELECT doc_id, item_id, max(k) AS overlap FROM ok GROUP BY doc_id, item_id
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -92,8 +140,8 @@ FROM b WINDOW w AS (PARTITION BY payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op8_quality": op8_quality, "op10_warc": op10_warc}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op10_warc": OP10_SQL}
+    return {"op1_exact_dedup": OP1_SQL, "op2_mixing": OP2_SQL, "op4_line_dedup": OP4_SQL, "op6_decontaminate": OP6_SQL, "op10_warc": OP10_SQL}
