@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, warc
+from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, warc
 from formulary.llm.storage import table
 
 
@@ -93,6 +93,11 @@ FROM s GROUP BY doc_id
 """
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.deduped(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.encode("kept", "UTF-8"), 256).alias("kept_sha256"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -140,7 +145,7 @@ FROM b WINDOW w AS (PARTITION BY payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op10_warc": op10_warc}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:

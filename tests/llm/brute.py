@@ -43,3 +43,22 @@ def near_classes(rows: list[tuple[int, str | None]], k: int, num: int, den: int)
         r = root(i)
         least[r] = min(least.get(r, doc), doc)
     return {(doc, len(sets[i]), least[root(i)]) for i, (doc, _) in enumerate(rows)}
+
+
+def without_repeats(rows: list[tuple[int, str | None]], window: int) -> list[tuple[int, int, int, str]]:
+    """(doc_id, words, words removed, kept text): words covered by a window that starts twice or more go."""
+    split = [WORD.findall(text or "") for _, text in rows]
+    seen: dict[tuple, int] = {}
+    for w in split:
+        for i in range(len(w) - window + 1):
+            key = tuple(w[i : i + window])
+            seen[key] = seen.get(key, 0) + 1
+    out = []
+    for (doc, _), w in zip(rows, split, strict=True):
+        covered = set()
+        for i in range(len(w) - window + 1):
+            if seen[tuple(w[i : i + window])] > 1:
+                covered.update(range(i, i + window))
+        kept = [x for i, x in enumerate(w) if i not in covered]
+        out.append((doc, len(w), len(covered), " ".join(kept)))
+    return sorted(out)
