@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, warc
+from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_tree_lm, warc
 from formulary.llm.storage import table
 
 
@@ -124,6 +124,10 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
+def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = warc.round_trip(table(spark, sf_dir, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -145,7 +149,7 @@ FROM b WINDOW w AS (PARTITION BY payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op10_warc": op10_warc}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op9_suffix_tree_lm": op9_suffix_tree_lm, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
