@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_tree_lm, warc
+from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_tree_lm, token_counts, warc
 from formulary.llm.storage import table
 
 
@@ -117,6 +117,10 @@ SELECT doc_id, item_id, max(k) AS overlap FROM ok GROUP BY doc_id, item_id
 """
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counted(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -149,7 +153,7 @@ FROM b WINDOW w AS (PARTITION BY payload_digest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op8_quality": op8_quality, "op9_suffix_tree_lm": op9_suffix_tree_lm, "op10_warc": op10_warc}
+    return {"op1_exact_dedup": op1_exact_dedup, "op2_mixing": op2_mixing, "op3_ngram_join": op3_ngram_join, "op4_line_dedup": op4_line_dedup, "op5_substring_dedup": op5_substring_dedup, "op6_decontaminate": op6_decontaminate, "op7_token_counts": op7_token_counts, "op8_quality": op8_quality, "op9_suffix_tree_lm": op9_suffix_tree_lm, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
