@@ -5,8 +5,8 @@ spelt: the bytes of the words with one space between two, and the end as a symbo
 of its own. A node is a context of up to DEPTH bytes.
 
 A context s stays in the tree if it says something that the context without its
-first byte does not: N(s) * KL(P(.|s) || P(.|shorter s)) >= threshold * N, with
-counts over all training texts. Summed over the contexts of one length, the left
+first byte does not: N(s) * KL(P(.|s) || P(.|shorter s)) >= threshold * N, and at
+least LEAST_BITS, with counts over all training texts. Summed over the contexts of one length, the left
 side is at most 8 bits for each of the N symbols, so at most 8 / threshold
 contexts of a length stay, whatever the corpus: a proven bound on what is
 collected and broadcast. Only contexts with N(s) >= threshold * N / 8 can pass, so
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,15 +43,19 @@ from formulary.llm import words
 from formulary.llm.storage import written
 
 U64 = np.uint64
-#: Bytes of the longest context; with the next byte, 64 bits.
-DEPTH = 7
-#: Share of a bit for each training symbol that a context must save to stay.
+#: Bytes of the longest context; with the next byte, 48 bits.
+DEPTH = 5
+#: Bits for each training symbol that a context must save to stay.
 THRESHOLD = 2e-6
+#: Bits that it must save in any case, so that chance does not pass for knowledge in a small corpus.
+LEAST_BITS = 40.0
 #: Weight of the shorter context's distribution, in symbols.
 PRIOR = 6.0
 END = 0x0A
 #: Bytes of text of one block.
 BLOCK_BYTES = 24 << 20
+#: Grams that a task counts before it passes its different grams on.
+FLUSH_GRAMS = 5_000_000
 #: Words that a task counts before it passes its different words on.
 FLUSH_WORDS = 5_000_000
 #: Bytes that an automaton runs over at once on each of many tracks.
@@ -114,7 +119,7 @@ def counted_grams(texts: DataFrame) -> DataFrame:
             for part in words.text_slices(batch):
                 held.append(gram_counts(*spelling(*words.flat(part.column("text")))))
                 size += len(held[-1][0])
-                if size >= 2_000_000:
+                if size >= FLUSH_GRAMS:
                     yield flush()
                     held, size = [], 0
         if size:
@@ -123,6 +128,49 @@ def counted_grams(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
 
 
+@dataclass
+class Counts:
+    """A tree as counts; small to send, and made into an automaton where it is used."""
+
+    #: Sorted contexts of each length, closed under prefixes and suffixes.
+    contexts: list[np.ndarray]
+    #: Of each length: place of the context, symbol and count.
+    entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
+    prior: float
+
+    @cached_property
+    def tree(self) -> Tree:
+        place, symbol, n = self.entries[0]
+        seen = np.union1d(symbol, [0x20, END]).astype(np.int64)
+        kind = np.full(256, len(seen), dtype=np.int64)
+        kind[seen] = np.arange(len(seen))
+        unseen = 256 - len(seen)
+        width = len(seen) + (unseen > 0)
+        spread = np.ones(width)
+        spread[len(seen) :] = unseen  # byte values of one class
+        base = np.r_[0, np.cumsum([len(x) for x in self.contexts])]
+        smooth: list[np.ndarray] = []
+        then = np.zeros((int(base[-1]), width), dtype=np.int32)
+        for d, (contexts, (place, symbol, n)) in enumerate(zip(self.contexts, self.entries, strict=True)):
+            counts = np.zeros((len(contexts), width))
+            counts[place, kind[symbol]] = n
+            size = counts.sum(axis=1, keepdims=True)
+            own = slice(base[d], base[d + 1])
+            if d:  # as without the first byte, unless a longer context goes on
+                shorter = np.searchsorted(self.contexts[d - 1], contexts & keys(d - 1))
+                smooth.append((counts + self.prior * smooth[d - 1][shorter]) / (size + self.prior))
+                then[own] = then[base[d - 1] + shorter]
+            else:
+                smooth.append((counts + 0.5 * spread) / (size + 128.0))
+            if d + 1 < len(self.contexts):
+                longer = self.contexts[d + 1]
+                then[base[d] + np.searchsorted(contexts, longer >> 8), kind[longer & 255]] = base[d + 1] + np.arange(len(longer))
+        ends = 0
+        for _ in range(DEPTH):
+            ends = int(then[ends, kind[END]])
+        return Tree(kind, then, np.log10(np.concatenate(smooth) / spread).astype(np.float32), ends)
+
+
 @dataclass(frozen=True)
 class Tree:
     """The automaton of a tree's longest suffixes."""
@@ -131,7 +179,7 @@ class Tree:
     kind: np.ndarray
     #: State after a state and a symbol's class.
     then: np.ndarray
-    #: log10 probability of a symbol's class in a state.
+    #: log10 probability of a symbol of a class in a state.
     log: np.ndarray
     #: State at the start of a text.
     start: int
@@ -170,7 +218,7 @@ def keys(length: int) -> int:
     return (1 << 8 * length) - 1
 
 
-def grown(grams: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> Tree:
+def grown(grams: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> Counts:
     """The tree of counted grams.
 
     Counting, the frequency bound and the divergence test run on the executors. The
@@ -179,16 +227,24 @@ def grown(grams: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR)
     """
     spark = grams.sparkSession
     total = grams.agg(F.sum("n")).first()[0] or 0
-    each = grams.select(F.explode(F.array(*[F.struct(F.lit(d).alias("length"), F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(keys(d))).alias("context")) for d in range(DEPTH + 1)])).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-    each = each.groupBy("at.length", "at.context", "symbol").agg(F.sum("n").alias("n"))
-    each = each.withColumn("size", F.sum("n").over(W.partitionBy("length", "context"))).where(F.col("size") >= threshold * total / 8)
-    frequent = written(each, "contexts")
+    bits = max(threshold * total, LEAST_BITS)
+    context = lambda d: F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(keys(d)))
+
+    def counted(rows: DataFrame, lengths: range, near: list[str]) -> DataFrame:
+        each = rows.select(*near, F.explode(F.array(*[F.struct(F.lit(d).alias("length"), context(d).alias("context")) for d in lengths])).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+        each = each.groupBy(*near, "at.length", "at.context", "symbol").agg(F.sum("n").alias("n"))
+        each = each.withColumn("size", F.sum("n").over(W.partitionBy(*near, "length", "context")))
+        return each.where(F.col("size") >= bits / 8).select("length", "context", "symbol", "n", "size")
+
+    # Contexts of three bytes or more lie where their last three are, and are counted there.
+    near = grams.withColumn("near", context(3)).repartition("near")
+    frequent = written(counted(near, range(3, DEPTH + 1), ["near"]).unionByName(counted(grams, range(3), [])), "contexts")
     # The context without its first byte occurs at least as often, so it is there.
     shorter = F.coalesce(F.element_at(F.array(*[F.lit(keys(d)) for d in range(DEPTH)]), F.col("length")), F.lit(0))
     child = frequent.where("length > 0").withColumn("up", F.col("length") - 1).withColumn("tail", F.col("context").bitwiseAND(shorter))
     parent = frequent.select(F.col("length").alias("up"), F.col("context").alias("tail"), "symbol", F.col("n").alias("up_n"), F.col("size").alias("up_size"))
     gain = F.sum(F.col("n") * F.log2((F.col("n") / F.col("size")) / (F.col("up_n") / F.col("up_size"))))
-    stays = child.join(parent, ["up", "tail", "symbol"]).groupBy("length", "context").agg(gain.alias("gain")).where(F.col("gain") >= threshold * total).select("length", "context").toArrow().to_pydict()
+    stays = child.join(parent, ["up", "tail", "symbol"]).groupBy("length", "context").agg(gain.alias("gain")).where(F.col("gain") >= bits).select("length", "context").toArrow().to_pydict()
     # With a context, everything it is prefixed or ended by: the automaton's states are closed under both.
     states: dict[int, set[int]] = {d: set() for d in range(DEPTH + 1)}
     states[0].add(0)
@@ -202,42 +258,14 @@ def grown(grams: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR)
     wanted = pa.table({"length": pa.array([d for d in states for _ in states[d]], pa.int32()), "context": pa.array([c for d in states for c in states[d]], pa.int64())})
     found = frequent.join(F.broadcast(spark.createDataFrame(wanted)), ["length", "context"]).select("length", "context", "symbol", "n").toArrow()
     length, context, symbol, n = (found.column(x).to_numpy().astype(np.int64) for x in ("length", "context", "symbol", "n"))
-    seen = np.union1d(symbol[length == 0], [0x20, END])
-    kind = np.full(256, len(seen), dtype=np.int64)
-    kind[seen] = np.arange(len(seen))
-    unseen = 256 - len(seen)
-    width = len(seen) + (unseen > 0)
-    spread = np.ones(width)
-    spread[len(seen) :] = unseen  # byte values of one class
-    known: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    contexts, entries = [], []
     for d in range(DEPTH + 1):
         if not states[d]:
             break
-        contexts = np.array(sorted(states[d]), dtype=np.int64)
         here = length == d
-        counts = np.zeros((len(contexts), width))
-        counts[np.searchsorted(contexts, context[here]), kind[symbol[here]]] = n[here]
-        size = counts.sum(axis=1, keepdims=True)
-        if d:
-            above = known[d - 1][1][np.searchsorted(known[d - 1][0], contexts & keys(d - 1))]
-            known[d] = contexts, (counts + prior * above) / (size + prior)
-        else:
-            known[d] = contexts, (counts + 0.5 * spread) / (size + 128.0)
-    ordered = [np.array(sorted(states[d]), dtype=np.int64) for d in sorted(states) if states[d]]
-    base = np.r_[0, np.cumsum([len(x) for x in ordered])]
-    log = np.concatenate([known[d][1] for d in range(len(ordered))])
-    then = np.zeros((int(base[-1]), width), dtype=np.int32)
-    for d, contexts in enumerate(ordered):
-        own = slice(base[d], base[d + 1])
-        if d:  # as without the first byte, unless a longer context goes on
-            then[own] = then[base[d - 1] + np.searchsorted(ordered[d - 1], contexts & ((1 << 8 * (d - 1)) - 1))]
-        if d + 1 < len(ordered):
-            longer = ordered[d + 1]
-            then[base[d] + np.searchsorted(contexts, longer >> 8), kind[longer & 255]] = base[d + 1] + np.arange(len(longer))
-    ends = 0
-    for _ in range(DEPTH):
-        ends = int(then[ends, kind[END]])
-    return Tree(kind, then, np.log10(log / spread).astype(np.float32), ends)
+        contexts.append(np.array(sorted(states[d]), dtype=np.int64))
+        entries.append((np.searchsorted(contexts[-1], context[here]).astype(np.int32), symbol[here].astype(np.uint8), n[here]))
+    return Counts(contexts, entries, prior)
 
 
 def block_words(docs: DataFrame) -> DataFrame:
@@ -288,7 +316,7 @@ SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, sco
 def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", trained_on(F.col("doc_id")).alias("learn"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"))
-    tree = grown(written(counted_grams(docs.where("learn")), "grams"), threshold)
+    counts = grown(written(counted_grams(docs.where("learn")), "grams"), threshold)
     splits = docs.groupBy("split").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("learn").alias("learned"))
     most, ends = splits.agg(F.max("bytes"), F.sum("learned")).first()
     pieces, ends = max(1, -(-(most or 0) // BLOCK_BYTES)), ends or 0
@@ -302,7 +330,7 @@ def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     distinct = facts["words"] + (ends > 0)  # the end is a token
     floor = tokens + 0.5 * (distinct + 1)
     elsewhere = told.where("total <> n AND word <> 0").select("block", "word", "total")
-    held = docs.sparkSession.sparkContext.broadcast(tree)  # bounded by the threshold
+    held = docs.sparkSession.sparkContext.broadcast(counts)  # bounded by the threshold
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         more = np.argsort(right.column("word").to_numpy().view(U64))
@@ -324,7 +352,7 @@ def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             row = np.repeat(np.arange(len(n)), n)
             base = np.bincount(row, weights=np.log10((c + 0.5) / floor), minlength=len(n)) + np.log10((ends + 0.5) / floor)
             known = np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
-            score = held.value.scores(*spelling(*words.flat(part.column("text"))))
+            score = held.value.tree.scores(*spelling(*words.flat(part.column("text"))))
             out.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)}))
         return pa.concat_tables(out)
 
