@@ -80,7 +80,8 @@ class Registry:
         """A function of numbers; ``build`` takes and returns columns, so that it stays in generated code."""
         bounds = (arity, arity) if isinstance(arity, int) else arity
         old = self.entries.get(name)
-        self._put(Entry(name, build, bounds, returns, None, tuple(params), makes_nan, producer=old.producer if old else None))
+        produced = old.producer if old else None
+        self._put(Entry(name, build, bounds, returns, None, tuple(params) or (old.params if produced else ()), makes_nan, producer=produced))
 
     def add_nullary(self, name: str, build: Callable[[], Column]) -> None:
         self.add(name, build, 0)
