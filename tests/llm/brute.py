@@ -62,3 +62,21 @@ def without_repeats(rows: list[tuple[int, str | None]], window: int) -> list[tup
         kept = [x for i, x in enumerate(w) if i not in covered]
         out.append((doc, len(w), len(covered), " ".join(kept)))
     return sorted(out)
+
+
+def leaks(text: str | None, items: list[str | None], span: int, tolerated: int) -> bool:
+    """Whether a window of an item stands in the text with few words substituted; short items stand whole."""
+    words = WORD.findall((text or "").lower())
+    for item in items:
+        own = WORD.findall((item or "").lower())
+        n, most = (span, tolerated) if len(own) >= span else (len(own), 0)
+        for q in range(len(own) - n + 1 if own else 0):
+            for p in range(len(words) - n + 1):
+                wrong = 0
+                for i in range(n):
+                    wrong += own[q + i] != words[p + i]
+                    if wrong > most:
+                        break
+                else:
+                    return True
+    return False

@@ -94,9 +94,8 @@ def test_near_dedup(docs, nothing, k, num, den):
     assert near_dedup.one_of_each(docs, k=k, num=num, den=den).columns == docs.columns
 
 
-@pytest.mark.parametrize(("units", "grams"), [(512, 1 << 17), (4, 1 << 17), (512, 300)])
-@pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5), (1, 1, 2)])
-def test_near_dedup_groups(spark, monkeypatch, units, grams, k, num, den):
+@pytest.mark.parametrize(("k", "num", "den", "units", "grams"), [(3, 9, 10, 512, 1 << 17), (5, 4, 5, 4, 1 << 17), (1, 1, 2, 512, 300)])
+def test_near_dedup_groups(spark, monkeypatch, k, num, den, units, grams):
     """Chains and groups of near copies, in one block and in many."""
     monkeypatch.setattr(near_dedup, "UNIT_SETS", units)
     monkeypatch.setattr(near_dedup, "UNIT_GRAMS", grams)
