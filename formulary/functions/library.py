@@ -124,7 +124,7 @@ def defaults() -> Registry:
     r.add("pi", lambda: F.lit(math.pi), 0, makes_nan=False)
     r.add("e", lambda: F.lit(math.e), 0, makes_nan=False)
     r.add_nullary("nan", nan)
-    r.add("inf", lambda: F.lit(float("inf")), 0, makes_nan=False)
+    r.add_nullary("inf", lambda: F.lit(float("inf")))  # differences of infinities are NaN
     # Special forms know the call's syntax; see the compiler and the series operators.
     from formulary.operators import series
 

@@ -92,7 +92,7 @@ class Compiler:
     def compile(self, node: t.Node) -> Value:
         match node:
             case t.Number(x):
-                return Value(F.lit(x), NUMBER, math.isnan(x), False, x)
+                return Value(F.lit(x), NUMBER, not math.isfinite(x), False, x)
             case t.Bool(x):
                 return Value(F.lit(x), BOOL, False, False, x)
             case t.Text(x):
@@ -233,7 +233,7 @@ class Compiler:
         if op == "^":
             return Value(library.power(a.column, b.column), NUMBER, True, raises)
         column = {"+": a.column + b.column, "-": a.column - b.column, "*": a.column * b.column}[op]
-        # Infinities make NaN, but only out of values that a double column or division may hold.
+        # Infinities make NaN; whatever may be infinite is marked as if it were NaN already.
         return Value(column, NUMBER, a.nan or b.nan, raises, constant)
 
     @staticmethod
