@@ -6,9 +6,11 @@ Exact: no link between two texts is missed, and each is counted out in full.
 2. Lossless routing. Sizes fall into classes whose bounds grow by 1 / threshold,
    so that linked sets lie in one class or two neighbouring ones. For such a pair
    the symmetric difference has a greatest size d. The hash range is cut into more
-   than d parts, so at least one part is equal in both. Each part's content is a
-   signature, and sets that share one become candidates. Signatures are combined
-   within a task before the shuffle, and across it form stars, never pairs.
+   than d parts, so at least one part is equal in both. Each part's content, but
+   for shingles known to be frequent, is a
+   signature, and sets that share one become candidates. A task sorts and packs
+   its signatures by ranges before the shuffle; beyond it, those that share one
+   form a star, never pairs.
    There are so many parts that a part with something in it is shared, unless a
    set has exceptionally many empty parts; only such sets sign those too.
 3. Candidates form clusters. A cluster, or where it is large each pair of bounded
@@ -40,6 +42,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +55,13 @@ U64 = np.uint64
 UNIT_SETS = 512
 UNIT_GRAMS = 1 << 17
 #: Signatures that a task combines before it passes them on.
-FLUSH = 1 << 20
+FLUSH = 1 << 19
+#: A shingle of this many documents is left out of signatures; tasks pass it on from SEVERAL.
+FREQUENT, SEVERAL, MOST_FREQUENT = 24, 3, 500_000
+#: Bytes of text for each bucket of signatures; a bucket is held by one task at a time.
+BUCKET_BYTES = 8 << 20
+#: Members of clusters, seven numbers each, that may be broadcast.
+PLACED_ROWS = 200_000
 
 
 @dataclass(frozen=True)
@@ -109,14 +118,59 @@ def node_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([int(words.mix(np.add.reduce(words.mix(s), dtype=U64, keepdims=True) ^ U64(len(s)))[0]) if len(s) else 0 for s in sets], dtype=U64)
 
 
-def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity) -> tuple[np.ndarray, np.ndarray]:
-    """Signature and node of each part of each set, for its own class and the next."""
+def frequent_grams(docs: DataFrame, k: int) -> np.ndarray:
+    """Sorted shingles that many documents hold; at most MOST_FREQUENT.
+
+    Tasks count all their documents' shingles and pass on those that several hold.
+    What is missed here only makes candidates more, never links fewer.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            flat = np.sort(np.concatenate(held))
+            at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]]) if len(flat) else np.empty(0, np.int64)
+            n = np.diff(np.r_[at, len(flat)])
+            some = n >= SEVERAL
+            return pa.RecordBatch.from_arrays([pa.array(flat[at][some].view(np.int64)), pa.array(n[some], pa.int64())], ["gram", "n"])
+
+        for batch in batches:
+            for part in words.text_slices(batch):
+                held += gram_sets(part, k)
+                size += sum(map(len, held[-part.num_rows :]))
+                if size >= FLUSH:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
+
+    found = docs.select("doc_id", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    return np.sort(found.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow().column(0).to_numpy().view(U64))
+
+
+def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), dtype=bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Signature and node of each part of each set, for its own class and the next.
+
+    Frequent shingles are left out of the parts: two sets differ in no more places
+    without them, so a part is still equal in both, and a passage that many
+    documents share does not make candidates of them.
+    """
     sizes = np.array([len(s) for s in sets])
     full = np.flatnonzero(sizes)
     if not len(full):
         return np.empty(0, U64), np.empty(0, U64)
     flat = np.concatenate([sets[i] for i in full])
     owner = np.repeat(np.arange(len(full)), sizes[full])
+    rare = ~among(flat, frequent)
+    flat, owner = flat[rare], owner[rare]
     kinds = np.searchsorted(like.bounds(int(sizes.max())), sizes[full], side="right") - 1
     content = words.mix(flat + U64(0x51))
     top = flat >> U64(32)
@@ -124,9 +178,10 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity) -> t
     for up in (0, 1):
         parts = np.array([scheme(like, int(x) + up)[0] for x in kinds], dtype=U64)
         part = (top * parts[owner]) >> U64(32)
-        runs = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
+        runs = np.flatnonzero(np.r_[len(part) > 0, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
         label = ((kinds + up).astype(U64)[owner[runs]] << U64(40)) + part[runs]
-        found.append((words.mix(np.add.reduceat(content, runs) ^ words.mix(label)), nodes[full][owner[runs]]))
+        if len(runs):
+            found.append((words.mix(np.add.reduceat(content, runs) ^ words.mix(label)), nodes[full][owner[runs]]))
         filled = np.bincount(owner[runs], minlength=len(full))
         for i in np.flatnonzero(parts.astype(np.int64) - filled >= [scheme(like, int(x) + up)[1] for x in kinds]):
             rest = np.setdiff1d(np.arange(int(parts[i]), dtype=U64), part[owner == i])
@@ -134,11 +189,17 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity) -> t
     return np.concatenate([s for s, _ in found]), np.concatenate([n for _, n in found])
 
 
-ROUTED = "sig bigint, node bigint, others array<bigint>, doc_id bigint, n bigint"
+ROUTED = "bucket int, base bigint, width int, sigs binary, places binary, nodes binary, doc_ids array<bigint>, sizes array<bigint>, doc_nodes array<bigint>"
+
 
+def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: np.ndarray) -> DataFrame:
+    """Three kinds of rows: documents with their nodes and sizes; pairs of nodes that share a signature
+    within a task, in the last two columns; and a task's signatures of one bucket, packed.
 
-def routed(docs: DataFrame, k: int, like: Similarity) -> DataFrame:
-    """Two kinds of rows: a document with its node and size, and a signature with the nodes of a task that have it."""
+    A bucket is a range of signatures. They are sorted, so that their differences
+    take few bytes, and each has the place of its node in the row's list of nodes.
+    """
+    told_frequent = docs.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -147,33 +208,105 @@ def routed(docs: DataFrame, k: int, like: Similarity) -> DataFrame:
             for part in words.text_slices(batch):
                 sets = gram_sets(part, k)
                 nodes = node_ids(sets)
-                held.append(signatures(sets, nodes, like))
+                held.append(signatures(sets, nodes, like, told_frequent.value))
                 count += len(held[-1][0])
-                n = part.num_rows
-                ids = part.column("doc_id")
-                spread = words.mix(nodes + words.mix(np.arange(n, dtype=U64) + U64(count)))
-                yield pa.RecordBatch.from_arrays([pa.array(spread.view(np.int64)), pa.array(nodes.view(np.int64)), pa.nulls(n, pa.list_(pa.int64())), ids, pa.array([len(s) for s in sets], pa.int64())], ["sig", "node", "others", "doc_id", "n"])
+                told = [[int(nodes[:1].sum() % U64(buckets))], [0], [0], [b""], [b""], [b""], [part.column("doc_id").to_pylist()], [[len(s) for s in sets]], [nodes.view(np.int64).tolist()]]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(told, TYPES, strict=True)], NAMES)
                 if count >= FLUSH:
-                    yield combined(held)
+                    yield packed(held, buckets)
                     held, count = [], 0
         if count:
-            yield combined(held)
+            yield packed(held, buckets)
 
     return docs.mapInArrow(run, ROUTED)
 
 
-def combined(held: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+NAMES = ["bucket", "base", "width", "sigs", "places", "nodes", "doc_ids", "sizes", "doc_nodes"]
+TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+
+
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    return ((sig >> U64(32)) * U64(buckets)) >> U64(32)
+
+
+def packed(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
     sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((node, sig))
     sig, node = sig[order], node[order]
     new = np.r_[True, (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])]
     sig, node = sig[new], node[new]
+    # Within the task a signature's nodes form a star already; only the least goes further.
     first = np.r_[True, sig[1:] != sig[:-1]]
-    at = np.flatnonzero(first)
-    sizes = np.diff(np.r_[at, len(sig)]) - 1
-    others = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.array(node[~first].view(np.int64)))
-    n = len(at)
-    return pa.RecordBatch.from_arrays([pa.array(sig[at].view(np.int64)), pa.array(node[at].view(np.int64)), others, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["sig", "node", "others", "doc_id", "n"])
+    least = node[np.flatnonzero(first)][np.cumsum(first) - 1]
+    tied = np.unique(np.stack([node[~first], least[~first]], axis=1), axis=0).view(np.int64)
+    sig, node = sig[first], node[first]
+    bucket = bucket_of(sig, buckets)
+    cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(sig)]
+    rows = [(int(bucket[0]), 0, 0, b"", b"", b"", None, tied[:, 0].tolist(), tied[:, 1].tolist())]
+    for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+        nodes, place = np.unique(node[a:b], return_inverse=True)
+        step = np.diff(sig[a:b], prepend=sig[a])
+        width = max(1, (int(step.max()).bit_length() + 7) // 8)
+        raw = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+        rows.append((int(bucket[a]), int(sig[a].view(np.int64)), width, raw, place.astype("<u2" if len(nodes) <= 1 << 16 else "<u4").tobytes(), nodes.tobytes(), None, None, None))
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
+
+
+def unpacked(base: int, width: int, sigs: bytes, places: bytes, nodes: bytes) -> tuple[np.ndarray, np.ndarray]:
+    n = len(sigs) // width
+    step = np.zeros((n, 8), dtype=np.uint8)
+    step[:, :width] = np.frombuffer(sigs, dtype=np.uint8).reshape(n, width)
+    sig = np.cumsum(step.reshape(-1).view("<u8"), dtype=U64) + np.int64(base).view(U64)
+    return sig, np.frombuffer(nodes, dtype=U64)[np.frombuffer(places, dtype=f"<u{len(places) // n}")]
+
+
+def stars(rows: DataFrame) -> DataFrame:
+    """doc_id, n, node of every document, and (a, b) of every node that shares a signature: with the least that has it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        bucket = None
+
+        def flush() -> pa.RecordBatch:
+            sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(sig, kind="stable")
+            sig, node = sig[order], node[order]
+            same = np.r_[False, sig[1:] == sig[:-1]]
+            some = same | np.r_[same[1:], False]
+            sig, node, same = sig[some], node[some], same[some]
+            if not len(sig):
+                return pairs(sig, sig)
+            at = np.flatnonzero(~same)
+            least = np.repeat(np.minimum.reduceat(node, at), np.diff(np.r_[at, len(sig)]))
+            both = np.stack([node, least], axis=1)[node != least]
+            both = np.unique(both, axis=0)
+            return pairs(both[:, 0], both[:, 1])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["doc_ids"] is not None:
+                    n = len(row["doc_ids"])
+                    yield pa.RecordBatch.from_arrays([pa.array(row[c], pa.int64()) for c in ("doc_ids", "sizes", "doc_nodes")] + [pa.nulls(n, pa.int64())] * 2, STARS)
+                    continue
+                if row["sizes"] is not None:
+                    yield pairs(*(np.array(row[c], dtype=np.int64) for c in ("sizes", "doc_nodes")))
+                    continue
+                if row["bucket"] != bucket and held:
+                    yield flush()
+                    held = []
+                bucket = row["bucket"]
+                held.append(unpacked(*(row[c] for c in NAMES[1:6])))
+        if held:
+            yield flush()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, n bigint, node bigint, a bigint, b bigint")
+
+
+STARS = ["doc_id", "n", "node", "a", "b"]
+
+
+def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64())] * 3 + [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], STARS)
 
 
 class Forest:
@@ -284,40 +417,44 @@ def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> Dat
         ((F.sum("sets") <= UNIT_SETS) & (F.sum("grams") <= UNIT_GRAMS)).alias("whole"),
     )
     number = lambda step: F.coalesce(F.element_at("pieces", F.col("kind") + step), F.lit(0))
-    own = F.pmod(F.xxhash64("node", F.lit(3)), number(0)).cast("int")
-    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    name = lambda a, x, b, y, side: F.struct(F.concat_ws(":", F.col("cluster").cast("string"), *(z.cast("string") for z in (a, x, b, y))).alias("block"), side.cast("int").alias("side"))
-    here, piece = F.col("kind"), F.col("piece")
-    within = F.transform(upto(number(0)), lambda y: name(here, F.least(piece, y), here, F.greatest(piece, y), piece > y))
-    above = F.transform(upto(number(1)), lambda y: name(here, piece, here + 1, y, F.lit(0)))
-    below = F.transform(upto(number(-1)), lambda y: name(here - 1, y, here, piece, F.lit(1)))
-    alone = F.array(F.struct(F.col("cluster").cast("string").alias("block"), F.lit(0).alias("side")))
-    placed = members.join(clusters, "cluster").withColumn("piece", own)
-    placed = placed.withColumn("places", F.when(F.col("whole"), alone).otherwise(F.concat(within, above, below))).select("doc_id", "node", "places")
+    placed = members.join(clusters, "cluster").select("doc_id", "node", F.col("cluster").alias("c"), "kind", F.when(F.col("whole"), 0).otherwise(number(0)).alias("here"), number(1).alias("above"), number(-1).alias("below"))
     placed = written(placed, "near-members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in words.text_slices(batch):
                 sets = gram_sets(part, k)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(node_ids(sets).view(np.int64)), pa.array([s.tobytes() for s in sets], pa.binary())], ["doc_id", "node", "grams"])
+                nodes = node_ids(sets).view(np.int64)
+                # Another row of the same id may have another text.
+                right = np.flatnonzero(nodes == part.column("node").to_numpy())
+                told = [part.column(c).to_numpy()[right].tolist() for c in ("c", "kind", "here", "above", "below")]
+                at = [places(*row, int(node)) for *row, node in zip(*told, nodes[right].view(U64), strict=True)]
+                each = np.repeat(right, [len(x) for x in at])
+                yield pa.RecordBatch.from_arrays([pa.array([b for x in at for b, _ in x], pa.string()), pa.array([s for x in at for _, s in x], pa.int32()), pa.array(nodes[each]), pa.array([sets[i].tobytes() for i in each], pa.binary())], ["block", "side", "node", "grams"])
+
+    joined = docs.join(F.broadcast(placed) if few(placed, PLACED_ROWS) else placed, "doc_id").select("text", *placed.columns[1:])
+    return joined.mapInArrow(read, "block string, side int, node bigint, grams binary")
+
 
-    wanted = placed.select("doc_id").distinct()
-    small = few(wanted)
-    sets = docs.join(F.broadcast(wanted) if small else wanted, "doc_id", "left_semi").mapInArrow(read, "doc_id bigint, node bigint, grams binary")
-    return sets.join(placed, ["doc_id", "node"]).dropDuplicates(["doc_id", "node"]).select("node", "grams", F.explode("places").alias("at")).select("at.block", "at.side", "node", "grams")
+def places(cluster: int, kind: int, here: int, above: int, below: int, node: int) -> list[tuple[str, int]]:
+    """Blocks of a set, and its side in each: with every piece of its own class and of the neighbouring ones."""
+    if not here:  # the whole cluster is one block
+        return [(str(cluster), 0)]
+    own = node % here
+    within = [(f"{cluster}:{kind}:{min(own, x)}:{kind}:{max(own, x)}", int(own > x)) for x in range(here)]
+    over = [(f"{cluster}:{kind}:{own}:{kind + 1}:{x}", 0) for x in range(above)]
+    under = [(f"{cluster}:{kind - 1}:{x}:{kind}:{own}", 1) for x in range(below)]
+    return within + over + under
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text); links need similarity num / den."""
     like = Similarity(num, den)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    rows = routed(docs, k, like)
-    joined = rows.selectExpr("node", "others", "doc_id", "n", "CASE WHEN n IS NULL THEN min(node) OVER (PARTITION BY sig) ELSE node END AS root")
-    kept = written(joined.where("n IS NOT NULL OR node <> root OR size(others) > 0"), "near-routed")
-    own = kept.where("n IS NOT NULL").select("doc_id", "n", "node")
-    stars = kept.where("n IS NULL")
-    candidates = stars.select(F.col("node").alias("a"), F.col("root").alias("b")).where("a <> b").unionByName(stars.select(F.explode("others").alias("a"), F.col("node").alias("b")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    kept = written(stars(routed(docs, k, like, max(1, size // BUCKET_BYTES), frequent_grams(docs, k))), "near-routed")
+    own = kept.where("a IS NULL").select("doc_id", "n", "node")
+    candidates = kept.where("a IS NOT NULL").select("a", "b")
     clusters = components(candidates)
     members = own.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")).join(clusters, "node").withColumnRenamed("label", "cluster")
     links = written(block_links(blocks(docs, members, k, like), like), "near-links")

@@ -25,15 +25,35 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/formulary/{spark.sparkContext.applicationId}"
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/formulary/{name}-{uuid.uuid4().hex}"
+    return f"{own_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes what this application wrote; results that are not read yet go with it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Rows that Spark hands to Python at once while a table is written; texts may be long.
+ARROW_ROWS = "1000"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read again from a table in the shared folder."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path, key = fresh_path(spark, name), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, ARROW_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(key, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -99,6 +99,7 @@ def test_near_dedup_groups(spark, monkeypatch, k, num, den, units, grams):
     """Chains and groups of near copies, in one block and in many."""
     monkeypatch.setattr(near_dedup, "UNIT_SETS", units)
     monkeypatch.setattr(near_dedup, "UNIT_GRAMS", grams)
+    monkeypatch.setattr(near_dedup, "FREQUENT", 3)
     draw = random.Random(k)
     plain = []
     for group in range(6):
