@@ -27,6 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from formulary.llm.storage import written
+
 #: Weights of the sources, in order of code points; repeated for further sources.
 WEIGHTS = (3, 1, 2)
 #: Words of the mix for each word of the input.
@@ -70,7 +72,8 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, repeats: f
 
 def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: str = "mix") -> DataFrame:
     """doc_id, source, size, source_size, target and copies (how often the document is emitted)."""
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", words(F.col("text")).alias("size"))
+    # Texts are read once; what follows reads three narrow columns.
+    own = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", words(F.col("text")).alias("size")), "sizes")
     bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int")
     own = own.withColumn("range", F.floor(F.col("size") / RANGE)).withColumn("bucket", bucket)
     # A null source needs a key that joins.
