@@ -36,7 +36,7 @@ MASKS = (tuple(range(0, SPAN, 2)), tuple(range(1, SPAN, 2)))
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[\x20\x09-\x0D]+"), "")
 
 
 def seeds(hashed: Column, mask: tuple[int, ...], span: int, label: int) -> Column:
