@@ -38,7 +38,7 @@ PLACE = ("doc_id", "line")
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.array_remove(F.split(line, r"[\x20\x09-\x0D]+"), "")
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -57,8 +57,8 @@ def halves(words: Column, n: Column) -> Column:
     for less in (0, 1):  # cut as the shorter of the two is
         first = F.floor((n - less) / 2).cast("int")
         rest = (n - less - first).cast("int")
-        keys.append(F.xxhash64(F.lit(0), n - less, F.array_join(F.slice(words, F.lit(1), first), " ")))
-        keys.append(F.xxhash64(F.lit(1), n - less, F.array_join(F.slice(words, n - rest + 1, rest), " ")))
+        keys.append(F.xxhash64(F.lit(0), n - less, F.slice(words, F.lit(1), first)))
+        keys.append(F.xxhash64(F.lit(1), n - less, F.slice(words, n - rest + 1, rest)))
     return F.array(*keys)
 
 
@@ -66,7 +66,7 @@ def earliest(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, line of every line with words that stays."""
     n = F.size("words")
     # A short line gives away only itself; the empty array of halves keeps it from step 2.
-    keyed = lines(docs).select(*PLACE, F.xxhash64(F.array_join("words", " ")).alias("h"), F.xxhash64(F.lit(7), F.array_join("words", "  ")).alias("g"), n.alias("n"), F.when(n >= min_words, halves(F.col("words"), n)).alias("halves"))
+    keyed = lines(docs).select(*PLACE, F.xxhash64("words").alias("h"), F.xxhash64(F.lit(7), "words").alias("g"), n.alias("n"), F.when(n >= min_words, halves(F.col("words"), n)).alias("halves"))
     unique = written(keyed.groupBy("h", "g", "n").agg(F.min(F.struct(*PLACE, "halves")).alias("first")).select("first.doc_id", "first.line", "first.halves"), "lines-unique")
 
     shared = unique.where("halves IS NOT NULL").select(*PLACE, F.explode("halves").alias("half"))
@@ -115,6 +115,6 @@ def dedup(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     all_lines = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     split = F.split("text", "\n")
     joined = all_lines.join(stay, all_lines["doc_id"].eqNullSafe(stay["_doc"]), "left")
-    kept = F.filter(F.col("parts"), lambda x, i: (F.size(tokens(x)) == 0) | F.coalesce(F.array_contains("_stay", i), F.lit(False)))
+    kept = F.filter(F.col("parts"), lambda x, i: ~x.rlike(r"[^\x20\x09-\x0D]") | F.coalesce(F.array_contains("_stay", i), F.lit(False)))
     out = joined.withColumn("parts", split).withColumn("kept", kept)
     return out.select("doc_id", F.size("parts").cast("bigint").alias("n_lines"), (F.size("parts") - F.size("kept")).cast("bigint").alias("n_removed"), F.array_join("kept", "\n").alias("text"))
