@@ -33,8 +33,8 @@ from pyspark.sql.window import Window as W
 
 from formulary.llm.storage import fresh_path, written
 
-#: A public byte-level vocabulary, as ranks; its next free identifier is the separator.
-VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: A public byte-level vocabulary for many languages, as ranks; its next free identifier is the separator.
+VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How texts are cut before merging; goes with the vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_BYTES = 8 << 20
@@ -139,4 +139,5 @@ def counted(docs: DataFrame, vocabulary: str = VOCABULARY, block_bytes: int = BL
     files = stretches.groupBy("file").agg(F.sum("tokens").alias("tokens"))
     counts = stitched(scanned(files, folder, end, 2 if end < 1 << 16 else 4, block_bytes))
     ids = stretches.select("file", "start", F.posexplode("ids").alias("i", "doc_id")).select("file", (F.col("start") + F.col("i")).alias("place"), "doc_id")
-    return ids.join(counts, ["file", "place"]).select("doc_id", "n_tokens")
+    # The file of ids is small beside its rows, so its size would mislead Spark into a broadcast.
+    return ids.hint("merge").join(counts, ["file", "place"]).select("doc_id", "n_tokens")
