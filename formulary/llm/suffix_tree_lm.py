@@ -5,19 +5,26 @@ spelt: the bytes of the words with one space between two, and the end as a symbo
 of its own. A node is a context of up to DEPTH bytes.
 
 A context s stays in the tree if it says something that the context without its
-first byte does not: N(s) * KL(P(.|s) || P(.|shorter s)) >= threshold * N, and at
-least LEAST_BITS, with counts over all training texts. Summed over the contexts of one length, the left
-side is at most 8 bits for each of the N symbols, so at most 8 / threshold
-contexts of a length stay, whatever the corpus: a proven bound on what is
-collected and broadcast. Only contexts with N(s) >= threshold * N / 8 can pass, so
-no others leave the executors. Distributions are smoothed towards those of the
-shorter context. Scoring runs the automaton of longest suffixes over the bytes.
+first byte does not: N(s) * KL(P(.|s) || P(.|shorter s)) >= BITS, with counts over
+all training texts. The evidence asked for is the same whatever the corpus, so the
+tree grows with it. Contexts of up to two bytes, and all that a context which stays
+ends with, stay too. Distributions are smoothed towards those of the shorter
+context; a symbol is scored in the longest context that stays.
+
+The tree is never in one place. A gram is a context of DEPTH bytes and the byte
+behind it. Each block sends its different grams, packed by a hash of the last three
+bytes of the context. A bucket has all grams whose contexts end alike, so it counts
+and judges all contexts of three bytes or more by itself, without a bound on their
+frequency; counts of shorter contexts (at most 256 ** 3, whatever the corpus) are
+broadcast. It sends back to each block the log probabilities of the block's grams.
+Buckets grow in number with the input, and so do rows of packed grams, with blocks
+times buckets; their bytes grow with the input only.
 
 Unigram counts of words, for the base score, are found block by block: a block is
 what one task reads, or a part of that by a hash of the id. Each block sends its
 different words once with their counts, and gets back the totals of those that
 other blocks have too. A word in every document costs one row for each block.
-Texts are shuffled once, to meet those totals.
+Texts are shuffled once, to meet those totals and the grams.
 
 Words are known by a 64-bit hash.
 
@@ -35,6 +42,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -43,19 +51,22 @@ from formulary.llm import words
 from formulary.llm.storage import written
 
 U64 = np.uint64
-#: Bytes of the longest context; with the next byte, 48 bits.
-DEPTH = 5
-#: Bits for each training symbol that a context must save to stay.
-THRESHOLD = 2e-6
-#: Bits that it must save in any case, so that chance does not pass for knowledge in a small corpus.
-LEAST_BITS = 40.0
+#: Bytes of the longest context; with the next byte, 64 bits.
+DEPTH = 7
+#: Bytes of contexts that always stay.
+LOW = 2
+#: Bits that a context must save to stay, so that chance does not pass for knowledge.
+BITS = 40.0
 #: Weight of the shorter context's distribution, in symbols.
 PRIOR = 6.0
 END = 0x0A
 #: Bytes of text of one block.
 BLOCK_BYTES = 24 << 20
-#: Grams that a task counts before it passes its different grams on.
+#: Different grams that a task holds before it passes them on.
 FLUSH_GRAMS = 5_000_000
+#: Buckets of grams, at least, and bytes of text for each further one.
+BUCKETS = 128
+BUCKET_BYTES = 16 << 20
 #: Words that a task counts before it passes its different words on.
 FLUSH_WORDS = 5_000_000
 #: Bytes that an automaton runs over at once on each of many tracks.
@@ -86,21 +97,177 @@ def spelling(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return out, begin
 
 
-def gram_counts(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different (context of DEPTH, next) byte sequences of rows, as one number each, and how often they occur."""
+def grams_at(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """(context of DEPTH, next) at each place of rows, as one number: the next byte lowest, then backwards."""
     n = len(symbols)
-    code = symbols.astype(U64)
-    place = np.arange(n) - np.repeat(begin[:-1], np.diff(begin))
-    for back in range(1, DEPTH + 1):
-        before = np.full(n, END, dtype=U64)
-        before[back:] = symbols[:-back] if back < n else 0
-        before[place < back] = END  # a text begins after ends
-        code |= before << U64(8 * back)
-    code.sort()
+    held = np.r_[np.full(DEPTH, END, dtype=np.uint8), symbols]
+    code = np.ndarray(n, dtype=">u8", buffer=held, strides=(1,)).astype(U64)
+    for place in range(DEPTH):  # a text begins after ends
+        at = begin[:-1][np.diff(begin) > place] + place
+        own = U64((1 << 8 * (place + 1)) - 1)
+        code[at] = (code[at] & own) | (U64(int.from_bytes(bytes([END] * 8), "big")) & ~own)
+    return code
+
+
+def gram_counts(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different grams of rows, and how often they occur."""
+    code = np.sort(grams_at(symbols, begin))
+    n = len(code)
     first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if n else np.empty(0, np.int64)
     return code[first], np.diff(np.r_[first, n])
 
 
+def by_suffix(code: np.ndarray) -> np.ndarray:
+    """Grams with the context's last byte highest and the next byte lowest: in order, contexts that end alike are together."""
+    code = code.byteswap()
+    return (code << U64(8)) | (code >> U64(56))
+
+
+def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys in order, and the sums of their counts."""
+    order = np.argsort(key)
+    key, n = key[order], n[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
+    return key[at], np.add.reduceat(n, at, dtype=n.dtype) if len(at) else n
+
+
+def packed(x: np.ndarray) -> bytes:
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, n: int, dtype: type) -> np.ndarray:
+    width = np.dtype(dtype).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * width, codec="zstd"), dtype=np.uint8).reshape(width, n).T).view(dtype).reshape(n)
+
+
+def packed_values(x: np.ndarray) -> bytes:
+    """Floats of which many are equal, as different ones and places among them."""
+    values, place = np.unique(x, return_inverse=True)
+    wide = len(values) > 1 << 16
+    return len(values).to_bytes(4, "big") + values.tobytes() + packed(place.astype(np.uint32 if wide else np.uint16))
+
+
+def unpacked_values(data: bytes, n: int) -> np.ndarray:
+    k = int.from_bytes(data[:4], "big")
+    return np.frombuffer(data, dtype=np.float32, count=k, offset=4)[unpacked(data[4 + 4 * k :], n, np.uint32 if k > 1 << 16 else np.uint16)]
+
+
+def steps(key: np.ndarray) -> np.ndarray:
+    return np.diff(np.r_[U64(0), key])
+
+
+def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
+    """block, bucket, size, grams, counts: the different grams of what a task holds of a block, and how often training texts have them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        size = least = 0
+
+        def compact() -> int:
+            for block, parts in held.items():
+                held[block] = [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
+            return sum(len(parts[0][0]) for parts in held.values())
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            compact()
+            for block, [(key, n)] in held.items():
+                bucket = (words.mix(key >> U64(40)) % U64(buckets)).astype(np.int64)
+                order = np.argsort(bucket, kind="stable")
+                key, n = key[order], n[order]
+                cuts = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
+                own = np.flatnonzero(np.diff(cuts))
+                parts = [slice(cuts[b], cuts[b + 1]) for b in own]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(own), block)), pa.array(own), pa.array(np.diff(cuts)[own]), pa.array([packed(steps(key[x])) for x in parts], pa.binary()), pa.array([packed(n[x]) for x in parts], pa.binary())],
+                    ["block", "bucket", "size", "grams", "counts"],
+                )
+
+        for batch in batches:
+            for part in words.text_slices(batch):
+                symbols, begin = spelling(*words.flat(part.column("text")))
+                key = by_suffix(grams_at(symbols, begin))
+                learn = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(np.int32), np.diff(begin))
+                blocks = part.column("block").to_numpy()
+                for block in np.unique(blocks).tolist():
+                    own = np.repeat(blocks == block, np.diff(begin))
+                    held.setdefault(block, []).append(merged(key[own], learn[own]))
+                    size += len(held[block][-1][0])
+                if size >= least + FLUSH_GRAMS // 2:
+                    size = least = compact()
+                    if size >= FLUSH_GRAMS:
+                        yield from flush()
+                        held, size, least = {}, 0, 0
+        yield from flush()
+
+    return docs.select("block", "text", "learn").mapInArrow(run, "block bigint, bucket bigint, size bigint, grams binary, counts binary")
+
+
+def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(context of LOW, next) in order as grams by suffix, and their counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, count = np.empty(0, U64), np.empty(0, np.int64)
+        for batch in batches:
+            for size, data, counts in zip(*(batch.column(x).to_pylist() for x in ("size", "grams", "counts")), strict=True):
+                key, n = np.cumsum(unpacked(data, size, U64), dtype=U64), unpacked(counts, size, np.int32)
+                key, n = key[n > 0], n[n > 0]
+                code, count = merged(np.r_[code, (key >> U64(64 - 8 * LOW) << U64(8)) | (key & U64(255))], np.r_[count, n])
+        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["code", "n"])
+
+    found = grams.select("size", "grams", "counts").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    return merged(found.column("code").to_numpy().view(U64), found.column("n").to_numpy())
+
+
+def log_probabilities(key: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], bits: float, prior: float) -> np.ndarray:
+    """log10 probability of each gram's next byte in its longest context that stays.
+
+    Grams are by suffix, in order, different, and all of those whose contexts have
+    their last LOW + 1 bytes in common with one of them.
+    """
+    symbol = key & U64(255)
+    sizes, counts, passes, starts = [], [], [], []
+    for d in range(DEPTH + 1):
+        if d <= LOW:
+            own = merged((low[0] >> U64(8 + 8 * (LOW - d)) << U64(8)) | (low[0] & U64(255)), low[1])
+            prefix = (key >> U64(64 - 8 * d)) if d else np.zeros_like(key)
+            counts.append(looked_up(*own, (prefix << U64(8)) | symbol))
+            sizes.append(looked_up(*merged(own[0] >> U64(8), own[1]), prefix))
+            continue
+        prefix = key >> U64(64 - 8 * d)
+        start = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
+        runs = np.diff(np.r_[start, len(key)])
+        sizes.append(np.repeat(np.add.reduceat(n, start), runs))
+        counts.append(looked_up(*merged((prefix << U64(8)) | symbol, n), (prefix << U64(8)) | symbol) if d < DEPTH else n)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            saved = np.where(n > 0, n * np.log2((counts[d] / sizes[d]) / (counts[d - 1] / sizes[d - 1])), 0.0)
+        passes.append(np.repeat(np.add.reduceat(saved, start) >= bits, runs))
+        starts.append((start, runs))
+    stays = np.zeros(len(key), dtype=bool)
+    for d in range(DEPTH, LOW, -1):
+        start, runs = starts[d - LOW - 1]
+        stays = passes[d - LOW - 1] = np.repeat(np.logical_or.reduceat(stays | passes[d - LOW - 1], start), runs)
+    p = (counts[0] + 0.5) / (sizes[0] + 128.0)
+    for d in range(1, DEPTH + 1):
+        own = (counts[d] + prior * p) / (sizes[d] + prior)
+        p = own if d <= LOW else np.where(passes[d - LOW - 1], own, p)
+    return np.log10(p).astype(np.float32)
+
+
+def gram_logs(grams: DataFrame, bits: float, prior: float = PRIOR) -> DataFrame:
+    """block, size, grams, logs: log10 probabilities of the grams of written block_grams()."""
+    low = grams.sparkSession.sparkContext.broadcast(low_counts(grams))  # at most 256 ** 3 counts
+
+    def run(bucket: pa.Table) -> pa.Table:
+        sizes = bucket.column("size").to_pylist()
+        keys = [np.cumsum(unpacked(x, size, U64), dtype=U64) for x, size in zip(bucket.column("grams").to_pylist(), sizes, strict=True)]
+        counts = [unpacked(x, size, np.int32).astype(np.int64) for x, size in zip(bucket.column("counts").to_pylist(), sizes, strict=True)]
+        key, n = merged(np.concatenate(keys), np.concatenate(counts))
+        logs = log_probabilities(key, n, low.value, bits, prior)
+        return bucket.select(["block", "size", "grams"]).append_column("logs", pa.array([packed_values(logs[np.searchsorted(key, x)]) for x in keys], pa.binary()))
+
+    return grams.groupBy("bucket").applyInArrow(run, "block bigint, size bigint, grams binary, logs binary")
+
+
 def counted_grams(texts: DataFrame) -> DataFrame:
     """gram, n over all texts of (text)."""
 
@@ -218,45 +385,34 @@ def keys(length: int) -> int:
     return (1 << 8 * length) - 1
 
 
-def grown(grams: DataFrame, threshold: float = THRESHOLD, prior: float = PRIOR) -> Counts:
-    """The tree of counted grams.
+def grown(grams: DataFrame, bits: float = BITS, prior: float = PRIOR) -> Counts:
+    """The tree of counted grams in one place, as an automaton; for corpora whose tree fits there.
 
-    Counting, the frequency bound and the divergence test run on the executors. The
-    contexts that stay are collected, and then the counts of these, their prefixes
-    and suffixes: both bounded by the threshold (see above).
+    It scores as the buckets do, which are held against it.
     """
     spark = grams.sparkSession
-    total = grams.agg(F.sum("n")).first()[0] or 0
-    bits = max(threshold * total, LEAST_BITS)
     context = lambda d: F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(keys(d)))
-
-    def counted(rows: DataFrame, lengths: range, near: list[str]) -> DataFrame:
-        each = rows.select(*near, F.explode(F.array(*[F.struct(F.lit(d).alias("length"), context(d).alias("context")) for d in lengths])).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-        each = each.groupBy(*near, "at.length", "at.context", "symbol").agg(F.sum("n").alias("n"))
-        each = each.withColumn("size", F.sum("n").over(W.partitionBy(*near, "length", "context")))
-        return each.where(F.col("size") >= bits / 8).select("length", "context", "symbol", "n", "size")
-
-    # Contexts of three bytes or more lie where their last three are, and are counted there.
-    near = grams.withColumn("near", context(3)).repartition("near")
-    frequent = written(counted(near, range(3, DEPTH + 1), ["near"]).unionByName(counted(grams, range(3), [])), "contexts")
+    each = grams.select(F.explode(F.array(*[F.struct(F.lit(d).alias("length"), context(d).alias("context")) for d in range(DEPTH + 1)])).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
+    each = each.groupBy("at.length", "at.context", "symbol").agg(F.sum("n").alias("n"))
+    counted = written(each.withColumn("size", F.sum("n").over(W.partitionBy("length", "context"))), "contexts")
     # The context without its first byte occurs at least as often, so it is there.
     shorter = F.coalesce(F.element_at(F.array(*[F.lit(keys(d)) for d in range(DEPTH)]), F.col("length")), F.lit(0))
-    child = frequent.where("length > 0").withColumn("up", F.col("length") - 1).withColumn("tail", F.col("context").bitwiseAND(shorter))
-    parent = frequent.select(F.col("length").alias("up"), F.col("context").alias("tail"), "symbol", F.col("n").alias("up_n"), F.col("size").alias("up_size"))
+    child = counted.where("length > 0").withColumn("up", F.col("length") - 1).withColumn("tail", F.col("context").bitwiseAND(shorter))
+    parent = counted.select(F.col("length").alias("up"), F.col("context").alias("tail"), "symbol", F.col("n").alias("up_n"), F.col("size").alias("up_size"))
     gain = F.sum(F.col("n") * F.log2((F.col("n") / F.col("size")) / (F.col("up_n") / F.col("up_size"))))
-    stays = child.join(parent, ["up", "tail", "symbol"]).groupBy("length", "context").agg(gain.alias("gain")).where(F.col("gain") >= bits).select("length", "context").toArrow().to_pydict()
-    # With a context, everything it is prefixed or ended by: the automaton's states are closed under both.
-    states: dict[int, set[int]] = {d: set() for d in range(DEPTH + 1)}
-    states[0].add(0)
+    stays = child.join(parent, ["up", "tail", "symbol"]).groupBy("length", "context").agg(gain.alias("gain")).where((F.col("gain") >= bits) | (F.col("length") <= LOW)).select("length", "context").toArrow().to_pydict()
+    members: list[set[int]] = [{0}, *(set() for _ in range(DEPTH))]
     for d, c in zip(stays["length"], stays["context"], strict=True):
-        states[d].add(c)
+        for e in range(d + 1):
+            members[e].add(c & keys(e))
+    # The automaton's states are closed under prefixes too; those that do not stay have no counts of their own.
+    states = [set(x) for x in members]
     for d in range(DEPTH, 0, -1):
         for c in states[d]:
-            for e in range(d - 1, -1, -1):
-                states[e].add(c & keys(e))
-                states[e].add(c >> 8 * (d - e))
-    wanted = pa.table({"length": pa.array([d for d in states for _ in states[d]], pa.int32()), "context": pa.array([c for d in states for c in states[d]], pa.int64())})
-    found = frequent.join(F.broadcast(spark.createDataFrame(wanted)), ["length", "context"]).select("length", "context", "symbol", "n").toArrow()
+            for e in range(d):
+                states[e] |= {c & keys(e), c >> 8 * (d - e)}
+    wanted = pa.table({"length": pa.array([d for d, x in enumerate(members) for _ in x], pa.int32()), "context": pa.array([c for x in members for c in x], pa.int64())})
+    found = counted.join(spark.createDataFrame(wanted), ["length", "context"]).select("length", "context", "symbol", "n").toArrow()
     length, context, symbol, n = (found.column(x).to_numpy().astype(np.int64) for x in ("length", "context", "symbol", "n"))
     contexts, entries = [], []
     for d in range(DEPTH + 1):
@@ -313,15 +469,16 @@ def word_hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
 
 
-def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def scored(docs: DataFrame, bits: float = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", trained_on(F.col("doc_id")).alias("learn"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"))
-    counts = grown(written(counted_grams(docs.where("learn")), "grams"), threshold)
     splits = docs.groupBy("split").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("learn").alias("learned"))
-    most, ends = splits.agg(F.max("bytes"), F.sum("learned")).first()
+    most, total, ends = splits.agg(F.max("bytes"), F.sum("bytes"), F.sum("learned")).first()
     pieces, ends = max(1, -(-(most or 0) // BLOCK_BYTES)), ends or 0
     blocks = docs.withColumn("block", F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(pieces))))
 
+    logs = gram_logs(written(block_grams(blocks, max(BUCKETS, -(-(total or 0) // BUCKET_BYTES))), "grams"), bits)
+
     # Totals: the rows of a word are about as many as the blocks that have it.
     word = W.partitionBy("word")
     told = written(block_words(blocks).select("block", "word", "n", F.sum("n").over(word).alias("total"), (F.row_number().over(word.orderBy("block")) == 1).alias("first")), "words")
@@ -330,9 +487,11 @@ def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     distinct = facts["words"] + (ends > 0)  # the end is a token
     floor = tokens + 0.5 * (distinct + 1)
     elsewhere = told.where("total <> n AND word <> 0").select("block", "word", "total")
-    held = docs.sparkSession.sparkContext.broadcast(counts)  # bounded by the threshold
+    known = elsewhere.unionByName(logs, allowMissingColumns=True)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        sent = right.filter(pc.is_valid(right.column("grams"))).select(["size", "grams", "logs"]).to_pylist()
+        right = right.filter(pc.is_valid(right.column("word")))
         more = np.argsort(right.column("word").to_numpy().view(U64))
         more_word, more_total = right.column("word").to_numpy().view(U64)[more], right.column("total").to_numpy()[more]
         parts = [(part, *word_hashes(part)) for batch in left.to_batches() for part in words.text_slices(batch)]
@@ -342,6 +501,11 @@ def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         # A word that no other block has has the count that it has here.
         learned = [h[np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))] for part, h, at in parts]
         here, count = np.unique(np.concatenate(learned), return_counts=True)
+        # A gram that a block sent twice has got the same answer twice.
+        gram = np.concatenate([np.cumsum(unpacked(x["grams"], x["size"], U64), dtype=U64) for x in sent])
+        log = np.concatenate([unpacked_values(x["logs"], x["size"]) for x in sent])
+        order = np.argsort(gram)
+        gram, log, sent = gram[order], log[order], []
         out = []
         for part, h, at in parts:
             c = looked_up(here, count, h)
@@ -351,12 +515,17 @@ def scored(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             n = np.diff(at)
             row = np.repeat(np.arange(len(n)), n)
             base = np.bincount(row, weights=np.log10((c + 0.5) / floor), minlength=len(n)) + np.log10((ends + 0.5) / floor)
-            known = np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
-            score = held.value.tree.scores(*spelling(*words.flat(part.column("text"))))
-            out.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(known, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)}))
+            n_known = np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
+            symbols, begin = spelling(*words.flat(part.column("text")))
+            asked = by_suffix(grams_at(symbols, begin))
+            order = np.argsort(asked)  # searching in order is faster
+            each = np.empty(len(asked))
+            each[order] = log[np.searchsorted(gram, asked[order])]
+            score = np.add.reduceat(each, begin[:-1])  # each row has an end
+            out.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)}))
         return pa.concat_tables(out)
 
-    found = blocks.select("block", "doc_id", "text", "learn").groupBy("block").cogroup(elsewhere.groupBy("block")).applyInArrow(run, SCORED)
+    found = blocks.select("block", "doc_id", "text", "learn").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORED)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
     return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import brute
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -235,6 +236,18 @@ def test_suffix_tree_is_a_distribution(spark):
         assert abs(total - score) < 1e-6 * max(1, abs(total))
 
 
+def scored_grams(grams):
+    """Next byte: probability, of (context, next byte, count) with what log_probabilities() makes of them."""
+    key, n = suffix_tree_lm.merged(suffix_tree_lm.by_suffix(np.array([int.from_bytes(c + x, "big") for c, x, _ in grams], dtype=np.uint64)), np.array([n for _, _, n in grams]))
+    low = suffix_tree_lm.merged((key >> np.uint64(48) << np.uint64(8)) | (key & np.uint64(255)), n)
+    return dict(zip((key & np.uint64(255)).tolist(), 10.0 ** suffix_tree_lm.log_probabilities(key, n, low, suffix_tree_lm.BITS, suffix_tree_lm.PRIOR), strict=True))
+
+
+def test_suffix_tree_asks_for_the_same_evidence_of_a_larger_corpus():
+    """A context of 30 occurrences stays among 3 * 10 ** 9 symbols; a share of these was more than it saves."""
+    assert scored_grams([(b"qqqqabc", b"x", 30), (b"qqqqzbc", b"y", 3_000_000_000)])[ord("x")] > 0.8
+
+
 PAGES = [(1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://c", ""), (5, "u\r\nX: y", "é\x00\r\n\r\nWARC/1.1"), (6, "http://d", "<p>" + LONG), (7, "http://e", "<p>same</p>"), (7, "http://e", "<p>same</p>"), (None, "http://f", "<p>same</p>"), (None, "http://g", "alone")]
 
 
