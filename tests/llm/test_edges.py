@@ -236,6 +236,23 @@ def test_suffix_tree_is_a_distribution(spark):
         assert abs(total - score) < 1e-6 * max(1, abs(total))
 
 
+def test_suffix_tree_scores_are_those_of_the_whole_tree(spark, monkeypatch):
+    """Blocks and buckets score as one automaton of the whole tree does, with long contexts and whatever the flushes."""
+    draw = random.Random(5)
+    stems = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(3, 12))) for _ in range(60)]
+    df = spark.createDataFrame([(i, " ".join(draw.choice(stems) for _ in range(draw.randrange(300)))) for i in range(200)], "doc_id bigint, text string").repartition(5)
+    learned = df.where(suffix_tree_lm.trained_on(F.col("doc_id")))
+    held = suffix_tree_lm.grown(suffix_tree_lm.counted_grams(learned))
+    assert len(held.contexts) == 8
+    for flush in (5_000_000, 500):
+        monkeypatch.setattr(suffix_tree_lm, "FLUSH_GRAMS", flush)
+        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.scored(df).collect()}
+        texts = {r["doc_id"]: (r["text"] + "\n").encode() for r in df.collect()}
+        for d, x in texts.items():
+            want = held.tree.scores(np.frombuffer(x, dtype=np.uint8), np.array([0, len(x)]))[0]
+            assert abs(got[d] - want) < 1e-5 * max(1, abs(want))
+
+
 def scored_grams(grams):
     """Next byte: probability, of (context, next byte, count) with what log_probabilities() makes of them."""
     key, n = suffix_tree_lm.merged(suffix_tree_lm.by_suffix(np.array([int.from_bytes(c + x, "big") for c, x, _ in grams], dtype=np.uint64)), np.array([n for _, _, n in grams]))
