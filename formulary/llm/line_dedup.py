@@ -2,7 +2,9 @@
 
 Lines are what stands between line feeds; their words are compared. Lines of
 ``min_words`` words or more are duplicates when one word inserted, deleted or
-substituted makes them equal, shorter ones when they are equal. A line stays only
+substituted makes them equal, whatever their length; shorter ones only when they
+are equal, to each other: a line of ``min_words`` words is no duplicate of one with
+a word less. A line stays only
 if it is the earliest, by doc_id and line number, among its duplicates. Lines
 without words stay.
 
