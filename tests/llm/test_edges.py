@@ -265,6 +265,11 @@ def test_suffix_tree_asks_for_the_same_evidence_of_a_larger_corpus():
     assert scored_grams([(b"qqqqabc", b"x", 30), (b"qqqqzbc", b"y", 3_000_000_000)])[ord("x")] > 0.8
 
 
+def test_suffix_tree_keeps_a_sharp_context_of_few_occurrences():
+    """Four occurrences that save 12 bits each are fewer than 40 / 8, and pass."""
+    assert scored_grams([(b"qqqqabc", b"x", 4), (b"qqqqzbc", b"y", 16_000)])[ord("x")] > 0.2
+
+
 PAGES = [(1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://c", ""), (5, "u\r\nX: y", "é\x00\r\n\r\nWARC/1.1"), (6, "http://d", "<p>" + LONG), (7, "http://e", "<p>same</p>"), (7, "http://e", "<p>same</p>"), (None, "http://f", "<p>same</p>"), (None, "http://g", "alone")]
 
 
