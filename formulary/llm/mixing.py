@@ -100,6 +100,11 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
     """The mixed corpus itself: each row as often as it is emitted, with a column ``copy`` from 1."""
-    taken = copies(docs, **parameters).where("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("_copies"))
+    return emitted(docs, copies(docs, **parameters))
+
+
+def emitted(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row as often as a plan made by copies() says; rows that repeat an id as often as the one taken most."""
+    taken = plan.where("copies > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies"))
     copy = "copy" if "copy" not in docs.columns else "mix_copy"
-    return docs.join(taken, "doc_id").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias(copy))
+    return docs.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias(copy))

@@ -110,3 +110,15 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert left == {d for d, x in given if not brute.leaks(x, [b for _, b in benchmark], 12, 1)}
     given, left = kept["mixing"]
     assert left == {d for d, _ in given}
+
+
+def test_pipeline_carries_out_its_mix(spark):
+    """Each document stands in the result, with its columns, as often as the last stage's plan takes it."""
+    docs = table(spark, FOLDER, "documents")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, FOLDER)
+    plan = {r["doc_id"]: r["copies"] for r in corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER).collect()}
+    found = corpus_pipeline.run(spark, FOLDER)
+    assert found.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy"]
+    assert {0, 1, 2} >= set(plan.values()) > {1}
+    assert sorted((r["doc_id"], r["copy"]) for r in found.collect()) == sorted((d, i + 1) for d, n in plan.items() for i in range(n))
