@@ -6,19 +6,24 @@ Parquet, so that a lost executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; one of our own only where that is unset."""
+    """The folder named by ``spark.checkpoint.dir``; where that is unset, one of our own, in local mode only."""
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if told:
         return told.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = "file://" + tempfile.mkdtemp(prefix="formulary-")
@@ -39,6 +44,23 @@ def clear(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def dropped(spark: SparkSession) -> None:
+    """Lets Spark delete shuffle files that nothing refers to any more; else they stay until the driver's heap is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def opened_folder(uri: str) -> Iterator[pa.Table]:
+    """The Parquet files of a folder in the shared one, read on an executor; none where the folder is not there."""
+    from pyarrow import fs, parquet
+
+    store, path = fs.FileSystem.from_uri(uri)
+    for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
+        if info.is_file and info.base_name.endswith(".parquet"):
+            with store.open_input_file(info.path) as source:
+                yield parquet.ParquetFile(source).read()
+
+
 #: Rows that Spark hands to Python at once while a table is written; texts may be long.
 ARROW_ROWS = "1000"
 

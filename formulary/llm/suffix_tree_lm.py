@@ -1,469 +1,398 @@
-"""Language-model scores by a probabilistic suffix tree.
-
-A text is its words, A-Z lower-cased, then one end. The tree models how they are
-spelt: the bytes of the words with one space between two, and the end as a symbol
-of its own. A node is a context of up to DEPTH bytes.
-
-A context s stays in the tree if it says something that the context without its
-first byte does not: N(s) * KL(P(.|s) || P(.|shorter s)) >= BITS, with counts over
-all training texts. The evidence asked for is the same whatever the corpus, so the
-tree grows with it. Contexts of up to two bytes, and all that a context which stays
-ends with, stay too. Distributions are smoothed towards those of the shorter
-context; a symbol is scored in the longest context that stays.
-
-The tree is never in one place. A gram is a context of DEPTH bytes and the byte
-behind it. Each block sends its different grams, packed by a hash of the last three
-bytes of the context. A bucket has all grams whose contexts end alike, so it counts
-and judges all contexts of three bytes or more by itself, without a bound on their
-frequency; counts of shorter contexts (at most 256 ** 3, whatever the corpus) are
-broadcast. It sends back to each block the log probabilities of the block's grams.
-Buckets grow in number with the input, and so do rows of packed grams, with blocks
-times buckets; their bytes grow with the input only.
-
-Unigram counts of words, for the base score, are found block by block: a block is
-what one task reads, or a part of that by a hash of the id. Each block sends its
-different words once with their counts, and gets back the totals of those that
-other blocks have too. A word in every document costs one row for each block.
-Texts are shuffled once, to meet those totals and the grams.
-
-Words are known by a 64-bit hash.
+"""Language-model scores by a probabilistic suffix tree over words.
+
+A text is its tokens: its words, A-Z lower-cased, then one end. A context is some
+consecutive tokens; a text begins after an end. The tree holds contexts, each with
+the tokens that followed it in training texts, and grows from the empty context:
+
+* The empty context is the base: (c + 0.5) / (N + 0.5 (V + 1)) for a token counted
+  c times; all tokens that training does not have are one symbol with c = 0.
+* A longer context is judged if the context without its first token stays. It
+  stays if N(s) * divergence(s || shorter) >= BITS, so that a tree has no greatest
+  depth, and grows with the corpus. The divergence is between what follows s, with
+  all followers seen once taken together, and the shorter context's probabilities:
+  sum of n log2(n / (N p)) over followers with n >= 2, and
+  N1 log2((N1 + PRIOR) / (N + PRIOR)) for the N1 seen once.
+* Smoothing: P(w|s) = (n' + (N1 + PRIOR) * P(w|shorter)) / (N + PRIOR), with n' the
+  count n where it is at least 2, else 0. What was seen once stands for what was
+  not seen, and its share goes to the shorter context.
+* A token is scored in the longest context of the tree that it follows.
+
+In the test alone, p is rounded to quarters of a bit.
+
+The tree is never in one place. A block is some consecutive rows of a file. For
+contexts of one length after the other, each block asks for its different contexts
+and their followers, packed; a bucket, by a hash of the context, adds up what all
+blocks ask, judges, and answers each block what the block asked for. Answers are
+files of the block in the shared folder; texts stay where they are, and are read
+once for each length. A context of over one HOT-th of all tokens is dealt out by
+its followers instead, and what its buckets add up (a few numbers for each of at
+most HOT contexts) meets on the driver. A follower can occur twice behind a context
+only if it does behind the shorter one, and the context only if it occurs twice;
+others are not asked for, which loses none.
+
+Tokens and contexts are known by 64-bit hashes.
 
 Defined results: a null or empty text is an end alone; rows that repeat an id are
 documents of their own; rows without an id are not learned from; with nothing to
-learn from, symbols are equally likely; an empty table gives an empty result;
-other columns are ignored.
+learn from, every token has the base's probability; an empty table gives an empty
+result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from formulary.llm import words
-from formulary.llm.storage import written
+from formulary.llm.storage import dropped, fresh_path, opened_folder, written
 
 U64 = np.uint64
-#: Bytes of the longest context; with the next byte, 64 bits.
-DEPTH = 7
-#: Bytes of contexts that always stay.
-LOW = 2
-#: Bits that a context must save to stay, so that chance does not pass for knowledge.
-BITS = 40.0
-#: Weight of the shorter context's distribution, in symbols.
-PRIOR = 6.0
-END = 0x0A
-#: Bytes of text of one block.
-BLOCK_BYTES = 24 << 20
-#: Different grams that a task holds before it passes them on.
-FLUSH_GRAMS = 5_000_000
-#: Buckets of grams, at least, and bytes of text for each further one.
-BUCKETS = 128
-BUCKET_BYTES = 16 << 20
-#: Words that a task counts before it passes its different words on.
-FLUSH_WORDS = 5_000_000
-#: Bytes that an automaton runs over at once on each of many tracks.
-TRACK = 2048
-
-
-def trained_on(doc_id: Column) -> Column:
+#: Bits that a context must save to stay.
+BITS = 12.0
+#: Weight of the shorter context beside what was seen once, in tokens.
+PRIOR = 0.5
+END = U64(1)
+#: Bytes of text of a block, on average.
+BLOCK_BYTES = 16 << 20
+#: Tokens of text for each bucket.
+BUCKET_TOKENS = 1 << 20
+#: A context is dealt out by followers if it has more than one token in so many.
+HOT = 1000
+#: A context of fewer tokens is never dealt out.
+LEAST_HOT = 50_000
+
+
+def learned(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) != 1, F.lit(False))
 
 
-def spelling(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased bytes of all rows, words apart by one space and each row closed by END; and where rows start."""
-    data = words.LOWER[data]
-    starts, ends, at = words.spans(data, rows)
-    solid = ~words.SPACE[data]
-    n = np.diff(at)
-    # Each word is followed by one byte: a space, or END behind the last; a row without words is END alone.
-    kept = np.concatenate([[0], np.cumsum(solid)])
-    begin = np.r_[0, np.cumsum((kept[rows[1:]] - kept[rows[:-1]]) + np.maximum(n, 1))]
-    out = np.full(int(begin[-1]), 0x20, dtype=np.uint8)
-    word = np.cumsum(np.bincount(starts, minlength=len(data))[: len(data)]) - 1 if len(data) else np.empty(0, np.int64)
-    row_of_word = np.repeat(np.arange(len(n)), n)
-    # Before a byte of word w stand the bytes before it, w closing bytes, and one END for each earlier empty row.
-    empty = np.concatenate([[0], np.cumsum(n == 0)])
-    w = word[solid]
-    out[np.arange(len(w)) + w + empty[row_of_word[w]]] = data[solid]
-    out[begin[1:] - 1] = END
-    return out, begin
-
-
-def grams_at(symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
-    """(context of DEPTH, next) at each place of rows, as one number: the next byte lowest, then backwards."""
-    n = len(symbols)
-    held = np.r_[np.full(DEPTH, END, dtype=np.uint8), symbols]
-    code = np.ndarray(n, dtype=">u8", buffer=held, strides=(1,)).astype(U64)
-    for place in range(DEPTH):  # a text begins after ends
-        at = begin[:-1][np.diff(begin) > place] + place
-        own = U64((1 << 8 * (place + 1)) - 1)
-        code[at] = (code[at] & own) | (U64(int.from_bytes(bytes([END] * 8), "big")) & ~own)
-    return code
-
-
-def gram_counts(symbols: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different grams of rows, and how often they occur."""
-    code = np.sort(grams_at(symbols, begin))
-    n = len(code)
-    first = np.flatnonzero(np.r_[True, code[1:] != code[:-1]]) if n else np.empty(0, np.int64)
-    return code[first], np.diff(np.r_[first, n])
-
-
-def by_suffix(code: np.ndarray) -> np.ndarray:
-    """Grams with the context's last byte highest and the next byte lowest: in order, contexts that end alike are together."""
-    code = code.byteswap()
-    return (code << U64(8)) | (code >> U64(56))
-
-
-def merged(key: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different keys in order, and the sums of their counts."""
+def merged(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Different keys in order, and for each the sums of what stands beside them."""
     order = np.argsort(key)
-    key, n = key[order], n[order]
+    key = key[order]
     at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return key[at], np.add.reduceat(n, at, dtype=n.dtype) if len(at) else n
+    return key[at], *(np.add.reduceat(x[order], at) if len(at) else x for x in sums)
 
 
-def packed(x: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True)
-
-
-def unpacked(data: bytes, n: int, dtype: type) -> np.ndarray:
-    width = np.dtype(dtype).itemsize
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * width, codec="zstd"), dtype=np.uint8).reshape(width, n).T).view(dtype).reshape(n)
+def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each asked one is among ordered keys, and where."""
+    if not len(keys):
+        return np.zeros(len(asked), dtype=bool), np.zeros(len(asked), dtype=np.int64)
+    spot = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return keys[spot] == asked, spot
 
 
-def packed_values(x: np.ndarray) -> bytes:
-    """Floats of which many are equal, as different ones and places among them."""
-    values, place = np.unique(x, return_inverse=True)
-    wide = len(values) > 1 << 16
-    return len(values).to_bytes(4, "big") + values.tobytes() + packed(place.astype(np.uint32 if wide else np.uint16))
+def packed(x: np.ndarray) -> bytes:
+    """Bytes of numbers by place, compressed."""
+    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True) if len(x) else b""
 
 
-def unpacked_values(data: bytes, n: int) -> np.ndarray:
-    k = int.from_bytes(data[:4], "big")
-    return np.frombuffer(data, dtype=np.float32, count=k, offset=4)[unpacked(data[4 + 4 * k :], n, np.uint32 if k > 1 << 16 else np.uint16)]
+def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * width, codec="zstd"), dtype=np.uint8).reshape(width, n).T).view(kind).reshape(n) if n else np.empty(0, kind)
 
 
-def steps(key: np.ndarray) -> np.ndarray:
-    return np.diff(np.r_[U64(0), key])
+def stepped(key: np.ndarray) -> bytes:
+    return packed(np.diff(np.r_[U64(0), key]))
 
 
-def block_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """block, bucket, size, grams, counts: the different grams of what a task holds of a block, and how often training texts have them."""
+def unstepped(data: bytes, n: int) -> np.ndarray:
+    return np.cumsum(unpacked(data, n, U64), dtype=U64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = least = 0
-
-        def compact() -> int:
-            for block, parts in held.items():
-                held[block] = [merged(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
-            return sum(len(parts[0][0]) for parts in held.values())
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            compact()
-            for block, [(key, n)] in held.items():
-                bucket = (words.mix(key >> U64(40)) % U64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                key, n = key[order], n[order]
-                cuts = np.r_[0, np.cumsum(np.bincount(bucket, minlength=buckets))]
-                own = np.flatnonzero(np.diff(cuts))
-                parts = [slice(cuts[b], cuts[b + 1]) for b in own]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(own), block)), pa.array(own), pa.array(np.diff(cuts)[own]), pa.array([packed(steps(key[x])) for x in parts], pa.binary()), pa.array([packed(n[x]) for x in parts], pa.binary())],
-                    ["block", "bucket", "size", "grams", "counts"],
-                )
-
-        for batch in batches:
-            for part in words.text_slices(batch):
-                symbols, begin = spelling(*words.flat(part.column("text")))
-                key = by_suffix(grams_at(symbols, begin))
-                learn = np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(np.int32), np.diff(begin))
-                blocks = part.column("block").to_numpy()
-                for block in np.unique(blocks).tolist():
-                    own = np.repeat(blocks == block, np.diff(begin))
-                    held.setdefault(block, []).append(merged(key[own], learn[own]))
-                    size += len(held[block][-1][0])
-                if size >= least + FLUSH_GRAMS // 2:
-                    size = least = compact()
-                    if size >= FLUSH_GRAMS:
-                        yield from flush()
-                        held, size, least = {}, 0, 0
-        yield from flush()
-
-    return docs.select("block", "text", "learn").mapInArrow(run, "block bigint, bucket bigint, size bigint, grams binary, counts binary")
-
-
-def low_counts(grams: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """(context of LOW, next) in order as grams by suffix, and their counts."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, count = np.empty(0, U64), np.empty(0, np.int64)
-        for batch in batches:
-            for size, data, counts in zip(*(batch.column(x).to_pylist() for x in ("size", "grams", "counts")), strict=True):
-                key, n = np.cumsum(unpacked(data, size, U64), dtype=U64), unpacked(counts, size, np.int32)
-                key, n = key[n > 0], n[n > 0]
-                code, count = merged(np.r_[code, (key >> U64(64 - 8 * LOW) << U64(8)) | (key & U64(255))], np.r_[count, n])
-        yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(count)], ["code", "n"])
+def extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Hash of contexts with one more token in front."""
+    return words.mix(context * U64(0xA24BAED4963EE407) + token)
 
-    found = grams.select("size", "grams", "counts").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
-    return merged(found.column("code").to_numpy().view(U64), found.column("n").to_numpy())
 
+def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
+    return words.mix((context ^ U64(0x6A09E667F3BCC909)) * U64(0x9E3779B97F4A7C15) + words.mix(token))
 
-def log_probabilities(key: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray], bits: float, prior: float) -> np.ndarray:
-    """log10 probability of each gram's next byte in its longest context that stays.
 
-    Grams are by suffix, in order, different, and all of those whose contexts have
-    their last LOW + 1 bytes in common with one of them.
+@dataclass(frozen=True)
+class Answers:
+    """Of one length: contexts that stay, in order, and followers with n >= 2 (any, of the empty context), in order."""
+
+    contexts: np.ndarray
+    size: np.ndarray
+    once: np.ndarray
+    grams: np.ndarray
+    n: np.ndarray
+
+    @classmethod
+    def joined(cls, rows: list[dict], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Answers:
+        k, m = [r["n_contexts"] for r in rows], [r["n_grams"] for r in rows]
+        each = lambda name, sizes, kind: [unpacked(r[name], x, kind) for r, x in zip(rows, sizes, strict=True)]
+        contexts = np.concatenate([hot[0], *(unstepped(r["contexts"], x) for r, x in zip(rows, k, strict=True))])
+        size, once = np.concatenate([hot[1], *each("size", k, np.int64)]), np.concatenate([hot[2], *each("once", k, np.int64)])
+        grams, n = np.concatenate([np.empty(0, U64), *(unstepped(r["grams"], x) for r, x in zip(rows, m, strict=True))]), np.concatenate([np.empty(0, np.int64), *each("n", m, np.int64)])
+        # What a block asked for twice has got the same answer twice.
+        a, b = np.argsort(contexts), np.argsort(grams)
+        return cls(contexts[a], size[a], once[a], grams[b], n[b])
+
+
+class Block:
+    """Tokens of rows, and how far the tree's contexts reach at each of them."""
+
+    def __init__(self, parts: list[pa.RecordBatch]):
+        tokens, counts = [], []
+        for part in parts:
+            data, rows = words.flat(part.column("text"))
+            data = words.LOWER[data]
+            starts, ends, at = words.spans(data, rows)
+            h = words.hashes(data, starts, ends)
+            h[h == END] = U64(2)
+            n = np.diff(at)
+            out = np.full(len(h) + len(n), END)
+            out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+            tokens.append(out)
+            counts.append(n + 1)
+        self.counts = np.concatenate(counts)
+        self.begin = np.r_[0, np.cumsum(self.counts)]
+        self.held = np.concatenate([[END], *tokens])  # a row stands behind the end of the one before it
+        self.tokens = self.held[1:]
+        self.learn = np.repeat(np.concatenate([p.column("learn").to_numpy(zero_copy_only=False).astype(bool) for p in parts]), self.counts)
+
+    def walk(self, levels: list[Answers], floor: float) -> None:
+        """Follows the contexts of all levels that are answered.
+
+        Then ``p`` is each token's probability; ``at`` are the places whose context
+        of the last length stays, with its hash, and how often the token follows it.
+        """
+        n = len(self.tokens)
+        key, inverse = np.unique(self.tokens, return_inverse=True)
+        has, spot = found(levels[0].grams, key)
+        self.count = np.where(has, levels[0].n[spot] if len(levels[0].n) else 0, 0)[inverse]
+        self.base = (self.count + 0.5) / floor
+        self.p = self.base.copy()
+        self.at, self.context, self.n = np.arange(n), np.zeros(n, U64), self.count
+        history = np.arange(n) - np.repeat(self.begin[:-1], self.counts) + 1
+        #: Of each place, how often the token there follows the context asked for last, if twice at least; -1 where none was.
+        self.follows = self.count
+        for depth, level in enumerate(levels[1:], 1):
+            self.step(depth, history)
+            some = np.flatnonzero(self.n >= 2)
+            key, inverse = np.unique(gram(self.context[some], self.tokens[self.at[some]]), return_inverse=True)
+            has, spot = found(level.grams, key)
+            times = np.zeros(len(self.at), dtype=np.int64)
+            if len(some) and len(level.grams):
+                times[some] = np.where(has, level.n[spot], 0)[inverse]
+            self.follows = np.full(n, -1, dtype=np.int64)
+            self.follows[self.at] = times
+            key, inverse = np.unique(self.context, return_inverse=True)
+            has, spot = found(level.contexts, key)
+            on = has[inverse]
+            place = spot[inverse][on]
+            self.at, self.context, self.n = self.at[on], self.context[on], times[on]
+            self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / (level.size[place] + PRIOR)
+        self.step(len(levels), history)
+
+    def step(self, depth: int, history: np.ndarray) -> None:
+        """On to the contexts with one more token in front, where there is one, and where it can occur twice."""
+        on = history[self.at] >= depth
+        at = self.at[on]
+        # How often the last token follows what stands before it in the context, where that was asked for.
+        ends = self.count[self.begin[1] - 1]
+        prior = self.follows[at - 1] if depth > 1 else np.where(at > 0, self.count[at - 1], ends)
+        twice = (prior < 0) | (prior >= 2)
+        self.at, self.n, self.most = at[twice], self.n[on][twice], prior[twice]
+        self.context = extended(self.context[on][twice], self.held[self.at + 1 - depth])
+
+    def questions(self, block: int, buckets: int, hot: int) -> pa.RecordBatch:
+        """The contexts of ``at`` and their followers, by bucket."""
+        token, learn = self.tokens[self.at], self.learn[self.at].astype(np.int64)
+        context, inverse = np.unique(self.context, return_inverse=True)
+        size = np.bincount(inverse, weights=learn, minlength=len(context)).astype(np.int64)
+        dealt = np.zeros(len(context), dtype=bool)
+        dealt[inverse] = self.most > hot
+        some = np.flatnonzero(self.n >= 2)
+        g, first, back = np.unique(gram(self.context[some], token[some]), return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=learn[some], minlength=len(g)).astype(np.int64)
+        bits = np.clip(np.rint(-4 * np.log2(self.p[self.at[some[first]]])), 0, 255).astype(np.uint8)
+        owner = inverse[some[first]]
+        return packed_questions(block, buckets, context, size, dealt, g, owner, n, bits)
+
+    def counted(self, block: int, buckets: int) -> pa.RecordBatch:
+        """The tokens, as followers of the empty context."""
+        key, inverse = np.unique(self.tokens, return_inverse=True)
+        n = np.bincount(inverse, weights=self.learn, minlength=len(key)).astype(np.int64)
+        return packed_questions(block, buckets, np.zeros(1, U64), np.array([n.sum()]), np.ones(1, bool), key, np.zeros(len(key), np.int64), n, np.zeros(len(key), np.uint8))
+
+
+ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, n_grams bigint, grams binary, owner binary, n binary, bits binary"
+NAMES = [x.split()[0] for x in ASKED.split(", ")]
+TOLD = "block bigint, n_contexts bigint, contexts binary, size binary, once binary, n_grams bigint, grams binary, n binary, part array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
+
+
+def packed_questions(block: int, buckets: int, context: np.ndarray, size: np.ndarray, dealt: np.ndarray, g: np.ndarray, owner: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+    """A row for each bucket, and one more for contexts that are dealt out by followers.
+
+    A follower goes to its context's bucket, or to one of its own; a context that is
+    dealt out goes with each of its followers, and gives its size in one place.
     """
-    symbol = key & U64(255)
-    sizes, counts, passes, starts = [], [], [], []
-    for d in range(DEPTH + 1):
-        if d <= LOW:
-            own = merged((low[0] >> U64(8 + 8 * (LOW - d)) << U64(8)) | (low[0] & U64(255)), low[1])
-            prefix = (key >> U64(64 - 8 * d)) if d else np.zeros_like(key)
-            counts.append(looked_up(*own, (prefix << U64(8)) | symbol))
-            sizes.append(looked_up(*merged(own[0] >> U64(8), own[1]), prefix))
-            continue
-        prefix = key >> U64(64 - 8 * d)
-        start = np.flatnonzero(np.r_[True, prefix[1:] != prefix[:-1]])
-        runs = np.diff(np.r_[start, len(key)])
-        sizes.append(np.repeat(np.add.reduceat(n, start), runs))
-        counts.append(looked_up(*merged((prefix << U64(8)) | symbol, n), (prefix << U64(8)) | symbol) if d < DEPTH else n)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            saved = np.where(n > 0, n * np.log2((counts[d] / sizes[d]) / (counts[d - 1] / sizes[d - 1])), 0.0)
-        passes.append(np.repeat(np.add.reduceat(saved, start) >= bits, runs))
-        starts.append((start, runs))
-    stays = np.zeros(len(key), dtype=bool)
-    for d in range(DEPTH, LOW, -1):
-        start, runs = starts[d - LOW - 1]
-        stays = passes[d - LOW - 1] = np.repeat(np.logical_or.reduceat(stays | passes[d - LOW - 1], start), runs)
-    p = (counts[0] + 0.5) / (sizes[0] + 128.0)
-    for d in range(1, DEPTH + 1):
-        own = (counts[d] + prior * p) / (sizes[d] + prior)
-        p = own if d <= LOW else np.where(passes[d - LOW - 1], own, p)
-    return np.log10(p).astype(np.float32)
-
-
-def gram_logs(grams: DataFrame, bits: float, prior: float = PRIOR) -> DataFrame:
-    """block, size, grams, logs: log10 probabilities of the grams of written block_grams()."""
-    low = grams.sparkSession.sparkContext.broadcast(low_counts(grams))  # at most 256 ** 3 counts
+    home = (words.mix(context ^ U64(0x51)) % U64(buckets)).astype(np.int64)
+    to = np.where(dealt[owner], (g % U64(buckets)).astype(np.int64), home[owner])
+    group = 2 * to + dealt[owner]
+    order = np.argsort(group, kind="stable")  # grams stay in order within a group
+    g, owner, n, bits, group = g[order], owner[order], n[order], bits[order], group[order]
+    own = 2 * home + dealt
+    by_own = np.argsort(own, kind="stable")
+    rows: list[tuple] = []
+    for key in np.union1d(own, group).tolist():
+        a, b = np.searchsorted(group, [key, key + 1])
+        here = by_own[slice(*np.searchsorted(own[by_own], [key, key + 1]))]
+        asked = np.union1d(here, owner[a:b]) if key & 1 else here  # in order of their hashes
+        told = np.where(own[asked] == key, size[asked], 0)
+        place = np.searchsorted(asked, owner[a:b])
+        rows.append((key >> 1, block, bool(key & 1), len(asked), stepped(context[asked]), packed(told), b - a, stepped(g[a:b]), packed(place.astype(np.uint32 if len(asked) > 1 << 16 else np.uint16)), packed(n[a:b]), packed(bits[a:b])))
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], NAMES)
+
+
+def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
+    """Bits that contexts save: ``gain`` is the sum of n log2(n / p) over followers with n >= 2, ``twice`` that of n."""
+    once = size - twice
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return gain - np.where(twice > 0, twice * np.log2(np.maximum(size, 1)), 0) + np.where(once > 0, once * np.log2((once + PRIOR) / (size + PRIOR)), 0)
+
+
+def answered(bits_needed: float, least: int) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket does: adds up, judges, and answers each row. ``least`` is the least count of a follower that is told."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        sizes = bucket.column("size").to_pylist()
-        keys = [np.cumsum(unpacked(x, size, U64), dtype=U64) for x, size in zip(bucket.column("grams").to_pylist(), sizes, strict=True)]
-        counts = [unpacked(x, size, np.int32).astype(np.int64) for x, size in zip(bucket.column("counts").to_pylist(), sizes, strict=True)]
-        key, n = merged(np.concatenate(keys), np.concatenate(counts))
-        logs = log_probabilities(key, n, low.value, bits, prior)
-        return bucket.select(["block", "size", "grams"]).append_column("logs", pa.array([packed_values(logs[np.searchsorted(key, x)]) for x in keys], pa.binary()))
-
-    return grams.groupBy("bucket").applyInArrow(run, "block bigint, size bigint, grams binary, logs binary")
+        rows = bucket.to_pylist()
+        contexts = [unstepped(r["contexts"], r["n_contexts"]) for r in rows]
+        grams = [unstepped(r["grams"], r["n_grams"]) for r in rows]
+        hot = np.repeat([r["hot"] for r in rows], [r["n_contexts"] for r in rows])
+        every = np.concatenate(contexts)
+        key, size = merged(every, np.concatenate([unpacked(r["size"], r["n_contexts"], np.int64) for r in rows]))
+        dealt = np.zeros(len(key), dtype=bool)
+        dealt[np.searchsorted(key, every[hot])] = True
+        owner = [np.searchsorted(key, c)[unpacked(r["owner"], r["n_grams"], np.uint32 if r["n_contexts"] > 1 << 16 else np.uint16)] for r, c in zip(rows, contexts, strict=True)]
+        g, n, of, weight = np.concatenate(grams), np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), np.concatenate(owner), np.concatenate([unpacked(r["bits"], r["n_grams"], np.uint8) for r in rows])
+        order = np.argsort(g)
+        at = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]]) if len(g) else np.empty(0, np.int64)
+        n = np.add.reduceat(n[order], at) if len(at) else n
+        g, of, weight = g[order][at], of[order][at], weight[order][at]
+        two = n >= 2
+        twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
+        gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / 4), minlength=len(key))
+        stays = (gains(size, twice, gain) >= bits_needed) & ~dealt
+        told = n >= least
+        kept, told_grams, told_n = np.flatnonzero(stays), g[told], n[told]
+        out = []
+        for r, c, own in zip(rows, contexts, grams, strict=True):
+            c = np.intersect1d(c, key[kept], assume_unique=True)
+            spot = np.searchsorted(key, c)
+            has, at = found(told_grams, own)
+            out.append((r["block"], len(c), stepped(c), packed(size[spot]), packed((size - twice)[spot]), int(has.sum()), stepped(own[has]), packed(told_n[at[has]] if len(told_n) else told_n), []))
+        kinds = np.bincount(of[n > 0], minlength=len(key))
+        part = [{"context": int(key[i].view(np.int64)), "size": int(size[i]), "twice": int(twice[i]), "gain": float(gain[i]), "kinds": int(kinds[i]), "stays": 0} for i in np.flatnonzero(dealt)]
+        part.append({"context": None, "size": 0, "twice": 0, "gain": 0.0, "kinds": 0, "stays": len(kept)})
+        out[0] = (*out[0][:-1], part)
+        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWER, strict=True)], names=[x.split()[0] for x in TOLD.partition(", part")[0].split(", ")] + ["part"])
 
+    return run
 
-def counted_grams(texts: DataFrame) -> DataFrame:
-    """gram, n over all texts of (text)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
-
-        def flush() -> pa.RecordBatch:
-            code, n = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.argsort(code, kind="stable")
-            code, n = code[order], n[order]
-            at = np.flatnonzero(np.r_[True, code[1:] != code[:-1]])
-            return pa.RecordBatch.from_arrays([pa.array(code[at].view(np.int64)), pa.array(np.add.reduceat(n, at))], ["gram", "n"])
-
-        for batch in batches:
-            for part in words.text_slices(batch):
-                held.append(gram_counts(*spelling(*words.flat(part.column("text")))))
-                size += len(held[-1][0])
-                if size >= FLUSH_GRAMS:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
-
-    return texts.select("text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-@dataclass
-class Counts:
-    """A tree as counts; small to send, and made into an automaton where it is used."""
-
-    #: Sorted contexts of each length, closed under prefixes and suffixes.
-    contexts: list[np.ndarray]
-    #: Of each length: place of the context, symbol and count.
-    entries: list[tuple[np.ndarray, np.ndarray, np.ndarray]]
-    prior: float
-
-    @cached_property
-    def tree(self) -> Tree:
-        place, symbol, n = self.entries[0]
-        seen = np.union1d(symbol, [0x20, END]).astype(np.int64)
-        kind = np.full(256, len(seen), dtype=np.int64)
-        kind[seen] = np.arange(len(seen))
-        unseen = 256 - len(seen)
-        width = len(seen) + (unseen > 0)
-        spread = np.ones(width)
-        spread[len(seen) :] = unseen  # byte values of one class
-        base = np.r_[0, np.cumsum([len(x) for x in self.contexts])]
-        smooth: list[np.ndarray] = []
-        then = np.zeros((int(base[-1]), width), dtype=np.int32)
-        for d, (contexts, (place, symbol, n)) in enumerate(zip(self.contexts, self.entries, strict=True)):
-            counts = np.zeros((len(contexts), width))
-            counts[place, kind[symbol]] = n
-            size = counts.sum(axis=1, keepdims=True)
-            own = slice(base[d], base[d + 1])
-            if d:  # as without the first byte, unless a longer context goes on
-                shorter = np.searchsorted(self.contexts[d - 1], contexts & keys(d - 1))
-                smooth.append((counts + self.prior * smooth[d - 1][shorter]) / (size + self.prior))
-                then[own] = then[base[d - 1] + shorter]
-            else:
-                smooth.append((counts + 0.5 * spread) / (size + 128.0))
-            if d + 1 < len(self.contexts):
-                longer = self.contexts[d + 1]
-                then[base[d] + np.searchsorted(contexts, longer >> 8), kind[longer & 255]] = base[d + 1] + np.arange(len(longer))
-        ends = 0
-        for _ in range(DEPTH):
-            ends = int(then[ends, kind[END]])
-        return Tree(kind, then, np.log10(np.concatenate(smooth) / spread).astype(np.float32), ends)
+PART = pa.struct([("context", pa.int64()), ("size", pa.int64()), ("twice", pa.int64()), ("gain", pa.float64()), ("kinds", pa.int64()), ("stays", pa.int64())])
+ANSWER = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(PART))
 
 
 @dataclass(frozen=True)
-class Tree:
-    """The automaton of a tree's longest suffixes."""
-
-    #: Class of each byte; bytes that training did not see share the last one.
-    kind: np.ndarray
-    #: State after a state and a symbol's class.
-    then: np.ndarray
-    #: log10 probability of a symbol of a class in a state.
-    log: np.ndarray
-    #: State at the start of a text.
-    start: int
-
-    def scores(self, symbols: np.ndarray, begin: np.ndarray) -> np.ndarray:
-        """log10 probability of each row of a spelling.
-
-        Rows are cut into tracks that run side by side. A state depends on the last
-        DEPTH bytes alone, so a track that starts inside a row first runs over those.
-        """
-        width = self.then.shape[1]
-        then, log = self.then.reshape(-1), self.log.reshape(-1)
-        sizes = np.diff(begin)
-        cuts = -(-sizes // TRACK)
-        row = np.repeat(np.arange(len(sizes)), cuts)
-        nth = np.arange(len(row)) - np.repeat(np.cumsum(cuts) - cuts, cuts)
-        first = begin[:-1][row] + nth * TRACK
-        length = np.minimum(TRACK, begin[1:][row] - first)
-        order = np.argsort(-length, kind="stable")
-        row, first, length, nth = row[order], first[order], length[order], nth[order]
-        state = np.full(len(row), self.start, dtype=np.int64)
-        kinds = self.kind[symbols].astype(np.int64)
-        inner = np.flatnonzero(nth > 0)
-        for back in range(DEPTH, 0, -1):
-            state[inner] = then[state[inner] * width + kinds[first[inner] - back]]
-        total = np.zeros(len(row))
-        for step in range(int(length[0]) if len(length) else 0):
-            on = int(np.searchsorted(-length, -step, side="left"))
-            at = state[:on] * width + kinds[first[:on] + step]
-            total[:on] += log[at]
-            state[:on] = then[at]
-        return np.bincount(row, weights=total, minlength=len(sizes))
-
-
-def keys(length: int) -> int:
-    return (1 << 8 * length) - 1
-
-
-def grown(grams: DataFrame, bits: float = BITS, prior: float = PRIOR) -> Counts:
-    """The tree of counted grams in one place, as an automaton; for corpora whose tree fits there.
-
-    It scores as the buckets do, which are held against it.
-    """
-    spark = grams.sparkSession
-    context = lambda d: F.shiftrightunsigned("gram", 8).bitwiseAND(F.lit(keys(d)))
-    each = grams.select(F.explode(F.array(*[F.struct(F.lit(d).alias("length"), context(d).alias("context")) for d in range(DEPTH + 1)])).alias("at"), F.col("gram").bitwiseAND(F.lit(255)).alias("symbol"), "n")
-    each = each.groupBy("at.length", "at.context", "symbol").agg(F.sum("n").alias("n"))
-    counted = written(each.withColumn("size", F.sum("n").over(W.partitionBy("length", "context"))), "contexts")
-    # The context without its first byte occurs at least as often, so it is there.
-    shorter = F.coalesce(F.element_at(F.array(*[F.lit(keys(d)) for d in range(DEPTH)]), F.col("length")), F.lit(0))
-    child = counted.where("length > 0").withColumn("up", F.col("length") - 1).withColumn("tail", F.col("context").bitwiseAND(shorter))
-    parent = counted.select(F.col("length").alias("up"), F.col("context").alias("tail"), "symbol", F.col("n").alias("up_n"), F.col("size").alias("up_size"))
-    gain = F.sum(F.col("n") * F.log2((F.col("n") / F.col("size")) / (F.col("up_n") / F.col("up_size"))))
-    stays = child.join(parent, ["up", "tail", "symbol"]).groupBy("length", "context").agg(gain.alias("gain")).where((F.col("gain") >= bits) | (F.col("length") <= LOW)).select("length", "context").toArrow().to_pydict()
-    members: list[set[int]] = [{0}, *(set() for _ in range(DEPTH))]
-    for d, c in zip(stays["length"], stays["context"], strict=True):
-        for e in range(d + 1):
-            members[e].add(c & keys(e))
-    # The automaton's states are closed under prefixes too; those that do not stay have no counts of their own.
-    states = [set(x) for x in members]
-    for d in range(DEPTH, 0, -1):
-        for c in states[d]:
-            for e in range(d):
-                states[e] |= {c & keys(e), c >> 8 * (d - e)}
-    wanted = pa.table({"length": pa.array([d for d, x in enumerate(members) for _ in x], pa.int32()), "context": pa.array([c for x in members for c in x], pa.int64())})
-    found = counted.join(spark.createDataFrame(wanted), ["length", "context"]).select("length", "context", "symbol", "n").toArrow()
-    length, context, symbol, n = (found.column(x).to_numpy().astype(np.int64) for x in ("length", "context", "symbol", "n"))
-    contexts, entries = [], []
-    for d in range(DEPTH + 1):
-        if not states[d]:
+class Level:
+    """Where the answers for contexts of one length are, and the contexts that were dealt out and stay."""
+
+    path: str
+    hot: tuple[np.ndarray, np.ndarray, np.ndarray]
+
+    def of(self, block: int) -> Answers:
+        rows: list[dict] = []
+        for source in opened_folder(f"{self.path}/block={block}"):
+            rows += source.select(["n_contexts", "contexts", "size", "once", "n_grams", "grams", "n"]).to_pylist()
+        return Answers.joined(rows, self.hot)
+
+
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
+    """Consecutive rows of one block each."""
+    held, block = [], None
+    for batch in batches:
+        for part in words.text_slices(batch):
+            ids = part.column("block").to_numpy()
+            cuts = np.r_[0, np.flatnonzero(ids[1:] != ids[:-1]) + 1, len(ids)]
+            for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if held and ids[a] != block:
+                    yield block, held
+                    held = []
+                block = int(ids[a])
+                held.append(part.slice(a, b - a))
+    if held:
+        yield block, held
+
+
+def placed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, learn and block; a row's block is the same whenever the table is read, and blocks stand in order."""
+    narrow = [F.col("doc_id").cast("bigint").alias("doc_id"), "text", learned(F.col("doc_id")).alias("learn")]
+    where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
+    try:
+        docs = docs.select(*narrow, *where)
+    except AnalysisException:  # not read from files
+        docs = written(docs.select("doc_id", "text"), "lm-texts").select(*narrow, *where)
+    rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    each = max(1, int(BLOCK_BYTES * rows // max(1, size or 0)))
+    return docs.select("doc_id", "text", "learn", F.xxhash64("file", F.floor(F.col("row") / each)).alias("block"))
+
+
+def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None) -> tuple[list[Level], dict]:
+    """The answers of all lengths, the empty context first, and tokens, kinds and ends of the training texts."""
+    spark = blocks.sparkSession
+    levels: list[Level] = []
+    facts = {"tokens": 0, "kinds": 0}
+    buckets = 64
+    while most_levels is None or len(levels) <= most_levels:
+        known, floor, hot_size, count = list(levels), facts["tokens"] + 0.5 * (facts["kinds"] + 1), max(LEAST_HOT, facts["tokens"] // HOT), buckets
+
+        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for block, parts in blocks_of(batches):
+                own = Block(parts)
+                if not known:
+                    yield own.counted(block, count)
+                    continue
+                own.walk([level.of(block) for level in known], floor)
+                if len(own.at):
+                    yield own.questions(block, count, hot_size)
+
+        path = fresh_path(spark, f"lm-level-{len(levels)}")
+        told = blocks.select("block", "text", "learn").mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answered(bits, 2 if levels else 1), TOLD)
+        told.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+        parts = spark.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
+        parts = parts.agg(*[F.sum(f"p.{x}").alias(x) for x in ("size", "twice", "gain", "kinds", "stays")]).toArrow()  # HOT rows at most
+        del told
+        stays = pc.sum(parts.column("stays")).as_py() or 0
+        parts = parts.filter(pc.is_valid(parts.column("context")))
+        context, size, twice, gain = (parts.column(x).to_numpy() for x in ("context", "size", "twice", "gain"))
+        if not levels:
+            facts = {"tokens": int(size.sum()), "kinds": int(pc.sum(parts.column("kinds")).as_py() or 0)}
+            buckets = max(buckets, facts["tokens"] // BUCKET_TOKENS)
+            levels.append(Level(path, (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))))
+        else:
+            good = gains(size, twice, gain) >= bits
+            order = np.argsort(context.view(U64)[good])
+            levels.append(Level(path, tuple(x[good][order] for x in (context.view(U64), size, size - twice))))
+            stays += int(good.sum())
+            if not stays:
+                break
+        dropped(spark)
+        if not facts["tokens"]:
             break
-        here = length == d
-        contexts.append(np.array(sorted(states[d]), dtype=np.int64))
-        entries.append((np.searchsorted(contexts[-1], context[here]).astype(np.int32), symbol[here].astype(np.uint8), n[here]))
-    return Counts(contexts, entries, prior)
-
-
-def block_words(docs: DataFrame) -> DataFrame:
-    """block, word, n (count in training texts), one row for each word of what a task holds at once; word 0 counts the training tokens."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
-        size = 0
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            for block, parts in held.items():
-                word, inverse = np.unique(np.concatenate([w for w, _ in parts]), return_inverse=True)
-                n = np.bincount(inverse, weights=np.concatenate([n for _, n in parts]), minlength=len(word)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), block)), pa.array(word.view(np.int64)), pa.array(n)], ["block", "word", "n"])
-
-        for batch in batches:
-            for part in words.text_slices(batch):
-                h, at = word_hashes(part)
-                learn = part.column("learn").to_numpy(zero_copy_only=False).astype(np.int64)
-                n = np.diff(at)
-                blocks = part.column("block").to_numpy()
-                for block in np.unique(blocks).tolist():
-                    own = blocks == block
-                    word, inverse = np.unique(h[np.repeat(own, n)], return_inverse=True)
-                    count = np.bincount(inverse, weights=np.repeat((learn * own)[own], n[own]), minlength=len(word)).astype(np.int64)
-                    held.setdefault(block, []).append((np.r_[U64(0), word], np.r_[int(((n + 1) * learn * own).sum()), count]))
-                size += len(h)
-                if size >= FLUSH_WORDS:
-                    yield from flush()
-                    held, size = {}, 0
-        yield from flush()
-
-    return docs.select("block", "text", "learn").mapInArrow(run, "block bigint, word bigint, n bigint")
-
-
-def word_hashes(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    data, rows = words.flat(part.column("text"))
-    data = words.LOWER[data]
-    starts, ends, at = words.spans(data, rows)
-    h = words.hashes(data, starts, ends)
-    h[h == 0] = 1  # 0 stands for the number of tokens
-    return h, at
+    return levels, facts
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -471,67 +400,18 @@ SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, sco
 
 def scored(docs: DataFrame, bits: float = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", trained_on(F.col("doc_id")).alias("learn"), F.xxhash64(F.input_file_name(), F.input_file_block_start()).alias("split"))
-    splits = docs.groupBy("split").agg(F.sum(F.octet_length("text")).alias("bytes"), F.count_if("learn").alias("learned"))
-    most, total, ends = splits.agg(F.max("bytes"), F.sum("bytes"), F.sum("learned")).first()
-    pieces, ends = max(1, -(-(most or 0) // BLOCK_BYTES)), ends or 0
-    blocks = docs.withColumn("block", F.xxhash64("split", F.pmod(F.xxhash64("doc_id"), F.lit(pieces))))
-
-    logs = gram_logs(written(block_grams(blocks, max(BUCKETS, -(-(total or 0) // BUCKET_BYTES))), "grams"), bits)
-
-    # Totals: the rows of a word are about as many as the blocks that have it.
-    word = W.partitionBy("word")
-    told = written(block_words(blocks).select("block", "word", "n", F.sum("n").over(word).alias("total"), (F.row_number().over(word.orderBy("block")) == 1).alias("first")), "words")
-    facts = told.where("first").agg(F.max(F.when(F.col("word") == 0, F.col("total"))).alias("tokens"), F.count_if((F.col("word") != 0) & (F.col("total") > 0)).alias("words")).first()
-    tokens = facts["tokens"] or 0
-    distinct = facts["words"] + (ends > 0)  # the end is a token
-    floor = tokens + 0.5 * (distinct + 1)
-    elsewhere = told.where("total <> n AND word <> 0").select("block", "word", "total")
-    known = elsewhere.unionByName(logs, allowMissingColumns=True)
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        sent = right.filter(pc.is_valid(right.column("grams"))).select(["size", "grams", "logs"]).to_pylist()
-        right = right.filter(pc.is_valid(right.column("word")))
-        more = np.argsort(right.column("word").to_numpy().view(U64))
-        more_word, more_total = right.column("word").to_numpy().view(U64)[more], right.column("total").to_numpy()[more]
-        parts = [(part, *word_hashes(part)) for batch in left.to_batches() for part in words.text_slices(batch)]
-        empty = {"doc_id": [], "n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        if not parts:
-            return pa.table(empty, schema=pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]))
-        # A word that no other block has has the count that it has here.
-        learned = [h[np.repeat(part.column("learn").to_numpy(zero_copy_only=False).astype(bool), np.diff(at))] for part, h, at in parts]
-        here, count = np.unique(np.concatenate(learned), return_counts=True)
-        # A gram that a block sent twice has got the same answer twice.
-        gram = np.concatenate([np.cumsum(unpacked(x["grams"], x["size"], U64), dtype=U64) for x in sent])
-        log = np.concatenate([unpacked_values(x["logs"], x["size"]) for x in sent])
-        order = np.argsort(gram)
-        gram, log, sent = gram[order], log[order], []
-        out = []
-        for part, h, at in parts:
-            c = looked_up(here, count, h)
-            spot = np.minimum(np.searchsorted(more_word, h), max(0, len(more_word) - 1))
-            if len(more_word):
-                c = np.where(more_word[spot] == h, more_total[spot], c)
-            n = np.diff(at)
-            row = np.repeat(np.arange(len(n)), n)
-            base = np.bincount(row, weights=np.log10((c + 0.5) / floor), minlength=len(n)) + np.log10((ends + 0.5) / floor)
-            n_known = np.bincount(row, weights=c > 0, minlength=len(n)).astype(np.int64) + (ends > 0)
-            symbols, begin = spelling(*words.flat(part.column("text")))
-            asked = by_suffix(grams_at(symbols, begin))
-            order = np.argsort(asked)  # searching in order is faster
-            each = np.empty(len(asked))
-            each[order] = log[np.searchsorted(gram, asked[order])]
-            score = np.add.reduceat(each, begin[:-1])  # each row has an end
-            out.append(pa.table({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n + 1, pa.int64()), "n_known": pa.array(n_known, pa.int64()), "base_score": pa.array(base), "score": pa.array(score)}))
-        return pa.concat_tables(out)
-
-    found = blocks.select("block", "doc_id", "text", "learn").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(run, SCORED)
-    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
-    return found.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+    blocks = placed(docs)
+    levels, facts = grown(blocks, bits)
+    floor = facts["tokens"] + 0.5 * (facts["kinds"] + 1)
 
-
-def looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    if not len(keys):
-        return np.zeros(len(asked), dtype=np.int64)
-    spot = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[spot] == asked, values[spot], 0)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, parts in blocks_of(batches):
+            own = Block(parts)
+            own.walk([level.of(block) for level in levels], floor)
+            total = lambda x: np.add.reduceat(x, own.begin[:-1])
+            ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
+            yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts, pa.int64()), pa.array(total((own.count > 0).astype(np.int64))), pa.array(total(np.log10(own.base))), pa.array(total(np.log10(own.p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    result = blocks.select("doc_id", "block", "text", "learn").mapInArrow(run, SCORED)
+    held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
+    return result.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(facts["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")

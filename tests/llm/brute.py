@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
+from collections import Counter, defaultdict
+from dataclasses import dataclass
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -80,3 +84,58 @@ def leaks(text: str | None, items: list[str | None], span: int, tolerated: int)
                 else:
                     return True
     return False
+
+
+@dataclass
+class Context:
+    counts: Counter
+    size: int
+    prior: float = 0.0
+
+    @property
+    def once(self) -> int:
+        return sum(n == 1 for n in self.counts.values())
+
+
+END = None
+
+
+def behind(tree: dict[tuple, Context], history: tuple, token: str | None) -> float:
+    """Probability of a token in the longest context of the tree that the history ends with."""
+    own = tree[()]
+    p = (own.counts[token] + 0.5) / (own.size + 0.5 * (len(own.counts) + 1))
+    for depth in range(1, len(history) + 1):
+        own = tree.get(history[len(history) - depth :])
+        if own is None:
+            break
+        n = own.counts[token]
+        p = ((n if n >= 2 else 0) + (own.once + own.prior) * p) / (own.size + own.prior)
+    return p
+
+
+def suffix_tree(rows: list[tuple[int | None, str | None]], bits: float, prior: float) -> tuple[dict[tuple, Context], list[tuple[int, float]]]:
+    """The tree, and number of tokens and log10 probability of each row."""
+    texts = [[END, *WORD.findall(lowered(x)), END] for _, x in rows]
+    taught = [t for (d, _), t in zip(rows, texts, strict=True) if d is not None and zlib.crc32(str(d).encode()) % 5 != 1]
+    counts = Counter(w for t in taught for w in t[1:])
+    tree = {(): Context(counts, sum(counts.values()), prior)}
+    last, depth = set(tree), 0
+    while last:
+        depth += 1
+        seen: dict[tuple, Counter] = defaultdict(Counter)
+        for t in taught:
+            for i in range(depth, len(t)):
+                if tuple(t[i - depth + 1 : i]) in last:
+                    seen[tuple(t[i - depth : i])][t[i]] += 1
+        last = set()
+        for context, counts in seen.items():
+            size, once = sum(counts.values()), sum(n == 1 for n in counts.values())
+            saved = once * math.log2((once + prior) / (size + prior)) if once else 0.0
+            for w, n in counts.items():
+                if n >= 2:
+                    quarters = min(255, round(-4 * math.log2(behind(tree, context[1:], w))))
+                    saved += n * (math.log2(n / size) + quarters / 4)
+            if saved >= bits:
+                last.add(context)
+        tree |= {c: Context(seen[c], sum(seen[c].values()), prior) for c in last}
+    return tree, [(len(t) - 1, sum(math.log10(behind(tree, tuple(t[:i]), t[i])) for i in range(1, len(t)))) for t in texts]

@@ -215,59 +215,44 @@ def test_suffix_tree_lm(docs, nothing):
     assert suffix_tree_lm.scored(nothing).count() == 0
 
 
-def test_suffix_tree_is_a_distribution(spark):
-    """Summed over all next bytes, every state's probabilities are 1; a slow walk gives the same scores."""
-    import numpy as np
-
-    draw = random.Random(2)
-    texts = [" ".join(draw.choice(("the", "then", "hat", "cat", "é")) for _ in range(draw.randrange(2000))) for _ in range(40)] + [None, ""]
-    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id bigint, text string")
-    tree = suffix_tree_lm.grown(suffix_tree_lm.counted_grams(df), 1e-4).tree
-    seen = tree.log.shape[1] - 1
-    assert np.allclose((10.0 ** tree.log.astype(float) * np.r_[np.ones(seen), 256 - seen]).sum(axis=1), 1, atol=1e-6)
-    spelt = [(" ".join((x or "").split()) + "\n").encode() for x in texts]
-    symbols = np.frombuffer(b"".join(spelt), dtype=np.uint8)
-    begin = np.r_[0, np.cumsum([len(x) for x in spelt])]
-    for text, score in zip(spelt, tree.scores(symbols, begin), strict=True):
-        state, total = tree.start, 0.0
-        for byte in text:
-            total += float(tree.log[state, tree.kind[byte]])
-            state = int(tree.then[state, tree.kind[byte]])
-        assert abs(total - score) < 1e-6 * max(1, abs(total))
-
-
-def test_suffix_tree_scores_are_those_of_the_whole_tree(spark, monkeypatch):
-    """Blocks and buckets score as one automaton of the whole tree does, with long contexts and whatever the flushes."""
-    draw = random.Random(5)
-    stems = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(3, 12))) for _ in range(60)]
-    df = spark.createDataFrame([(i, " ".join(draw.choice(stems) for _ in range(draw.randrange(300)))) for i in range(200)], "doc_id bigint, text string").repartition(5)
-    learned = df.where(suffix_tree_lm.trained_on(F.col("doc_id")))
-    held = suffix_tree_lm.grown(suffix_tree_lm.counted_grams(learned))
-    assert len(held.contexts) == 8
-    for flush in (5_000_000, 500):
-        monkeypatch.setattr(suffix_tree_lm, "FLUSH_GRAMS", flush)
-        got = {r["doc_id"]: r["score"] for r in suffix_tree_lm.scored(df).collect()}
-        texts = {r["doc_id"]: (r["text"] + "\n").encode() for r in df.collect()}
-        for d, x in texts.items():
-            want = held.tree.scores(np.frombuffer(x, dtype=np.uint8), np.array([0, len(x)]))[0]
-            assert abs(got[d] - want) < 1e-5 * max(1, abs(want))
-
-
-def scored_grams(grams):
-    """Next byte: probability, of (context, next byte, count) with what log_probabilities() makes of them."""
-    key, n = suffix_tree_lm.merged(suffix_tree_lm.by_suffix(np.array([int.from_bytes(c + x, "big") for c, x, _ in grams], dtype=np.uint64)), np.array([n for _, _, n in grams]))
-    low = suffix_tree_lm.merged((key >> np.uint64(48) << np.uint64(8)) | (key & np.uint64(255)), n)
-    return dict(zip((key & np.uint64(255)).tolist(), 10.0 ** suffix_tree_lm.log_probabilities(key, n, low, suffix_tree_lm.BITS, suffix_tree_lm.PRIOR), strict=True))
+def letters(draw, n):
+    """Texts of few words with copies, near copies and lines that repeat, so that long contexts occur."""
+    stems = ["".join(draw.choice("abcdeé") for _ in range(draw.randrange(1, 7))) for _ in range(40)]
+    texts = [" ".join(draw.choices(stems, range(1, 41), k=draw.randrange(120))) for _ in range(n)]
+    texts += [x.upper() for x in texts[: n // 4]] + [x + " end" for x in texts[: n // 6]] + ["the same passage of a few words " * 5 + x for x in texts[: n // 5]]
+    return [(i, x) for i, x in enumerate([*texts, None, "", "  ", "b"])] + [(None, texts[0])]
+
+
+@pytest.mark.parametrize(("bits", "hot", "size"), [(12.0, 1000, 16 << 20), (3.0, 5, 8000)])
+def test_suffix_tree_scores_are_those_of_brute_force(spark, monkeypatch, bits, hot, size):
+    """In one block or many, with contexts dealt out by followers or not."""
+    monkeypatch.setattr(suffix_tree_lm, "BLOCK_BYTES", size)
+    monkeypatch.setattr(suffix_tree_lm, "HOT", hot)
+    monkeypatch.setattr(suffix_tree_lm, "LEAST_HOT", hot)
+    plain = letters(random.Random(5), 120)
+    tree, scores = brute.suffix_tree(plain, bits, suffix_tree_lm.PRIOR)
+    assert max(map(len, tree)) >= 3
+    found = suffix_tree_lm.scored(wide(spark.createDataFrame(plain, "doc_id bigint, text string").repartition(3)), bits).collect()
+    got = sorted((str(r["doc_id"]), r["n_tokens"], r["score"]) for r in found)
+    want = sorted((str(d), n, x) for (d, _), (n, x) in zip(plain, scores, strict=True))
+    assert [x[:2] for x in got] == [x[:2] for x in want]
+    assert all(abs(a[2] - b[2]) < 1e-6 * max(1, abs(b[2])) for a, b in zip(got, want, strict=True))
+
+
+def test_suffix_tree_is_a_distribution():
+    """Behind every context, the probabilities of all tokens and of the unknown one add up to 1."""
+    tree, _ = brute.suffix_tree(letters(random.Random(7), 60), 1.0, suffix_tree_lm.PRIOR)
+    tokens = [*tree[()].counts, "an unknown word"]
+    assert len(tree) > 50
+    assert all(abs(sum(brute.behind(tree, context, w) for w in tokens) - 1) < 1e-9 for context in tree)
 
 
 def test_suffix_tree_asks_for_the_same_evidence_of_a_larger_corpus():
-    """A context of 30 occurrences stays among 3 * 10 ** 9 symbols; a share of these was more than it saves."""
-    assert scored_grams([(b"qqqqabc", b"x", 30), (b"qqqqzbc", b"y", 3_000_000_000)])[ord("x")] > 0.8
-
-
-def test_suffix_tree_keeps_a_sharp_context_of_few_occurrences():
-    """Four occurrences that save 12 bits each are fewer than 40 / 8, and pass."""
-    assert scored_grams([(b"qqqqabc", b"x", 4), (b"qqqqzbc", b"y", 16_000)])[ord("x")] > 0.2
+    """Followers of a context, beside a corpus as it is or a million times larger, are judged alike but for their rarity."""
+    size, twice = np.array([30, 4, 2, 2]), np.array([30, 4, 2, 0])
+    for p in (1e-4, 1e-10):
+        gain = twice * (np.log2(np.maximum(twice, 1)) - np.log2(p))
+        assert (suffix_tree_lm.gains(size, twice, gain) >= suffix_tree_lm.BITS).tolist() == [True, True, True, False]
 
 
 PAGES = [(1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://c", ""), (5, "u\r\nX: y", "é\x00\r\n\r\nWARC/1.1"), (6, "http://d", "<p>" + LONG), (7, "http://e", "<p>same</p>"), (7, "http://e", "<p>same</p>"), (None, "http://f", "<p>same</p>"), (None, "http://g", "alone")]
