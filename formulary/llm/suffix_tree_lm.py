@@ -7,8 +7,8 @@ the tokens that followed it in training texts, and grows from the empty context:
 * The empty context is the base: (c + 0.5) / (N + 0.5 (V + 1)) for a token counted
   c times; all tokens that training does not have are one symbol with c = 0.
 * A longer context is judged if the context without its first token stays. It
-  stays if N(s) * divergence(s || shorter) >= BITS, so that a tree has no greatest
-  depth, and grows with the corpus. The divergence is between what follows s, with
+  stays if N(s) * divergence(s || shorter) >= BITS + N(s) / STEPS, so that a tree has
+  no greatest depth, and grows with the corpus. The divergence is between what follows s, with
   all followers seen once taken together, and the shorter context's probabilities:
   sum of n log2(n / (N p)) over followers with n >= 2, and
   N1 log2((N1 + PRIOR) / (N + PRIOR)) for the N1 seen once.
@@ -17,7 +17,8 @@ the tokens that followed it in training texts, and grows from the empty context:
   not seen, and its share goes to the shorter context.
 * A token is scored in the longest context of the tree that it follows.
 
-In the test alone, p is rounded to quarters of a bit.
+In the test alone, log2 p is rounded to one STEPS-th of a bit; what is asked for
+beside BITS is twice the greatest error of that.
 
 The tree is never in one place. A block is some consecutive rows of a file. For
 contexts of one length after the other, each block asks for its different contexts
@@ -58,6 +59,8 @@ U64 = np.uint64
 BITS = 12.0
 #: Weight of the shorter context beside what was seen once, in tokens.
 PRIOR = 0.5
+#: Steps of a bit to which logarithms are rounded for the test.
+STEPS = 32
 END = U64(1)
 #: Bytes of text of a block, on average.
 BLOCK_BYTES = 16 << 20
@@ -215,7 +218,7 @@ class Block:
         some = np.flatnonzero(self.n >= 2)
         g, first, back = np.unique(gram(self.context[some], token[some]), return_index=True, return_inverse=True)
         n = np.bincount(back, weights=learn[some], minlength=len(g)).astype(np.int64)
-        bits = np.clip(np.rint(-4 * np.log2(self.p[self.at[some[first]]])), 0, 255).astype(np.uint8)
+        bits = np.clip(np.rint(-STEPS * np.log2(self.p[self.at[some[first]]])), 0, 65535).astype(np.uint16)
         owner = inverse[some[first]]
         return packed_questions(block, buckets, context, size, dealt, g, owner, n, bits)
 
@@ -223,7 +226,7 @@ class Block:
         """The tokens, as followers of the empty context."""
         key, inverse = np.unique(self.tokens, return_inverse=True)
         n = np.bincount(inverse, weights=self.learn, minlength=len(key)).astype(np.int64)
-        return packed_questions(block, buckets, np.zeros(1, U64), np.array([n.sum()]), np.ones(1, bool), key, np.zeros(len(key), np.int64), n, np.zeros(len(key), np.uint8))
+        return packed_questions(block, buckets, np.zeros(1, U64), np.array([n.sum()]), np.ones(1, bool), key, np.zeros(len(key), np.int64), n, np.zeros(len(key), np.uint16))
 
 
 ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, n_grams bigint, grams binary, owner binary, n binary, bits binary"
@@ -257,10 +260,10 @@ def packed_questions(block: int, buckets: int, context: np.ndarray, size: np.nda
 
 
 def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
-    """Bits that contexts save: ``gain`` is the sum of n log2(n / p) over followers with n >= 2, ``twice`` that of n."""
+    """Bits that contexts save beyond what rounding may make: ``gain`` is the sum of n log2(n / p) over followers with n >= 2, ``twice`` that of n."""
     once = size - twice
     with np.errstate(divide="ignore", invalid="ignore"):
-        return gain - np.where(twice > 0, twice * np.log2(np.maximum(size, 1)), 0) + np.where(once > 0, once * np.log2((once + PRIOR) / (size + PRIOR)), 0)
+        return gain - size / STEPS - np.where(twice > 0, twice * np.log2(np.maximum(size, 1)), 0) + np.where(once > 0, once * np.log2((once + PRIOR) / (size + PRIOR)), 0)
 
 
 def answered(bits_needed: float, least: int) -> Callable[[pa.Table], pa.Table]:
@@ -276,14 +279,14 @@ def answered(bits_needed: float, least: int) -> Callable[[pa.Table], pa.Table]:
         dealt = np.zeros(len(key), dtype=bool)
         dealt[np.searchsorted(key, every[hot])] = True
         owner = [np.searchsorted(key, c)[unpacked(r["owner"], r["n_grams"], np.uint32 if r["n_contexts"] > 1 << 16 else np.uint16)] for r, c in zip(rows, contexts, strict=True)]
-        g, n, of, weight = np.concatenate(grams), np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), np.concatenate(owner), np.concatenate([unpacked(r["bits"], r["n_grams"], np.uint8) for r in rows])
+        g, n, of, weight = np.concatenate(grams), np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), np.concatenate(owner), np.concatenate([unpacked(r["bits"], r["n_grams"], np.uint16) for r in rows])
         order = np.argsort(g)
         at = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]]) if len(g) else np.empty(0, np.int64)
         n = np.add.reduceat(n[order], at) if len(at) else n
         g, of, weight = g[order][at], of[order][at], weight[order][at]
         two = n >= 2
         twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
-        gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / 4), minlength=len(key))
+        gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / STEPS), minlength=len(key))
         stays = (gains(size, twice, gain) >= bits_needed) & ~dealt
         told = n >= least
         kept, told_grams, told_n = np.flatnonzero(stays), g[told], n[told]

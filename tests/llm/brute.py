@@ -133,9 +133,9 @@ def suffix_tree(rows: list[tuple[int | None, str | None]], bits: float, prior: f
             saved = once * math.log2((once + prior) / (size + prior)) if once else 0.0
             for w, n in counts.items():
                 if n >= 2:
-                    quarters = min(255, round(-4 * math.log2(behind(tree, context[1:], w))))
-                    saved += n * (math.log2(n / size) + quarters / 4)
-            if saved >= bits:
+                    steps = min(65535, round(-32 * math.log2(behind(tree, context[1:], w))))
+                    saved += n * (math.log2(n / size) + steps / 32)
+            if saved >= bits + size / 32:
                 last.add(context)
         tree |= {c: Context(seen[c], sum(seen[c].values()), prior) for c in last}
     return tree, [(len(t) - 1, sum(math.log10(behind(tree, tuple(t[:i]), t[i])) for i in range(1, len(t)))) for t in texts]
