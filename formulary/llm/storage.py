@@ -50,15 +50,16 @@ def dropped(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def opened_folder(uri: str) -> Iterator[pa.Table]:
-    """The Parquet files of a folder in the shared one, read on an executor; none where the folder is not there."""
+def opened_folder(uri: str, columns: list[str], where: tuple[str, object]) -> Iterator[pa.Table]:
+    """Rows of the Parquet files of a shared folder that have a value in a column, read on an executor; none where there is no such folder."""
+    import pyarrow.compute as pc
     from pyarrow import fs, parquet
 
     store, path = fs.FileSystem.from_uri(uri)
     for info in store.get_file_info(fs.FileSelector(path, allow_not_found=True)):
         if info.is_file and info.base_name.endswith(".parquet"):
             with store.open_input_file(info.path) as source:
-                yield parquet.ParquetFile(source).read()
+                yield parquet.read_table(source, columns=columns, filters=pc.field(where[0]) == where[1])
 
 
 #: Rows that Spark hands to Python at once while a table is written; texts may be long.

@@ -24,8 +24,8 @@ The tree is never in one place. A block is some consecutive rows of a file. For
 contexts of one length after the other, each block asks for its different contexts
 and their followers, packed; a bucket, by a hash of the context, adds up what all
 blocks ask, judges, and answers each block what the block asked for. Answers are
-files of the block in the shared folder; texts stay where they are, and are read
-once for each length. A context of over one HOT-th of all tokens is dealt out by
+files in the shared folder; texts stay where they are, and are read once for each
+length, and where lengths grow, only the places that the tree still reaches are kept. A context of over one HOT-th of all tokens is dealt out by
 its followers instead, and what its buckets add up (a few numbers for each of at
 most HOT contexts) meets on the driver. A follower can occur twice behind a context
 only if it does behind the shorter one, and the context only if it occurs twice;
@@ -63,7 +63,11 @@ PRIOR = 0.5
 STEPS = 32
 END = U64(1)
 #: Bytes of text of a block, on average.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
+#: Folders of answers.
+SHELVES = 2048
+#: Contexts of up to this length are followed anew in each pass; beyond, few places are left, and these are kept.
+ANEW = 2
 #: Tokens of text for each bucket.
 BUCKET_TOKENS = 1 << 20
 #: A context is dealt out by followers if it has more than one token in so many.
@@ -85,11 +89,19 @@ def merged(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each asked one is among ordered keys, and where."""
-    if not len(keys):
-        return np.zeros(len(asked), dtype=bool), np.zeros(len(asked), dtype=np.int64)
-    spot = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return keys[spot] == asked, spot
+    """Whether each asked one is among different keys, and where."""
+    spot = pc.fill_null(pc.index_in(pa.array(asked), value_set=pa.array(keys)), -1).to_numpy(zero_copy_only=False)
+    return spot >= 0, spot
+
+
+def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different values in order, and of each one its place among them; faster than by sorting all."""
+    held = pa.array(x).dictionary_encode()
+    values = held.dictionary.to_numpy()
+    order = np.argsort(values)
+    rank = np.empty(len(values), dtype=np.int64)
+    rank[order] = np.arange(len(values))
+    return values[order], rank[held.indices.to_numpy()]
 
 
 def packed(x: np.ndarray) -> bytes:
@@ -121,7 +133,7 @@ def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Answers:
-    """Of one length: contexts that stay, in order, and followers with n >= 2 (any, of the empty context), in order."""
+    """Of one length: contexts that stay, and followers with n >= 2 (any, of the empty context)."""
 
     contexts: np.ndarray
     size: np.ndarray
@@ -136,9 +148,7 @@ class Answers:
         contexts = np.concatenate([hot[0], *(unstepped(r["contexts"], x) for r, x in zip(rows, k, strict=True))])
         size, once = np.concatenate([hot[1], *each("size", k, np.int64)]), np.concatenate([hot[2], *each("once", k, np.int64)])
         grams, n = np.concatenate([np.empty(0, U64), *(unstepped(r["grams"], x) for r, x in zip(rows, m, strict=True))]), np.concatenate([np.empty(0, np.int64), *each("n", m, np.int64)])
-        # What a block asked for twice has got the same answer twice.
-        a, b = np.argsort(contexts), np.argsort(grams)
-        return cls(contexts[a], size[a], once[a], grams[b], n[b])
+        return cls(contexts, size, once, grams, n)  # what a block asked for twice has got the same answer twice
 
 
 class Block:
@@ -157,53 +167,69 @@ class Block:
             out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
             tokens.append(out)
             counts.append(n + 1)
+        self.rows = np.concatenate([p.column("row").to_numpy() for p in parts])
         self.counts = np.concatenate(counts)
         self.begin = np.r_[0, np.cumsum(self.counts)]
         self.held = np.concatenate([[END], *tokens])  # a row stands behind the end of the one before it
         self.tokens = self.held[1:]
         self.learn = np.repeat(np.concatenate([p.column("learn").to_numpy(zero_copy_only=False).astype(bool) for p in parts]), self.counts)
 
-    def walk(self, levels: list[Answers], floor: float) -> None:
-        """Follows the contexts of all levels that are answered.
-
-        Then ``p`` is each token's probability; ``at`` are the places whose context
-        of the last length stays, with its hash, and how often the token follows it.
-        """
-        n = len(self.tokens)
-        key, inverse = np.unique(self.tokens, return_inverse=True)
-        has, spot = found(levels[0].grams, key)
-        self.count = np.where(has, levels[0].n[spot] if len(levels[0].n) else 0, 0)[inverse]
+    @property
+    def history(self) -> np.ndarray:
+        """Tokens that stand before each one, with the end before its text."""
+        return np.arange(1, len(self.tokens) + 1) - np.repeat(self.begin[:-1], self.counts)
+
+    def start(self, level: Answers, floor: float) -> None:
+        """Counts and probabilities of the empty context; ``at`` are the places that the tree goes on from."""
+        has, spot = found(level.grams, self.tokens)
+        self.count = np.where(has, level.n[spot] if len(level.n) else 0, 0)
         self.base = (self.count + 0.5) / floor
         self.p = self.base.copy()
-        self.at, self.context, self.n = np.arange(n), np.zeros(n, U64), self.count
-        history = np.arange(n) - np.repeat(self.begin[:-1], self.counts) + 1
-        #: Of each place, how often the token there follows the context asked for last, if twice at least; -1 where none was.
+        self.at, self.context, self.n = np.arange(len(self.tokens)), np.zeros(len(self.tokens), U64), self.count
+        #: Of each place, how often its token follows the context asked for last, if twice at least; -1 where none was.
         self.follows = self.count
+
+    def follow(self, level: Answers) -> None:
+        """What is told of the contexts asked for: how often tokens follow them, and which of them stay, with ``p`` in these."""
+        some = np.flatnonzero(self.n >= 2)
+        has, spot = found(level.grams, gram(self.context[some], self.tokens[self.at[some]]))
+        times = np.zeros(len(self.at), dtype=np.int64)
+        if len(some) and len(level.grams):
+            times[some] = np.where(has, level.n[spot], 0)
+        self.follows = np.full(len(self.tokens), -1, dtype=np.int64)
+        self.follows[self.at] = times
+        on, place = found(level.contexts, self.context)
+        place = place[on]
+        self.at, self.context, self.n = self.at[on], self.context[on], times[on]
+        self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / (level.size[place] + PRIOR)
+
+    def walk(self, levels: list[Answers], floor: float) -> None:
+        self.start(levels[0], floor)
         for depth, level in enumerate(levels[1:], 1):
-            self.step(depth, history)
-            some = np.flatnonzero(self.n >= 2)
-            key, inverse = np.unique(gram(self.context[some], self.tokens[self.at[some]]), return_inverse=True)
-            has, spot = found(level.grams, key)
-            times = np.zeros(len(self.at), dtype=np.int64)
-            if len(some) and len(level.grams):
-                times[some] = np.where(has, level.n[spot], 0)[inverse]
-            self.follows = np.full(n, -1, dtype=np.int64)
-            self.follows[self.at] = times
-            key, inverse = np.unique(self.context, return_inverse=True)
-            has, spot = found(level.contexts, key)
-            on = has[inverse]
-            place = spot[inverse][on]
-            self.at, self.context, self.n = self.at[on], self.context[on], times[on]
-            self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / (level.size[place] + PRIOR)
-        self.step(len(levels), history)
-
-    def step(self, depth: int, history: np.ndarray) -> None:
+            self.step(depth)
+            self.follow(level)
+
+    def resume(self, depth: int, row: np.ndarray, offset: np.ndarray, p: np.ndarray, n: np.ndarray) -> None:
+        """As after step(depth), from what state() kept of these rows, whichever task read them then."""
+        self.p = np.ones(len(self.tokens))
+        here, spot = found(self.rows, row)
+        self.at, self.n = self.begin[spot[here]] + offset[here], n[here]
+        self.p[self.at] = p[here]
+        self.context = np.zeros(len(self.at), U64)
+        for back in range(1, depth + 1):
+            self.context = extended(self.context, self.held[self.at + 1 - back])
+
+    def state(self, block: int) -> pa.RecordBatch:
+        row = np.repeat(np.arange(len(self.rows)), self.counts)[self.at]
+        columns = [[block], [len(self.at)], [packed(self.rows[row])], [packed((self.at - self.begin[row]).astype(np.uint32))], [packed(self.p[self.at])], [packed(self.n)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "n_at", "row", "at", "p", "n"])
+
+    def step(self, depth: int) -> None:
         """On to the contexts with one more token in front, where there is one, and where it can occur twice."""
-        on = history[self.at] >= depth
+        on = self.history[self.at] >= depth
         at = self.at[on]
         # How often the last token follows what stands before it in the context, where that was asked for.
-        ends = self.count[self.begin[1] - 1]
-        prior = self.follows[at - 1] if depth > 1 else np.where(at > 0, self.count[at - 1], ends)
+        prior = self.follows[at - 1] if depth > 1 else np.where(at > 0, self.count[at - 1], self.count[self.begin[1] - 1])
         twice = (prior < 0) | (prior >= 2)
         self.at, self.n, self.most = at[twice], self.n[on][twice], prior[twice]
         self.context = extended(self.context[on][twice], self.held[self.at + 1 - depth])
@@ -211,12 +237,14 @@ class Block:
     def questions(self, block: int, buckets: int, hot: int) -> pa.RecordBatch:
         """The contexts of ``at`` and their followers, by bucket."""
         token, learn = self.tokens[self.at], self.learn[self.at].astype(np.int64)
-        context, inverse = np.unique(self.context, return_inverse=True)
+        context, inverse = coded(self.context)
         size = np.bincount(inverse, weights=learn, minlength=len(context)).astype(np.int64)
         dealt = np.zeros(len(context), dtype=bool)
         dealt[inverse] = self.most > hot
         some = np.flatnonzero(self.n >= 2)
-        g, first, back = np.unique(gram(self.context[some], token[some]), return_index=True, return_inverse=True)
+        g, back = coded(gram(self.context[some], token[some]))
+        first = np.empty(len(g), dtype=np.int64)
+        first[back[::-1]] = np.arange(len(back))[::-1]
         n = np.bincount(back, weights=learn[some], minlength=len(g)).astype(np.int64)
         bits = np.clip(np.rint(-STEPS * np.log2(self.p[self.at[some[first]]])), 0, 65535).astype(np.uint16)
         owner = inverse[some[first]]
@@ -224,13 +252,14 @@ class Block:
 
     def counted(self, block: int, buckets: int) -> pa.RecordBatch:
         """The tokens, as followers of the empty context."""
-        key, inverse = np.unique(self.tokens, return_inverse=True)
+        key, inverse = coded(self.tokens)
         n = np.bincount(inverse, weights=self.learn, minlength=len(key)).astype(np.int64)
         return packed_questions(block, buckets, np.zeros(1, U64), np.array([n.sum()]), np.ones(1, bool), key, np.zeros(len(key), np.int64), n, np.zeros(len(key), np.uint16))
 
 
 ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, n_grams bigint, grams binary, owner binary, n binary, bits binary"
 NAMES = [x.split()[0] for x in ASKED.split(", ")]
+QUESTION = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
 TOLD = "block bigint, n_contexts bigint, contexts binary, size binary, once binary, n_grams bigint, grams binary, n binary, part array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
 
 
@@ -255,8 +284,7 @@ def packed_questions(block: int, buckets: int, context: np.ndarray, size: np.nda
         told = np.where(own[asked] == key, size[asked], 0)
         place = np.searchsorted(asked, owner[a:b])
         rows.append((key >> 1, block, bool(key & 1), len(asked), stepped(context[asked]), packed(told), b - a, stepped(g[a:b]), packed(place.astype(np.uint32 if len(asked) > 1 << 16 else np.uint16)), packed(n[a:b]), packed(bits[a:b])))
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(kinds), kinds, strict=True)], NAMES)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(QUESTION), QUESTION, strict=True)], NAMES)
 
 
 def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -317,10 +345,21 @@ class Level:
     hot: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def of(self, block: int) -> Answers:
-        rows: list[dict] = []
-        for source in opened_folder(f"{self.path}/block={block}"):
-            rows += source.select(["n_contexts", "contexts", "size", "once", "n_grams", "grams", "n"]).to_pylist()
-        return Answers.joined(rows, self.hot)
+        return Answers.joined(shelved(self.path, block, ["n_contexts", "contexts", "size", "once", "n_grams", "grams", "n"]), self.hot)
+
+
+def shelf(block: int | Column) -> int | Column:
+    """Blocks share folders, of which there are so many whatever the corpus."""
+    return F.pmod(block, F.lit(SHELVES)) if isinstance(block, Column) else block % SHELVES
+
+
+def shelve(df: DataFrame, path: str) -> None:
+    """Rows of a block in one file."""
+    df.withColumn("shelf", shelf(F.col("block"))).repartition("shelf").sortWithinPartitions("shelf", "block").write.partitionBy("shelf").parquet(path)
+
+
+def shelved(path: str, block: int, columns: list[str]) -> list[dict]:
+    return [row for source in opened_folder(f"{path}/shelf={shelf(block)}", columns, ("block", block)) for row in source.to_pylist()]
 
 
 def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.RecordBatch]]]:
@@ -341,7 +380,7 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.
 
 
 def placed(docs: DataFrame) -> DataFrame:
-    """doc_id, text, learn and block; a row's block is the same whenever the table is read, and blocks stand in order."""
+    """doc_id, row (of its file), text, learn and block; a row's block is the same whenever the table is read, and blocks stand in order."""
     narrow = [F.col("doc_id").cast("bigint").alias("doc_id"), "text", learned(F.col("doc_id")).alias("learn")]
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
@@ -350,7 +389,20 @@ def placed(docs: DataFrame) -> DataFrame:
         docs = written(docs.select("doc_id", "text"), "lm-texts").select(*narrow, *where)
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     each = max(1, int(BLOCK_BYTES * rows // max(1, size or 0)))
-    return docs.select("doc_id", "text", "learn", F.xxhash64("file", F.floor(F.col("row") / each)).alias("block"))
+    return docs.select("doc_id", "row", "text", "learn", F.xxhash64("file", F.floor(F.col("row") / each)).alias("block"))
+
+
+def aligned(ask: Callable) -> Callable:
+    """Questions and places as rows of one schema."""
+    names = [*NAMES, "n_at", "row", "at", "p"]
+    kinds = dict(zip(NAMES, QUESTION, strict=True)) | {"n_at": pa.int64(), "row": pa.binary(), "at": pa.binary(), "p": pa.binary()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in ask(batches):
+            have = set(batch.schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column(x) if x in have else pa.nulls(batch.num_rows, kinds[x]) for x in names], names)
+
+    return run
 
 
 def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None) -> tuple[list[Level], dict]:
@@ -358,26 +410,47 @@ def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None)
     spark = blocks.sparkSession
     levels: list[Level] = []
     facts = {"tokens": 0, "kinds": 0}
-    buckets = 64
+    buckets, places = 64, None
     while most_levels is None or len(levels) <= most_levels:
         known, floor, hot_size, count = list(levels), facts["tokens"] + 0.5 * (facts["kinds"] + 1), max(LEAST_HOT, facts["tokens"] // HOT), buckets
 
-        def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = fresh_path(spark, f"lm-places-{len(levels)}") if len(levels) > ANEW else None
+
+        def ask(batches: Iterator[pa.RecordBatch], known: list[Level] = known, before: str | None = places, keep: bool = kept is not None) -> Iterator[pa.RecordBatch]:
             for block, parts in blocks_of(batches):
-                own = Block(parts)
                 if not known:
-                    yield own.counted(block, count)
+                    yield Block(parts).counted(block, count)
                     continue
-                own.walk([level.of(block) for level in known], floor)
+                if before:
+                    rows = [r for r in shelved(before, block, ["n_at", "row", "at", "p", "n"]) if r["n_at"]]
+                    if not rows:
+                        continue
+                    own = Block(parts)
+                    own.resume(len(known) - 1, *(np.concatenate([unpacked(r[c], r["n_at"], t) for r in rows]) for c, t in (("row", np.int64), ("at", np.uint32), ("p", np.float64), ("n", np.int64))))
+                    own.follow(known[-1].of(block))
+                else:
+                    own = Block(parts)
+                    own.walk([level.of(block) for level in known], floor)
+                own.step(len(known))
                 if len(own.at):
                     yield own.questions(block, count, hot_size)
+                    if keep:
+                        yield own.state(block)
 
         path = fresh_path(spark, f"lm-level-{len(levels)}")
-        told = blocks.select("block", "text", "learn").mapInArrow(ask, ASKED).groupBy("bucket").applyInArrow(answered(bits, 2 if levels else 1), TOLD)
-        told.repartition("block").sortWithinPartitions("block").write.partitionBy("block").parquet(path)
+        texts = blocks.select("block", "row", "text", "learn")
+        if kept:
+            asked = texts.mapInArrow(aligned(ask), f"{ASKED}, n_at bigint, row binary, at binary, p binary")
+            shelve(asked, kept)
+            asked = spark.read.schema(f"{ASKED}, n_at bigint, row binary, at binary, p binary").parquet(kept).where("bucket IS NOT NULL").select(*NAMES)
+            places = kept
+        else:
+            asked = texts.mapInArrow(ask, ASKED)
+        told = asked.groupBy("bucket").applyInArrow(answered(bits, 2 if levels else 1), TOLD)
+        shelve(told, path)
         parts = spark.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
         parts = parts.agg(*[F.sum(f"p.{x}").alias(x) for x in ("size", "twice", "gain", "kinds", "stays")]).toArrow()  # HOT rows at most
-        del told
+        del told, asked
         stays = pc.sum(parts.column("stays")).as_py() or 0
         parts = parts.filter(pc.is_valid(parts.column("context")))
         context, size, twice, gain = (parts.column(x).to_numpy() for x in ("context", "size", "twice", "gain"))
@@ -415,6 +488,6 @@ def scored(docs: DataFrame, bits: float = BITS) -> DataFrame:
             ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
             yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts, pa.int64()), pa.array(total((own.count > 0).astype(np.int64))), pa.array(total(np.log10(own.base))), pa.array(total(np.log10(own.p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    result = blocks.select("doc_id", "block", "text", "learn").mapInArrow(run, SCORED)
+    result = blocks.select("doc_id", "block", "row", "text", "learn").mapInArrow(run, SCORED)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
     return result.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(facts["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
