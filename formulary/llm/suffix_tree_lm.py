@@ -80,14 +80,6 @@ def learned(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) != 1, F.lit(False))
 
 
-def merged(key: np.ndarray, *sums: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Different keys in order, and for each the sums of what stands beside them."""
-    order = np.argsort(key)
-    key = key[order]
-    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.empty(0, np.int64)
-    return key[at], *(np.add.reduceat(x[order], at) if len(at) else x for x in sums)
-
-
 def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Whether each asked one is among different keys, and where."""
     spot = pc.fill_null(pc.index_in(pa.array(asked), value_set=pa.array(keys)), -1).to_numpy(zero_copy_only=False)
@@ -303,30 +295,32 @@ def answered(bits_needed: float, least: int) -> Callable[[pa.Table], pa.Table]:
         grams = [unstepped(r["grams"], r["n_grams"]) for r in rows]
         hot = np.repeat([r["hot"] for r in rows], [r["n_contexts"] for r in rows])
         every = np.concatenate(contexts)
-        key, size = merged(every, np.concatenate([unpacked(r["size"], r["n_contexts"], np.int64) for r in rows]))
+        key, back = coded(every)
+        size = np.bincount(back, weights=np.concatenate([unpacked(r["size"], r["n_contexts"], np.int64) for r in rows]), minlength=len(key)).astype(np.int64)
         dealt = np.zeros(len(key), dtype=bool)
-        dealt[np.searchsorted(key, every[hot])] = True
-        owner = [np.searchsorted(key, c)[unpacked(r["owner"], r["n_grams"], np.uint32 if r["n_contexts"] > 1 << 16 else np.uint16)] for r, c in zip(rows, contexts, strict=True)]
-        g, n, of, weight = np.concatenate(grams), np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), np.concatenate(owner), np.concatenate([unpacked(r["bits"], r["n_grams"], np.uint16) for r in rows])
-        order = np.argsort(g)
-        at = np.flatnonzero(np.r_[True, g[order][1:] != g[order][:-1]]) if len(g) else np.empty(0, np.int64)
-        n = np.add.reduceat(n[order], at) if len(at) else n
-        g, of, weight = g[order][at], of[order][at], weight[order][at]
+        dealt[back[hot]] = True
+        begin = np.r_[0, np.cumsum([r["n_contexts"] for r in rows])]
+        owner = np.concatenate([back[a : a + r["n_contexts"]][unpacked(r["owner"], r["n_grams"], np.uint32 if r["n_contexts"] > 1 << 16 else np.uint16)] for a, r in zip(begin[:-1].tolist(), rows, strict=True)])
+        asked = np.concatenate(grams)
+        g, place = coded(asked)
+        n = np.bincount(place, weights=np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), minlength=len(g)).astype(np.int64)
+        of, weight = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
+        of[place], weight[place] = owner, np.concatenate([unpacked(r["bits"], r["n_grams"], np.uint16) for r in rows])
         two = n >= 2
         twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
         gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / STEPS), minlength=len(key))
         stays = (gains(size, twice, gain) >= bits_needed) & ~dealt
-        told = n >= least
-        kept, told_grams, told_n = np.flatnonzero(stays), g[told], n[told]
+        told, kept = (n >= least)[place], stays[back]
+        times, sizes, once = n[place], size[back], (size - twice)[back]
+        upto = np.r_[0, np.cumsum([r["n_grams"] for r in rows])]
         out = []
-        for r, c, own in zip(rows, contexts, grams, strict=True):
-            c = np.intersect1d(c, key[kept], assume_unique=True)
-            spot = np.searchsorted(key, c)
-            has, at = found(told_grams, own)
-            out.append((r["block"], len(c), stepped(c), packed(size[spot]), packed((size - twice)[spot]), int(has.sum()), stepped(own[has]), packed(told_n[at[has]] if len(told_n) else told_n), []))
+        for i, r in enumerate(rows):
+            c, m = slice(begin[i], begin[i + 1]), slice(upto[i], upto[i + 1])
+            c, m = np.flatnonzero(kept[c]) + begin[i], np.flatnonzero(told[m]) + upto[i]
+            out.append((r["block"], len(c), stepped(every[c]), packed(sizes[c]), packed(once[c]), len(m), stepped(asked[m]), packed(times[m]), []))
         kinds = np.bincount(of[n > 0], minlength=len(key))
         part = [{"context": int(key[i].view(np.int64)), "size": int(size[i]), "twice": int(twice[i]), "gain": float(gain[i]), "kinds": int(kinds[i]), "stays": 0} for i in np.flatnonzero(dealt)]
-        part.append({"context": None, "size": 0, "twice": 0, "gain": 0.0, "kinds": 0, "stays": len(kept)})
+        part.append({"context": None, "size": 0, "twice": 0, "gain": 0.0, "kinds": 0, "stays": int(stays.sum())})
         out[0] = (*out[0][:-1], part)
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWER, strict=True)], names=[x.split()[0] for x in TOLD.partition(", part")[0].split(", ")] + ["part"])
 
