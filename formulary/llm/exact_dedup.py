@@ -12,11 +12,16 @@ compacted entry, and an entry that differs gets a place of its own.
 
 What crosses the network is a digest and ids, never the texts, but for the
 representatives of hits between runs. A digest that a third of all rows share
-has one entry per run, so no task sees its rows together.
+has one entry per run; what compaction finds of digests with more than HOT rows is
+broadcast (one row in HOT at most), so that their members stay where they are.
 
 Defined results: null counts as the empty text; empty texts are equal to one
-another; rows that repeat an id keep their own row, with the same keep_id; an
-empty table gives an empty result; other columns of the input are ignored.
+another; rows that repeat an id keep their own row, with the same keep_id; rows
+without an id count, but another's id is kept where there is one: among equal
+texts that all have none, keep_id is null and all are kept; an empty table gives an
+empty result; other columns of the input are ignored. ``without_copies`` goes by
+rows: of rows that repeat both id and text one stays, and a row that has but its id
+in common with a dropped one stays.
 """
 
 from __future__ import annotations
@@ -28,12 +33,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.storage import few, fresh_path, written
+from formulary.llm.storage import few, fresh_path, without_rows, written
 
 #: Text bytes that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 24 << 20
 #: Rows that a memtable holds before it is flushed.
 MEMTABLE_ROWS = 200_000
+#: Rows of a text from which its members do not move.
+HOT = 20_000
 
 RUNS = pa.schema([("digest", pa.binary()), ("rep", pa.int64()), ("keep", pa.int64()), ("members", pa.list_(pa.int64()))])
 RUNS_DDL = "digest binary, rep bigint, keep bigint, members array<bigint>"
@@ -82,7 +89,10 @@ def normal(column: pa.Array) -> Iterator[bytes]:
 
 def runs(docs: DataFrame, keep: str, digest_bytes: int) -> DataFrame:
     """One entry for each text and flushed memtable, sorted by digest within its run."""
-    choose = {"smallest": min, "largest": max}[keep]
+    best = {"smallest": min, "largest": max}[keep]
+
+    def choose(ids: list[int | None]) -> int | None:
+        return best((x for x in ids if x is not None), default=None)
 
     def flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memtable = Memtable(choose, digest_bytes)
@@ -136,11 +146,22 @@ def dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32) -> Da
     # Compaction: one identifier for each digest and text; then every member learns of it.
     best = F.min("keep") if keep == "smallest" else F.max("keep")
     compacted = placed.groupBy("digest", "place").agg(best.alias("keep_id"), F.sum(F.size("members")).cast("bigint").alias("group_size"))
-    rows = placed.select("digest", "place", "members").join(compacted, ["digest", "place"]).select(F.explode("members").alias("doc_id"), "keep_id", "group_size", "digest")
-    return rows.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "digest")
+    compacted = written(compacted, "lsm-compacted")
+    members, hot = placed.select("digest", "place", "members"), compacted.where(F.col("group_size") > HOT)
+    if few(hot):  # one row in HOT at most
+        rows = members.join(F.broadcast(hot), ["digest", "place"]).unionByName(members.join(F.broadcast(hot.select("digest", "place")), ["digest", "place"], "left_anti").join(compacted.where(F.col("group_size") <= HOT), ["digest", "place"]))
+    else:
+        rows = members.join(compacted, ["digest", "place"])
+    rows = rows.select(F.explode("members").alias("doc_id"), "keep_id", "group_size", "digest")
+    return rows.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def without_copies(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of ``docs``, all columns, but for those whose equal with another identifier stays."""
-    dropped = written(dedup(docs, keep).where("not kept").select("doc_id").distinct(), "lsm-dropped")
-    return docs.join(F.broadcast(dropped) if few(dropped) else dropped, "doc_id", "left_anti").select(docs.columns)
+    """The rows of ``docs``, all columns, one for each text."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    text = F.unhex(F.sha2(F.encode(F.translate(F.coalesce("text", F.lit("")), upper, lower), "UTF-8"), 256))
+    key = lambda x: F.struct(F.col("doc_id").cast("bigint").alias("doc_id"), x.alias("digest"))
+    found = written(dedup(docs, keep).select(key(F.col("digest")).alias("key"), "kept"), "lsm-rows")
+    gone = written(found.where("not kept").select("key").distinct(), "lsm-dropped")
+    repeated = written(found.where("kept").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "lsm-repeated")
+    return without_rows(docs, gone, repeated, key(text))

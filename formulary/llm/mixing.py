@@ -15,7 +15,7 @@ ranked by many tasks. Only DataFrame functions are used, and texts are not shuff
 
 Defined results: a null source is a source, last in order; a null or empty text
 has size 0; a source of size 0 has target 0 and takes nothing; repeated rows are
-documents of their own; an empty table gives an empty result. The offset is a
+documents of their own, also in ``mix``, which goes by rows; an empty table gives an empty result. The offset is a
 hash of source and seed, so that reruns agree.
 """
 
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from formulary.llm.storage import written
+from formulary.llm.storage import row_id, written
 
 #: Weights of the sources, in order of code points; repeated for further sources.
 WEIGHTS = (3, 1, 2)
@@ -71,9 +71,10 @@ def targets(sizes: DataFrame, weights: Sequence[float], share: float, repeats: f
 
 
 def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, repeats: float = REPEATS, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target and copies (how often the document is emitted)."""
+    """doc_id, rid (row_id of doc_id, source and text), source, size, source_size, target and copies (how often the document is emitted)."""
+    identity = row_id("doc_id", "source", "text")
     # Texts are read once; what follows reads three narrow columns.
-    own = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", words(F.col("text")).alias("size")), "sizes")
+    own = written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "source", words(F.col("text")).alias("size"), identity.alias("rid")), "sizes")
     bucket = F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), 1, 3), 16, 10).cast("int")
     own = own.withColumn("range", F.floor(F.col("size") / RANGE)).withColumn("bucket", bucket)
     # A null source needs a key that joins.
@@ -95,7 +96,7 @@ def copies(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = S
     offset = hex_fraction(F.concat(F.lit(seed + ":"), F.coalesce("source", F.lit("\u0001"))))
     expected = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     crossed = F.floor(F.col("rank") * expected + offset) - F.floor((F.col("rank") - 1) * expected + offset)
-    return placed.select("doc_id", "source", "size", "source_size", "target", crossed.cast("bigint").alias("copies"))
+    return placed.select("doc_id", "rid", "source", "size", "source_size", "target", crossed.cast("bigint").alias("copies"))
 
 
 def mix(docs: DataFrame, **parameters) -> DataFrame:
@@ -104,7 +105,9 @@ def mix(docs: DataFrame, **parameters) -> DataFrame:
 
 
 def emitted(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """Each row as often as a plan made by copies() says; rows that repeat an id as often as the one taken most."""
-    taken = plan.where("copies > 0").groupBy(F.col("doc_id").alias("_doc")).agg(F.max("copies").alias("_copies"))
+    """Each row as often as a plan made by copies() says; equal rows share theirs, numbered through."""
+    taken = plan.groupBy("rid").agg(F.sum("copies").cast("int").alias("_copies"), F.count("*").alias("_rows")).where("_copies > 0").withColumnRenamed("rid", "_rid")
     copy = "copy" if "copy" not in docs.columns else "mix_copy"
-    return docs.join(taken, F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc"))).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int"))).alias(copy))
+    found = docs.join(taken, row_id("doc_id", "source", "text") == F.col("_rid"))
+    found = found.where("_rows = 1").unionByName(found.where("_rows > 1").dropDuplicates(["_rid"]))
+    return found.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_copies"))).alias(copy))

@@ -30,8 +30,11 @@ Hashes have 64 bits; two sets are one node only if their sizes agree too.
 
 Defined results: null and empty texts, and those without words, have an empty set
 and are linked with nothing; with fewer words than a shingle, all words form one;
-rows that repeat an id are documents of their own that share it; an empty table
-gives an empty result; other columns of the input are ignored.
+rows that repeat an id are documents of their own that share it; rows without an id
+are linked as others are, and have the least id of their component, null where it
+has none; an empty table gives an empty result; other columns of the input are
+ignored. ``one_of_each`` goes by rows: of each component, and of rows that repeat
+both id and text, one stays; rows without words all stay.
 """
 
 from __future__ import annotations
@@ -48,7 +51,7 @@ from pyspark.sql import functions as F
 
 from formulary.llm import words
 from formulary.llm.graph import components
-from formulary.llm.storage import few, written
+from formulary.llm.storage import few, row_id, without_rows, written
 
 U64 = np.uint64
 #: Sets and n-grams of a piece of a cluster at most (a longer set is a piece of its own).
@@ -189,7 +192,7 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity, freq
     return np.concatenate([s for s, _ in found]), np.concatenate([n for _, n in found])
 
 
-ROUTED = "bucket int, base bigint, width int, sigs binary, places binary, nodes binary, doc_ids array<bigint>, sizes array<bigint>, doc_nodes array<bigint>"
+ROUTED = "bucket int, base bigint, width int, sigs binary, places binary, nodes binary, doc_ids array<bigint>, sizes array<bigint>, doc_nodes array<bigint>, rids array<bigint>"
 
 
 def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: np.ndarray) -> DataFrame:
@@ -210,7 +213,7 @@ def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: np
                 nodes = node_ids(sets)
                 held.append(signatures(sets, nodes, like, told_frequent.value))
                 count += len(held[-1][0])
-                told = [[int(nodes[:1].sum() % U64(buckets))], [0], [0], [b""], [b""], [b""], [part.column("doc_id").to_pylist()], [[len(s) for s in sets]], [nodes.view(np.int64).tolist()]]
+                told = [[int(nodes[:1].sum() % U64(buckets))], [0], [0], [b""], [b""], [b""], [part.column("doc_id").to_pylist()], [[len(s) for s in sets]], [nodes.view(np.int64).tolist()], [part.column("rid").to_pylist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(told, TYPES, strict=True)], NAMES)
                 if count >= FLUSH:
                     yield packed(held, buckets)
@@ -221,8 +224,8 @@ def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: np
     return docs.mapInArrow(run, ROUTED)
 
 
-NAMES = ["bucket", "base", "width", "sigs", "places", "nodes", "doc_ids", "sizes", "doc_nodes"]
-TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
+NAMES = ["bucket", "base", "width", "sigs", "places", "nodes", "doc_ids", "sizes", "doc_nodes", "rids"]
+TYPES = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
 
 
 def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
@@ -242,13 +245,13 @@ def packed(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Record
     sig, node = sig[first], node[first]
     bucket = bucket_of(sig, buckets)
     cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(sig)]
-    rows = [(int(bucket[0]), 0, 0, b"", b"", b"", None, tied[:, 0].tolist(), tied[:, 1].tolist())]
+    rows = [(int(bucket[0]), 0, 0, b"", b"", b"", None, tied[:, 0].tolist(), tied[:, 1].tolist(), None)]
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         nodes, place = np.unique(node[a:b], return_inverse=True)
         step = np.diff(sig[a:b], prepend=sig[a])
         width = max(1, (int(step.max()).bit_length() + 7) // 8)
         raw = step.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
-        rows.append((int(bucket[a]), int(sig[a].view(np.int64)), width, raw, place.astype("<u2" if len(nodes) <= 1 << 16 else "<u4").tobytes(), nodes.tobytes(), None, None, None))
+        rows.append((int(bucket[a]), int(sig[a].view(np.int64)), width, raw, place.astype("<u2" if len(nodes) <= 1 << 16 else "<u4").tobytes(), nodes.tobytes(), None, None, None, None))
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), TYPES, strict=True)], NAMES)
 
 
@@ -286,7 +289,7 @@ def stars(rows: DataFrame) -> DataFrame:
             for row in batch.to_pylist():
                 if row["doc_ids"] is not None:
                     n = len(row["doc_ids"])
-                    yield pa.RecordBatch.from_arrays([pa.array(row[c], pa.int64()) for c in ("doc_ids", "sizes", "doc_nodes")] + [pa.nulls(n, pa.int64())] * 2, STARS)
+                    yield pa.RecordBatch.from_arrays([pa.array(row[c], pa.int64()) for c in ("doc_ids", "rids", "sizes", "doc_nodes")] + [pa.nulls(n, pa.int64())] * 2, STARS)
                     continue
                 if row["sizes"] is not None:
                     yield pairs(*(np.array(row[c], dtype=np.int64) for c in ("sizes", "doc_nodes")))
@@ -299,14 +302,14 @@ def stars(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, n bigint, node bigint, a bigint, b bigint")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, rid bigint, n bigint, node bigint, a bigint, b bigint")
 
 
-STARS = ["doc_id", "n", "node", "a", "b"]
+STARS = ["doc_id", "rid", "n", "node", "a", "b"]
 
 
 def pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64())] * 3 + [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], STARS)
+    return pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64())] * 4 + [pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], STARS)
 
 
 class Forest:
@@ -405,7 +408,7 @@ def block_links(blocks: DataFrame, like: Similarity) -> DataFrame:
 def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> DataFrame:
     """block, side, node, grams: every set of a cluster, in each block that needs it.
 
-    members: node, doc_id, n, cluster.
+    members: node, rid (of one row that has the set), n, cluster.
     """
     bounds = like.bounds(1 << 40)
     kind = F.size(F.filter(F.array(*[F.lit(int(b)) for b in bounds]), lambda b: b <= F.col("n"))) - 1
@@ -417,7 +420,7 @@ def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> Dat
         ((F.sum("sets") <= UNIT_SETS) & (F.sum("grams") <= UNIT_GRAMS)).alias("whole"),
     )
     number = lambda step: F.coalesce(F.element_at("pieces", F.col("kind") + step), F.lit(0))
-    placed = members.join(clusters, "cluster").select("doc_id", "node", F.col("cluster").alias("c"), "kind", F.when(F.col("whole"), 0).otherwise(number(0)).alias("here"), number(1).alias("above"), number(-1).alias("below"))
+    placed = members.join(clusters, "cluster").select("rid", "node", F.col("cluster").alias("c"), "kind", F.when(F.col("whole"), 0).otherwise(number(0)).alias("here"), number(1).alias("above"), number(-1).alias("below"))
     placed = written(placed, "near-members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -425,14 +428,14 @@ def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> Dat
             for part in words.text_slices(batch):
                 sets = gram_sets(part, k)
                 nodes = node_ids(sets).view(np.int64)
-                # Another row of the same id may have another text.
+                # Hashes of rows may clash.
                 right = np.flatnonzero(nodes == part.column("node").to_numpy())
                 told = [part.column(c).to_numpy()[right].tolist() for c in ("c", "kind", "here", "above", "below")]
                 at = [places(*row, int(node)) for *row, node in zip(*told, nodes[right].view(U64), strict=True)]
                 each = np.repeat(right, [len(x) for x in at])
                 yield pa.RecordBatch.from_arrays([pa.array([b for x in at for b, _ in x], pa.string()), pa.array([s for x in at for _, s in x], pa.int32()), pa.array(nodes[each]), pa.array([sets[i].tobytes() for i in each], pa.binary())], ["block", "side", "node", "grams"])
 
-    joined = docs.join(F.broadcast(placed) if few(placed, PLACED_ROWS) else placed, "doc_id").select("text", *placed.columns[1:])
+    joined = docs.join(F.broadcast(placed) if few(placed, PLACED_ROWS) else placed, "rid").select("text", *placed.columns[1:])
     return joined.mapInArrow(read, "block string, side int, node bigint, grams binary")
 
 
@@ -449,25 +452,34 @@ def places(cluster: int, kind: int, here: int, above: int, below: int, node: int
 
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of (doc_id, text); links need similarity num / den."""
+    found = rows(docs, k, num, den)
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def rows(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, rid (row_id of id and text), n, component_id (null without words, or without any id), keeper (rid of the row that stays)."""
     like = Similarity(num, den)
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("rid", row_id("doc_id", "text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     kept = written(stars(routed(docs, k, like, max(1, size // BUCKET_BYTES), frequent_grams(docs, k))), "near-routed")
-    own = kept.where("a IS NULL").select("doc_id", "n", "node")
+    own = kept.where("a IS NULL").select("doc_id", "rid", "n", "node")
     candidates = kept.where("a IS NOT NULL").select("a", "b")
     clusters = components(candidates)
-    members = own.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("doc_id")).join(clusters, "node").withColumnRenamed("label", "cluster")
+    members = own.where("n > 0").groupBy("node", "n").agg(F.min("rid").alias("rid")).join(clusters, "node").withColumnRenamed("label", "cluster")
     links = written(block_links(blocks(docs, members, k, like), like), "near-links")
     linked = components(links)
 
-    # Node to component, by the least document of either. A set is a node with its size.
-    nodes = own.where("n > 0").groupBy("node", "n").agg(F.min("doc_id").alias("least")).join(linked, "node", "left")
+    # Node to component, by the least document of either; nulls come last. A set is a node with its size.
+    first = F.struct(F.col("doc_id").isNull().alias("absent"), "doc_id", "rid")
+    nodes = own.where("n > 0").groupBy("node", "n").agg(F.min(first).alias("least")).join(linked, "node", "left")
     least = nodes.where("label IS NOT NULL").groupBy("label").agg(F.min("least").alias("of_label"))
-    named = nodes.join(least, "label", "left").select("node", "n", F.coalesce("of_label", "least").alias("component_id"))
-    return own.join(named, ["node", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = nodes.join(least, "label", "left").select("node", "n", F.coalesce("of_label", "least").alias("of"))
+    return own.join(named, ["node", "n"], "left").select("doc_id", "rid", "n", F.col("of.doc_id").alias("component_id"), F.col("of.rid").alias("keeper"))
 
 
-def one_of_each(docs: DataFrame, **parameters) -> DataFrame:
-    """The rows of ``docs``, all columns, that are the least document of their class."""
-    dropped = written(classes(docs, **parameters).where("doc_id <> component_id").select("doc_id").distinct(), "near-dropped")
-    return docs.join(F.broadcast(dropped) if few(dropped) else dropped, "doc_id", "left_anti").select(docs.columns)
+def one_of_each(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``docs``, all columns, one of each class."""
+    found = written(rows(docs, k, num, den).where("n > 0").select(F.col("rid").alias("key"), "keeper"), "near-rows")
+    gone = written(found.where("key <> keeper").select("key").distinct(), "near-dropped")
+    repeated = written(found.where("key = keeper").groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key"), "near-repeated")
+    return without_rows(docs, gone, repeated, F.xxhash64(F.lit(1), F.col("doc_id").cast("bigint"), "text"))

@@ -12,7 +12,8 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _own: dict[str, str] = {}
 
@@ -83,6 +84,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def row_id(*columns: str) -> Column:
+    """A 64-bit hash by which a row is known where ids repeat or are null."""
+    return F.xxhash64(F.lit(1), *columns)
+
+
+def without_rows(docs: DataFrame, gone: DataFrame, repeated: DataFrame, key: Column) -> DataFrame:
+    """The rows of ``docs`` but for those whose key is in ``gone`` (key); of rows whose key is in ``repeated`` (key), one stays."""
+    name = "_key"
+    while name in docs.columns:
+        name += "_"
+    keyed = docs.withColumn(name, key)
+    join = lambda df, other, kind: df.join(F.broadcast(other) if few(other) else other, df[name].eqNullSafe(other["key"]), kind)
+    left = join(keyed, gone, "left_anti")
+    if not repeated.isEmpty():
+        left = join(left, repeated, "left_anti").unionByName(join(keyed, repeated, "left_semi").dropDuplicates([name]))
+    return left.select(docs.columns)
+
+
 #: Rows of a table of bare 64-bit ids that may be broadcast (16 MB before framing).
 BROADCAST_ROWS = 2_000_000
 

@@ -24,6 +24,7 @@ from __future__ import annotations
 import base64
 import uuid
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,19 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 BLOCK_BYTES = 8 << 20
 FILE_BYTES = 512 << 20
+#: Tasks that scan, at most.
+MOST_TASKS = 20_000
 
 _encoders: dict[str, object] = {}
 
 
-def encoder(path: str):
+def encoder(path: str, data: bytes | None = None):
+    """The encoder of a vocabulary; on executors, of its bytes as the driver has sent them."""
     if path not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        lines = (data if data is not None else Path(path).read_bytes()).splitlines()
+        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         _encoders[path] = tiktoken.Encoding("flat", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
     return _encoders[path]
 
@@ -71,8 +75,10 @@ def opened(uri: str, mode: str):
 def write(docs: DataFrame, folder: str, vocabulary: str = VOCABULARY) -> DataFrame:
     """Flat token files in a folder; file, start (documents of the file before), ids of a stretch of documents, tokens in it."""
 
+    sent = docs.sparkSession.sparkContext.broadcast(Path(vocabulary).read_bytes())  # the vocabulary, about a megabyte
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(vocabulary).encode_ordinary, separator(vocabulary)
+        encode, end = encoder(vocabulary, sent.value).encode_ordinary, separator(vocabulary)
         kind = np.dtype("<u2" if end < 1 << 16 else "<u4")
         out = name = None
         start = size = 0
@@ -102,7 +108,9 @@ def scanned(files: DataFrame, folder: str, end: int, item: int, block_bytes: int
     """file, block, size, separators, head, tail, inner of every block of (file, tokens); all counted in tokens."""
     width = max(1, block_bytes // item)
     count = F.ceil(F.col("tokens") / width).cast("int")
-    blocks = files.where("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0), count - 1)).alias("block")).repartition("file", "block")
+    number = files.agg(F.sum(count)).first()[0] or 0
+    # A row stands for a whole block, so rows of a few bytes must not be put together in one task.
+    blocks = files.where("tokens > 0").select("file", "tokens", F.explode(F.sequence(F.lit(0), count - 1)).alias("block")).repartition(max(1, min(number, MOST_TASKS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -160,7 +160,9 @@ def revisits(records: DataFrame) -> DataFrame:
 def normalised(records: DataFrame, folder: str) -> DataFrame:
     """One file with a member a record and one sidecar index for each monolithic file."""
     changes = revisits(records).groupBy("file").agg(F.collect_list(F.struct("seq", "refers_to")).alias("changes"))  # of one file's records at most
-    files = records.select("file").distinct().join(changes, "file", "left")
+    names = written(records.select("file").distinct(), "warc-names")
+    # A row stands for a whole file, so rows of a few bytes must not be put together in one task.
+    files = names.join(changes, "file", "left").repartition(max(1, names.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,7 +211,7 @@ def read_archives(files: DataFrame, folder: str) -> DataFrame:
                             rows = []
                 yield packed(rows)
 
-    return files.select("file").mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    return files.select("file").repartition(max(1, files.count())).mapInArrow(run, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
 
 
 def packed(rows: list[tuple]) -> pa.RecordBatch:

@@ -85,6 +85,46 @@ def test_mixing(docs, nothing):
     assert mixed.count() == mixing.copies(docs.where("doc_id <> 8")).agg(F.sum("copies")).first()[0]
 
 
+def test_rows_without_an_id_or_with_the_same_one(spark):
+    """What is dropped, kept or repeated is a row, not all rows of an id."""
+    make = lambda data: wide(spark.createDataFrame(data, "doc_id bigint, text string, source string"))
+    texts = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    found = exact_dedup.dedup(make([(None, "x", "a"), (3, "X", "a"), (None, "x", "b"), (None, "y", "a"), (None, "y", "a")]).coalesce(1), "largest").collect()
+    assert sorted((str(r["doc_id"]), str(r["keep_id"]), r["group_size"], r["kept"]) for r in found) == [("3", "3", 3, True), ("None", "3", 3, False), ("None", "3", 3, False), ("None", "None", 2, True), ("None", "None", 2, True)]
+    data = [(5, "x", "a"), (5, "y", "a"), (3, "x", "a"), (7, "z", "a"), (7, "z", "b"), (None, "Z", "a"), (None, "q", "a"), (None, None, "a"), (8, "", "a")]
+    assert texts(exact_dedup.without_copies(make(data))) == sorted([(5, "y"), (3, "x"), (7, "z"), (None, "q"), (8, "")], key=str)
+    b = SOME
+    data = [(None, b, "a"), (None, b + " z", "a"), (4, b + " q", "a"), (4, LONG, "a"), (9, LONG, "a"), (9, b, "a"), (None, "", "a"), (11, "k l", "a"), (11, "k l", "a")]
+    found = near_dedup.classes(make(data), 3, 9, 10)
+    assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found.collect()) == sorted([("None", "4"), ("None", "4"), ("4", "4"), ("4", "4"), ("9", "4"), ("9", "4"), ("None", "None"), ("11", "11"), ("11", "11")])
+    assert texts(near_dedup.one_of_each(make(data), k=3, num=9, den=10)) == sorted([(4, b + " q"), (4, LONG), (None, ""), (11, "k l")], key=str)
+    items = spark.createDataFrame([(1, SOME), (2, None)], "item_id bigint, text string")
+    data = [(5, "see " + SOME, "a"), (5, "clean", "a"), (None, SOME, "a"), (None, "fine", "a")]
+    assert texts(decontaminate.clean(make(data), items)) == [(5, "clean"), (None, "fine")]
+    assert [tuple(r) for r in decontaminate.overlaps(make(data), items).collect()] == [(5, 1, len(SOME.split()))]
+    data = [(5, "a b c", "a"), (5, "d e", "a"), (None, "f g", "a"), (None, "f g", "a"), (6, "h", "b")]
+    plan = mixing.copies(make(data))
+    mixed = mixing.emitted(make(data), plan)
+    count = lambda df, n: {(r[0], r[1]): r[2] for r in df.groupBy("doc_id", n).agg(F.count("*") if n == "text" else F.sum("copies")).collect()}
+    assert mixed.count() == plan.agg(F.sum("copies")).first()[0]
+    by_text = count(mixed, "text")
+    assert by_text.get((None, "f g"), 0) == sum(r["copies"] for r in plan.where("doc_id IS NULL").collect())
+    for (d, x), n in by_text.items():
+        assert n <= 2 * sum(1 for r in data if r[:2] == (d, x))
+
+
+def test_archives_and_blocks_are_many_tasks(spark, monkeypatch):
+    """A table of a few bytes for each file or block is not put together in one task."""
+    monkeypatch.setattr(warc, "FILE_BYTES", 1)
+    pages = spark.range(64).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.col("id").cast("string").alias("html"))
+    folder = warc.fresh_path(spark, "many")
+    records = warc.written(warc.written_archives(pages, folder), "many-records")
+    files = warc.normalised(records, folder).withColumn("task", F.spark_partition_id()).collect()
+    assert len(files) >= 4 and len({r["task"] for r in files}) > len(files) // 4
+    blocks = token_counts.scanned(spark.createDataFrame([], "file string, tokens bigint"), folder, 7, 4)
+    assert blocks.count() == 0
+
+
 @pytest.mark.parametrize(("k", "num", "den"), [(3, 9, 10), (5, 4, 5)])
 def test_near_dedup(docs, nothing, k, num, den):
     known = docs.where("doc_id IS NOT NULL")

@@ -112,6 +112,22 @@ def test_pipeline_stage_by_stage(spark, tmp_path):
     assert left == {d for d, _ in given}
 
 
+def test_pipeline_on_odd_rows(spark):
+    """Nulls in any column, repeated rows and ids, an empty table, and columns that clash with inner names."""
+    base = table(spark, FOLDER, "documents").withColumn("digest", F.lit(1)).withColumn("rid", F.lit(2)).withColumn("_key", F.lit(3))
+    blank = base.limit(3).select(F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("n_chars"), "digest", "rid", "_key")
+    odd = base.unionByName(base.limit(5)).unionByName(blank).unionByName(base.limit(5).withColumn("doc_id", F.lit(None).cast("bigint"))).unionByName(base.limit(5).withColumn("text", F.concat("text", F.lit(" more words of its own"))))
+    for docs, empty in ((base.where("false"), True), (odd, False)):
+        for name, stage in corpus_pipeline.STAGES:
+            before, docs = docs, corpus_pipeline.written(stage(spark, docs, FOLDER), "odd")
+            if name != "mixing":
+                assert docs.columns == base.columns
+            assert docs.isEmpty() == empty
+            if name == "exact dedup":
+                assert docs.count() == docs.select(F.lower(F.coalesce("text", F.lit("")))).distinct().count()
+        assert docs.count() == before.count()
+
+
 def test_pipeline_carries_out_its_mix(spark):
     """Each document stands in the result, with its columns, as often as the last stage's plan takes it."""
     docs = table(spark, FOLDER, "documents")
