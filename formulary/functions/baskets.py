@@ -62,18 +62,18 @@ def aggregate(call: t.Call, compiler) -> Value:
     if len(call.args) != 1:
         if name in FOLDS and len(call.args) > 1:
             return fold(name, [compiler.compile(a) for a in call.args])
-        raise UnknownIdentifier("Basket builtin expects exactly one argument")
+        raise UnknownIdentifier("An aggregate over a role takes one argument")
     (arg,) = call.args
     if name == "count":
         if not isinstance(arg, t.Param):
-            raise UnknownIdentifier("count() requires a role variable like count($pair)")
+            raise UnknownIdentifier("'count' takes a role, such as $pair")
         bound = compiler.param(arg.name)
         return Value(F.size(bound.column).cast("double") if isinstance(bound.type, Array) else F.lit(1.0), NUMBER, False)
     roles = free_roles(arg, compiler)
     if not roles:
         return compiler.compile(arg)
     if len(roles) > 1:
-        raise UnknownIdentifier("Basket aggregate can only expand one role at a time")
+        raise UnknownIdentifier("An aggregate goes over one role, not several")
     (role,) = roles
     values = compiler.param(role).column
     seen: list[Value] = []

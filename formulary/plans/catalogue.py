@@ -74,6 +74,8 @@ lineitem("power_right_assoc", {"v": "2 ^ 3 ^ 2 + l_discount", "w": "l_tax ** 2"}
 lineitem("unary_power", {"v": "-l_quantity ^ 2"}, {"v": "-(l_quantity * l_quantity)"})
 lineitem("compare", {"a": "l_quantity < 10", "b": "l_quantity <= 10", "c": "l_quantity > 10", "d": "l_quantity >= 10"}, {"a": "l_quantity < 10", "b": "l_quantity <= 10", "c": "l_quantity > 10", "d": "l_quantity >= 10"})
 lineitem("compare_aliases", {"v": "l_quantity ge 10 AND l_tax lt 0.05", "w": "l_quantity eq 10 or l_quantity NE 20"}, {"v": "l_quantity >= 10 AND l_tax < 0.05", "w": "l_quantity = 10 OR l_quantity <> 20"})
+# Products of whole numbers that overflow: the difference of two infinities is NaN, of which only != is true.
+lineitem("compare_overflow", {"a": "l_partkey * 1e308 * 10 - l_partkey * 1e308 * 10 > 1", "b": "l_partkey * 1e308 * 10 - l_partkey * 1e308 * 10 == l_partkey * 1e308 * 10 - l_partkey * 1e308 * 10", "c": "l_partkey * 1e308 * 10 - l_partkey * 1e308 * 10 != 0", "d": "(1e308 * 10) - (1e308 * 10) >= 1", "e": "l_partkey * 2 > 10"}, {"a": "false", "b": "l_partkey = 0", "c": "l_partkey <> 0", "d": "false", "e": "l_partkey * 2 > 10"})
 lineitem("equality_bool", {"v": "(l_tax > 0.04) == (l_discount > 0.04)", "w": "(l_tax > 0.04) != true"}, {"v": "(l_tax > 0.04) = (l_discount > 0.04)", "w": "(l_tax > 0.04) <> true"})
 lineitem("interval_in", {"v": "l_quantity in [10, 20]"}, {"v": "l_quantity BETWEEN 10 AND 20"})
 lineitem("interval_not_in", {"v": "l_quantity not in [max=20, min=10]"}, {"v": "l_quantity NOT BETWEEN 10 AND 20"})
@@ -222,6 +224,8 @@ def series_query(name: str, expressions: dict[str, str], oracle: str, digits: in
 series_query("lookback", {"v": "value[1]", "w": "value[0]"}, f"SELECT event_id, lag(value, 1) OVER w AS v, value AS w FROM events {SERIES}")
 series_query("lookback_nested", {"v": "value[1][2]"}, f"SELECT event_id, lag(value, 3) OVER w AS v FROM events {SERIES}")
 series_query("lookback_expr", {"v": "(value * 2)[1]", "w": "(value > value[1])[2]"}, f"SELECT event_id, lag(value, 1) OVER w * 2 AS v, lag(value, 2) OVER w > lag(value, 3) OVER w AS w FROM events {SERIES}")
+series_query("lookback_dynamic", {"v": "value[user_id % 4]", "w": "(value * 2)[event_id % 3][1]"}, f"SELECT event_id, CASE user_id % 4 WHEN 0 THEN value WHEN 1 THEN lag(value, 1) OVER w WHEN 2 THEN lag(value, 2) OVER w ELSE lag(value, 3) OVER w END AS v, CASE lag(event_id, 1) OVER w % 3 WHEN 0 THEN lag(value, 1) OVER w WHEN 1 THEN lag(value, 2) OVER w WHEN 2 THEN lag(value, 3) OVER w END * 2 AS w FROM events {SERIES}")
+series_query("rising_dynamic", {"v": "rising(value, 2 + user_id % 2)"}, f"SELECT event_id, CASE WHEN user_id % 2 = 0 THEN value > lag(value, 1) OVER w ELSE value > lag(value, 1) OVER w AND lag(value, 1) OVER w > lag(value, 2) OVER w END AS v FROM events {SERIES}")
 series_query("rising", {"v": "rising(value, 3)"}, f"SELECT event_id, value > lag(value, 1) OVER w AND lag(value, 1) OVER w > lag(value, 2) OVER w AS v FROM events {SERIES}")
 series_query("falling", {"v": "falling(value, 3)"}, f"SELECT event_id, value < lag(value, 1) OVER w AND lag(value, 1) OVER w < lag(value, 2) OVER w AS v FROM events {SERIES}")
 ROWS5 = "(PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
@@ -244,6 +248,18 @@ def cross_above(spark: SparkSession, folder: str) -> DataFrame:
     return df.select("event_id", "v")
 
 
+@query("""
+WITH RECURSIVE o AS (SELECT event_id, user_id, CASE WHEN event_id % 5 <> 0 THEN value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+e AS (
+  SELECT event_id, user_id, k, value AS ema FROM o WHERE k = 1
+  UNION ALL SELECT o.event_id, o.user_id, o.k, CASE WHEN o.value IS NULL THEN e.ema WHEN e.ema IS NULL THEN o.value ELSE e.ema + (2.0::DOUBLE / 6) * (o.value - e.ema) END FROM e JOIN o ON o.user_id = e.user_id AND o.k = e.k + 1)
+SELECT event_id, round(ema, 6) AS ema FROM e
+""")
+def ema_nulls(spark: SparkSession, folder: str) -> DataFrame:
+    df = table(spark, folder, "events").select("user_id", "ts", "event_id", F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("value"))
+    return series.ema(df, ["user_id"], ["ts", "event_id"], "value", 5).select("event_id", F.round("ema", 6).alias("ema"))
+
+
 @query("""
 WITH RECURSIVE o AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
 e AS (

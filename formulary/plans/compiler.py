@@ -36,6 +36,15 @@ def leaf_lag(window: WindowSpec | None) -> Callable[[Column, str, int], Column]:
     return read
 
 
+def checked(valid: Column, value: Column, kind: T.DataType, message: str) -> Column:
+    """The value, or an error where something is not as it must be."""
+    return F.when(valid, value).otherwise(F.raise_error(F.lit(message)).cast(kind))
+
+
+#: No number of a column of this type is further from 0.
+BOUNDS = {T.ByteType: 2.0**7, T.ShortType: 2.0**15, T.IntegerType: 2.0**31, T.LongType: 2.0**63, T.DecimalType: 1e38}
+
+
 @dataclass(frozen=True)
 class Compiler:
     schema: T.StructType
@@ -53,6 +62,12 @@ class Compiler:
     inlining: tuple[str, ...] = ()
     #: Compiled producers, and the arguments of functions being inlined.
     memo: dict = field(default_factory=dict)
+    #: Whether a lookback beyond the first row is an error, not NULL.
+    strict: bool = False
+    #: Rows that a lookback whose offset is no constant may go back.
+    most_back: int = 64
+    #: Rows besides ``back`` that everything is read before the current one, where that depends on the row.
+    far: Column | None = None
 
     # Entry points
 
@@ -92,7 +107,7 @@ class Compiler:
     def compile(self, node: t.Node) -> Value:
         match node:
             case t.Number(x):
-                return Value(F.lit(x), NUMBER, not math.isfinite(x), False, x)
+                return Value(F.lit(x), NUMBER, not math.isfinite(x), False, x, bound=abs(x) if math.isfinite(x) else math.inf)
             case t.Bool(x):
                 return Value(F.lit(x), BOOL, False, False, x)
             case t.Text(x):
@@ -120,16 +135,35 @@ class Compiler:
         raise TypeError(node)
 
     def leaf(self, column: Column, name: str) -> Column:
+        kind = self.schema[name].dataType
+        if self.far is not None:
+            return self.distant(column, kind)
         if not self.back:
             return column
-        return (self.earlier or leaf_lag(self.window))(column, name, self.back)
+        lagged = (self.earlier or leaf_lag(self.window))(column, name, self.back)
+        if self.strict and self.window is not None:
+            return checked(F.row_number().over(self.window) > self.back, lagged, kind, "lookback beyond the first row")
+        return lagged
+
+    def distant(self, column: Column, kind: T.DataType) -> Column:
+        """The column as many rows earlier as the current row says; only the last ``most_back`` rows are held."""
+        if self.window is None:
+            raise ExpressionSyntaxError("An offset that depends on the row needs a window")
+        held = F.collect_list(F.struct(column.alias("v"))).over(self.window.rowsBetween(-self.most_back, 0))
+        whole = checked((self.far >= 0) & (F.abs(self.far - F.rint(self.far)) <= 1e-9), F.rint(self.far), T.DoubleType(), "a lookback must be a whole number of rows, not negative")
+        place = F.size(held) - 1 - self.back - whole
+        full = F.size(held) > self.most_back  # there may be rows before those that are held
+        out = F.when(place >= 0, F.get(held, place.cast("int"))["v"]).when((place < 0) & full, F.raise_error(F.lit(f"a lookback of more than {self.most_back} rows")).cast(kind))
+        if self.strict:
+            out = out.when(place < 0, F.raise_error(F.lit("lookback beyond the first row")).cast(kind))
+        return F.when(self.far.isNotNull(), out)
 
     def typed(self, column: Column, data: T.DataType) -> Value:
         kind = of_spark(data)
         if kind is UNKNOWN:
             raise TypeMismatch(f"A column of type {data.simpleString()} is no value")
         if kind is NUMBER:
-            return Value(column.cast("double") if not isinstance(data, T.DoubleType) else column, NUMBER, may_be_nan(data))
+            return Value(column.cast("double") if not isinstance(data, T.DoubleType) else column, NUMBER, may_be_nan(data), bound=BOUNDS.get(type(data), math.inf))
         return Value(column, kind)
 
     def column(self, name: str) -> Value | None:
@@ -202,7 +236,7 @@ class Compiler:
             inner = self.predicate(node.operand)
             return Value(~inner.column, BOOL, False, inner.raises, None if inner.constant is None else not inner.constant)
         inner = self.number(node.operand)
-        return Value(-inner.column, NUMBER, inner.nan, inner.raises, None if inner.constant is None else -inner.constant)
+        return Value(-inner.column, NUMBER, inner.nan, inner.raises, None if inner.constant is None else -inner.constant, bound=inner.bound)
 
     def binary(self, node: t.Binary) -> Value:
         op = node.op
@@ -234,7 +268,9 @@ class Compiler:
             return Value(library.power(a.column, b.column), NUMBER, True, raises)
         column = {"+": a.column + b.column, "-": a.column - b.column, "*": a.column * b.column}[op]
         # Infinities make NaN; whatever may be infinite is marked as if it were NaN already.
-        return Value(column, NUMBER, a.nan or b.nan, raises, constant)
+        most = a.bound * b.bound if op == "*" else a.bound + b.bound
+        finite = most < 1e300
+        return Value(column, NUMBER, a.nan or b.nan or not finite, raises, constant, bound=most if finite else math.inf)
 
     @staticmethod
     def order(op: str, a: Value, b: Value) -> Value:
@@ -297,7 +333,15 @@ class Compiler:
             raise ExpressionSyntaxError("Lookback needs an ordered series")
         # What functions' parameters are bound to was compiled without this offset.
         inner = replace(self, scope={k: v for k, v in self.scope.items() if k.startswith("$")})
-        return inner.shifted(self.offset(index)).compile(substitute(target, self.scope_nodes()))
+        node = substitute(target, self.scope_nodes())
+        back = self.number(index)
+        if back.constant is not None:
+            return inner.shifted(self.offset(index)).compile(node)
+        if self.earlier is not None:
+            raise ExpressionSyntaxError("On streams a lookback is a constant number of rows")
+        far = back.column if self.far is None else self.far + back.column
+        found = replace(inner, far=far, memo={}).compile(node)
+        return replace(found, raises=True, constant=None)
 
     def scope_nodes(self) -> dict[str, t.Node]:
         """What the parameters of the function being inlined stand for, in terms of columns."""

@@ -82,3 +82,5 @@ class Value:
     constant: float | bool | None = None
     #: Compiled fields of a struct that was built in place.
     parts: tuple[tuple[str, Value], ...] = ()
+    #: No number of the expression is further from 0, NaN aside.
+    bound: float = float("inf")

@@ -32,6 +32,10 @@ class Engine:
     params: Mapping[str, object] = field(default_factory=dict)
     window: WindowSpec | None = None
     on_zero: str = "error"
+    #: Whether a lookback beyond the first row is an error, not NULL.
+    strict: bool = False
+    #: Rows that a lookback, or a trend, may go back where their number is no constant.
+    most_back: int = 64
 
     def with_params(self, **params) -> Engine:
         """Values of $names; a dotted name is given as ``**{"a.b": 1}``, a role as a list or an array column."""
@@ -42,7 +46,7 @@ class Engine:
         return replace(self, window=series.ordered(keys, order))
 
     def compiler(self, df: DataFrame) -> Compiler:
-        return Compiler(df.schema, self.registry, self.params, self.window, on_zero=self.on_zero)
+        return Compiler(df.schema, self.registry, self.params, self.window, on_zero=self.on_zero, strict=self.strict, most_back=self.most_back)
 
     def compile(self, df: DataFrame, text: str | t.Node) -> Value:
         return self.compiler(df).value(parser.parse(text) if isinstance(text, str) else text)

@@ -29,3 +29,14 @@ def test_lookback_over_batches(spark, tmp_path):
     got = run(with_lookback(Engine(), stream, ["k"], "i", texts), "lookback")
     want = Engine().over("k", "i").with_expressions(whole, texts)
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_lookback_keeps_whole_numbers(spark, tmp_path):
+    """A NULL in a column does not turn its large numbers into rounded ones."""
+    schema, large = "k string, i bigint, v bigint", 9007199254740993
+    for part in ([("a", 9, large), ("a", 10, None)], [("a", 11, large + 2)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = run(with_lookback(Engine(), stream, ["k"], "i", {"back": "v[2]"}), "whole_numbers").orderBy("i").collect()
+    assert [(r["i"], r["v"]) for r in got] == [(9, large), (10, None), (11, large + 2)]
+    assert [r["back"] for r in got] == [None, None, float(large)]
