@@ -31,7 +31,9 @@ most HOT contexts) meets on the driver. A follower can occur twice behind a cont
 only if it does behind the shorter one, and the context only if it occurs twice;
 others are not asked for, which loses none.
 
-Tokens and contexts are known by 64-bit hashes.
+Tokens and contexts are known by 64-bit hashes. A word that training has gets a
+number from its bucket, the lower the more frequent, by which followers are asked
+for, as it takes fewer bytes.
 
 Defined results: a null or empty text is an end alone; rows that repeat an id are
 documents of their own; rows without an id are not learned from; with nothing to
@@ -125,22 +127,28 @@ def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Answers:
-    """Of one length: contexts that stay, and followers with n >= 2 (any, of the empty context)."""
+    """Of one length: contexts that stay, and followers with n >= 2 (any, of the empty context, with their numbers)."""
 
     contexts: np.ndarray
     size: np.ndarray
     once: np.ndarray
     grams: np.ndarray
     n: np.ndarray
+    ids: np.ndarray
 
     @classmethod
     def joined(cls, rows: list[dict], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Answers:
         k, m = [r["n_contexts"] for r in rows], [r["n_grams"] for r in rows]
-        each = lambda name, sizes, kind: [unpacked(r[name], x, kind) for r, x in zip(rows, sizes, strict=True)]
-        contexts = np.concatenate([hot[0], *(unstepped(r["contexts"], x) for r, x in zip(rows, k, strict=True))])
-        size, once = np.concatenate([hot[1], *each("size", k, np.int64)]), np.concatenate([hot[2], *each("once", k, np.int64)])
-        grams, n = np.concatenate([np.empty(0, U64), *(unstepped(r["grams"], x) for r, x in zip(rows, m, strict=True))]), np.concatenate([np.empty(0, np.int64), *each("n", m, np.int64)])
-        return cls(contexts, size, once, grams, n)  # what a block asked for twice has got the same answer twice
+        each = lambda name, sizes, kind: np.concatenate([np.empty(0, kind), *(unpacked(r[name], x, kind) for r, x in zip(rows, sizes, strict=True))])
+        contexts = np.concatenate([np.empty(0, U64), *(unstepped(r["contexts"], x) for r, x in zip(rows, k, strict=True))])
+        size, once, ids = each("size", k, np.int64), each("once", k, np.int64), each("ids", m, np.uint32)
+        if sum(k):
+            grams = gram(np.repeat(contexts, each("kinds", k, np.uint32)), ids.astype(U64))
+        else:
+            grams = np.concatenate([np.empty(0, U64), *(unstepped(r["grams"], x) for r, x in zip(rows, m, strict=True))])
+        # What a block asked for twice has got the same answer twice.
+        stays = size > 0
+        return cls(*(np.concatenate(x) for x in zip(hot, (contexts[stays], size[stays], once[stays]), strict=True)), grams, each("n", m, np.int64), ids)
 
 
 class Block:
@@ -175,6 +183,7 @@ class Block:
         """Counts and probabilities of the empty context; ``at`` are the places that the tree goes on from."""
         has, spot = found(level.grams, self.tokens)
         self.count = np.where(has, level.n[spot] if len(level.n) else 0, 0)
+        self.ids = np.where(has, level.ids[spot] if len(level.n) else 0, 0).astype(U64)  # without a number, what a word follows is never looked up
         self.base = (self.count + 0.5) / floor
         self.p = self.base.copy()
         self.at, self.context, self.n = np.arange(len(self.tokens)), np.zeros(len(self.tokens), U64), self.count
@@ -184,7 +193,7 @@ class Block:
     def follow(self, level: Answers) -> None:
         """What is told of the contexts asked for: how often tokens follow them, and which of them stay, with ``p`` in these."""
         some = np.flatnonzero(self.n >= 2)
-        has, spot = found(level.grams, gram(self.context[some], self.tokens[self.at[some]]))
+        has, spot = found(level.grams, gram(self.context[some], self.ids[self.at[some]]))
         times = np.zeros(len(self.at), dtype=np.int64)
         if len(some) and len(level.grams):
             times[some] = np.where(has, level.n[spot], 0)
@@ -201,20 +210,22 @@ class Block:
             self.step(depth)
             self.follow(level)
 
-    def resume(self, depth: int, row: np.ndarray, offset: np.ndarray, p: np.ndarray, n: np.ndarray) -> None:
+    def resume(self, depth: int, row: np.ndarray, offset: np.ndarray, p: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
         """As after step(depth), from what state() kept of these rows, whichever task read them then."""
         self.p = np.ones(len(self.tokens))
         here, spot = found(self.rows, row)
         self.at, self.n = self.begin[spot[here]] + offset[here], n[here]
         self.p[self.at] = p[here]
+        self.ids = np.zeros(len(self.tokens), U64)
+        self.ids[self.at] = ids[here]
         self.context = np.zeros(len(self.at), U64)
         for back in range(1, depth + 1):
             self.context = extended(self.context, self.held[self.at + 1 - back])
 
     def state(self, block: int) -> pa.RecordBatch:
         row = np.repeat(np.arange(len(self.rows)), self.counts)[self.at]
-        columns = [[block], [len(self.at)], [packed(self.rows[row])], [packed((self.at - self.begin[row]).astype(np.uint32))], [packed(self.p[self.at])], [packed(self.n)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 4), strict=True)], ["block", "n_at", "row", "at", "p", "n"])
+        columns = [[block], [len(self.at)], [packed(self.rows[row])], [packed((self.at - self.begin[row]).astype(np.uint32))], [packed(self.p[self.at])], [packed(self.n)], [packed(self.ids[self.at].astype(np.uint32))]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["block", "n_at", "row", "at", "p", "n", "ids"])
 
     def step(self, depth: int) -> None:
         """On to the contexts with one more token in front, where there is one, and where it can occur twice."""
@@ -228,55 +239,77 @@ class Block:
 
     def questions(self, block: int, buckets: int, hot: int) -> pa.RecordBatch:
         """The contexts of ``at`` and their followers, by bucket."""
-        token, learn = self.tokens[self.at], self.learn[self.at].astype(np.int64)
+        learn = self.learn[self.at].astype(np.int64)
         context, inverse = coded(self.context)
         size = np.bincount(inverse, weights=learn, minlength=len(context)).astype(np.int64)
         dealt = np.zeros(len(context), dtype=bool)
         dealt[inverse] = self.most > hot
         some = np.flatnonzero(self.n >= 2)
-        g, back = coded(gram(self.context[some], token[some]))
-        first = np.empty(len(g), dtype=np.int64)
-        first[back[::-1]] = np.arange(len(back))[::-1]
-        n = np.bincount(back, weights=learn[some], minlength=len(g)).astype(np.int64)
-        bits = np.clip(np.rint(-STEPS * np.log2(self.p[self.at[some[first]]])), 0, 65535).astype(np.uint16)
-        owner = inverse[some[first]]
-        return packed_questions(block, buckets, context, size, dealt, g, owner, n, bits)
+        pair, back = coded((inverse[some].astype(U64) << U64(32)) | self.ids[self.at[some]])
+        n = np.bincount(back, weights=learn[some], minlength=len(pair)).astype(np.int64)
+        p = np.empty(len(pair))
+        p[back] = self.p[self.at[some]]
+        bits = np.clip(np.rint(-STEPS * np.log2(p)), 0, 65535).astype(np.uint16)
+        return packed_questions(block, buckets, context, size, dealt, (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.uint32), n, bits)
 
     def counted(self, block: int, buckets: int) -> pa.RecordBatch:
-        """The tokens, as followers of the empty context."""
+        """The tokens and how often training texts have them, by bucket."""
         key, inverse = coded(self.tokens)
         n = np.bincount(inverse, weights=self.learn, minlength=len(key)).astype(np.int64)
-        return packed_questions(block, buckets, np.zeros(1, U64), np.array([n.sum()]), np.ones(1, bool), key, np.zeros(len(key), np.int64), n, np.zeros(len(key), np.uint16))
+        group = (words.mix(key) % U64(buckets)).astype(np.int64)
+        order = np.argsort(group, kind="stable")
+        key, n, group = key[order], n[order], group[order]
+        rows = []
+        for bucket in np.unique(group).tolist():
+            a, b = np.searchsorted(group, [bucket, bucket + 1])
+            rows.append((bucket, block, False, 0, b"", b"", b"", b - a, stepped(key[a:b]), packed(n[a:b]), b""))
+        return question_rows(rows)
 
 
-ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, n_grams bigint, grams binary, owner binary, n binary, bits binary"
+ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, kinds binary, n_grams bigint, grams binary, n binary, bits binary"
 NAMES = [x.split()[0] for x in ASKED.split(", ")]
-QUESTION = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-TOLD = "block bigint, n_contexts bigint, contexts binary, size binary, once binary, n_grams bigint, grams binary, n binary, part array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
+QUESTION = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+PLACES = "n_at bigint, row binary, at binary, p binary, ids binary"
+PART = "array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
+TOLD = f"block bigint, n_contexts bigint, contexts binary, size binary, once binary, kinds binary, n_grams bigint, grams binary, n binary, ids binary, part {PART}"
+TOLD_NAMES = ["block", "n_contexts", "contexts", "size", "once", "kinds", "n_grams", "grams", "n", "ids", "part"]
+PARTS = pa.list_(pa.struct([("context", pa.int64()), ("size", pa.int64()), ("twice", pa.int64()), ("gain", pa.float64()), ("kinds", pa.int64()), ("stays", pa.int64())]))
+ANSWER = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), PARTS)
+
+
+def question_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(QUESTION), QUESTION, strict=True)], NAMES)
+
 
+def answer_rows(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANSWER, strict=True)], names=TOLD_NAMES)
 
-def packed_questions(block: int, buckets: int, context: np.ndarray, size: np.ndarray, dealt: np.ndarray, g: np.ndarray, owner: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
+
+def packed_questions(block: int, buckets: int, context: np.ndarray, size: np.ndarray, dealt: np.ndarray, owner: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
     """A row for each bucket, and one more for contexts that are dealt out by followers.
 
-    A follower goes to its context's bucket, or to one of its own; a context that is
-    dealt out goes with each of its followers, and gives its size in one place.
+    Followers stand in order of their contexts and numbers, and go to their context's
+    bucket, or to one of their own; a context that is dealt out goes with each of its
+    followers, and gives its size in one place.
     """
     home = (words.mix(context ^ U64(0x51)) % U64(buckets)).astype(np.int64)
-    to = np.where(dealt[owner], (g % U64(buckets)).astype(np.int64), home[owner])
+    to = np.where(dealt[owner], (words.mix(ids.astype(U64)) % U64(buckets)).astype(np.int64), home[owner])
     group = 2 * to + dealt[owner]
-    order = np.argsort(group, kind="stable")  # grams stay in order within a group
-    g, owner, n, bits, group = g[order], owner[order], n[order], bits[order], group[order]
+    order = np.argsort(group, kind="stable")  # followers stay in order within a group
+    owner, ids, n, bits, group = owner[order], ids[order], n[order], bits[order], group[order]
     own = 2 * home + dealt
     by_own = np.argsort(own, kind="stable")
+    keys = np.union1d(own, group)
+    ends, here_ends = np.searchsorted(group, [keys, keys + 1]), np.searchsorted(own[by_own], [keys, keys + 1])
     rows: list[tuple] = []
-    for key in np.union1d(own, group).tolist():
-        a, b = np.searchsorted(group, [key, key + 1])
-        here = by_own[slice(*np.searchsorted(own[by_own], [key, key + 1]))]
+    for i, key in enumerate(keys.tolist()):
+        a, b = ends[:, i]
+        here = by_own[here_ends[0, i] : here_ends[1, i]]
         asked = np.union1d(here, owner[a:b]) if key & 1 else here  # in order of their hashes
         told = np.where(own[asked] == key, size[asked], 0)
-        place = np.searchsorted(asked, owner[a:b])
-        rows.append((key >> 1, block, bool(key & 1), len(asked), stepped(context[asked]), packed(told), b - a, stepped(g[a:b]), packed(place.astype(np.uint32 if len(asked) > 1 << 16 else np.uint16)), packed(n[a:b]), packed(bits[a:b])))
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(QUESTION), QUESTION, strict=True)], NAMES)
+        kinds = np.bincount(np.searchsorted(asked, owner[a:b]), minlength=len(asked)).astype(np.uint32)
+        rows.append((key >> 1, block, bool(key & 1), len(asked), stepped(context[asked]), packed(told), packed(kinds), b - a, packed(ids[a:b]), packed(n[a:b]), packed(bits[a:b])))
+    return question_rows(rows)
 
 
 def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -286,51 +319,66 @@ def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
         return gain - size / STEPS - np.where(twice > 0, twice * np.log2(np.maximum(size, 1)), 0) + np.where(once > 0, once * np.log2((once + PRIOR) / (size + PRIOR)), 0)
 
 
-def answered(bits_needed: float, least: int) -> Callable[[pa.Table], pa.Table]:
-    """What a bucket does: adds up, judges, and answers each row. ``least`` is the least count of a follower that is told."""
+def numbered(buckets: int) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket does with the tokens: adds up, and numbers them by frequency, beside the other buckets."""
 
     def run(bucket: pa.Table) -> pa.Table:
         rows = bucket.to_pylist()
-        contexts = [unstepped(r["contexts"], r["n_contexts"]) for r in rows]
-        grams = [unstepped(r["grams"], r["n_grams"]) for r in rows]
-        hot = np.repeat([r["hot"] for r in rows], [r["n_contexts"] for r in rows])
-        every = np.concatenate(contexts)
+        asked = np.concatenate([unstepped(r["grams"], r["n_grams"]) for r in rows])
+        key, place = coded(asked)
+        n = np.bincount(place, weights=np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), minlength=len(key)).astype(np.int64)
+        ids = np.empty(len(key), dtype=np.int64)
+        ids[np.lexsort((key, -n))] = np.arange(len(key)) * buckets + rows[0]["bucket"] + 1
+        upto, told, out = np.r_[0, np.cumsum([r["n_grams"] for r in rows])], (n >= 1)[place], []
+        for i, r in enumerate(rows):
+            m = np.flatnonzero(told[upto[i] : upto[i + 1]]) + upto[i]
+            out.append((r["block"], 0, b"", b"", b"", b"", len(m), stepped(asked[m]), packed(n[place[m]]), packed(ids[place[m]].astype(np.uint32)), []))
+        out[0] = (*out[0][:-1], [{"context": 0, "size": int(n.sum()), "twice": 0, "gain": 0.0, "kinds": int((n > 0).sum()), "stays": 0}])
+        return answer_rows(out)
+
+    return run
+
+
+def answered(bits_needed: float) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket does with contexts: adds up, judges, and answers each row."""
+
+    def run(bucket: pa.Table) -> pa.Table:
+        rows = bucket.to_pylist()
+        n_contexts, n_grams = [r["n_contexts"] for r in rows], [r["n_grams"] for r in rows]
+        column = lambda name, sizes, kind: np.concatenate([unpacked(r[name], x, kind) for r, x in zip(rows, sizes, strict=True)])
+        every = np.concatenate([unstepped(r["contexts"], x) for r, x in zip(rows, n_contexts, strict=True)])
         key, back = coded(every)
-        size = np.bincount(back, weights=np.concatenate([unpacked(r["size"], r["n_contexts"], np.int64) for r in rows]), minlength=len(key)).astype(np.int64)
+        size = np.bincount(back, weights=column("size", n_contexts, np.int64), minlength=len(key)).astype(np.int64)
         dealt = np.zeros(len(key), dtype=bool)
-        dealt[back[hot]] = True
-        begin = np.r_[0, np.cumsum([r["n_contexts"] for r in rows])]
-        owner = np.concatenate([back[a : a + r["n_contexts"]][unpacked(r["owner"], r["n_grams"], np.uint32 if r["n_contexts"] > 1 << 16 else np.uint16)] for a, r in zip(begin[:-1].tolist(), rows, strict=True)])
-        asked = np.concatenate(grams)
-        g, place = coded(asked)
-        n = np.bincount(place, weights=np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), minlength=len(g)).astype(np.int64)
+        dealt[back[np.repeat([r["hot"] for r in rows], n_contexts)]] = True
+        at = np.repeat(np.arange(len(every)), column("kinds", n_contexts, np.uint32))  # the context asked with each follower
+        ids = column("grams", n_grams, np.uint32)
+        g, place = coded(gram(every[at], ids.astype(U64)))
+        n = np.bincount(place, weights=column("n", n_grams, np.int64), minlength=len(g)).astype(np.int64)
         of, weight = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-        of[place], weight[place] = owner, np.concatenate([unpacked(r["bits"], r["n_grams"], np.uint16) for r in rows])
+        of[place], weight[place] = back[at], column("bits", n_grams, np.uint16)
         two = n >= 2
         twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
         gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / STEPS), minlength=len(key))
         stays = (gains(size, twice, gain) >= bits_needed) & ~dealt
-        told, kept = (n >= least)[place], stays[back]
-        times, sizes, once = n[place], size[back], (size - twice)[back]
-        upto = np.r_[0, np.cumsum([r["n_grams"] for r in rows])]
+        told = two[place]
+        kinds = np.bincount(at[told], minlength=len(every)).astype(np.uint32)
+        listed = stays[back] | (kinds > 0)
+        sizes, once, times = np.where(stays, size, 0)[back], (size - twice)[back], n[place]
+        begin, upto = np.r_[0, np.cumsum(n_contexts)], np.r_[0, np.cumsum(n_grams)]
         out = []
         for i, r in enumerate(rows):
-            c, m = slice(begin[i], begin[i + 1]), slice(upto[i], upto[i + 1])
-            c, m = np.flatnonzero(kept[c]) + begin[i], np.flatnonzero(told[m]) + upto[i]
-            out.append((r["block"], len(c), stepped(every[c]), packed(sizes[c]), packed(once[c]), len(m), stepped(asked[m]), packed(times[m]), []))
-        kinds = np.bincount(of[n > 0], minlength=len(key))
-        part = [{"context": int(key[i].view(np.int64)), "size": int(size[i]), "twice": int(twice[i]), "gain": float(gain[i]), "kinds": int(kinds[i]), "stays": 0} for i in np.flatnonzero(dealt)]
+            c = np.flatnonzero(listed[begin[i] : begin[i + 1]]) + begin[i]
+            m = np.flatnonzero(told[upto[i] : upto[i + 1]]) + upto[i]
+            out.append((r["block"], len(c), stepped(every[c]), packed(sizes[c]), packed(once[c]), packed(kinds[c]), len(m), b"", packed(times[m]), packed(ids[m]), []))
+        part = [{"context": int(key[i].view(np.int64)), "size": int(size[i]), "twice": int(twice[i]), "gain": float(gain[i]), "kinds": 0, "stays": 0} for i in np.flatnonzero(dealt)]
         part.append({"context": None, "size": 0, "twice": 0, "gain": 0.0, "kinds": 0, "stays": int(stays.sum())})
         out[0] = (*out[0][:-1], part)
-        return pa.table([pa.array(c, t) for c, t in zip(zip(*out, strict=True), ANSWER, strict=True)], names=[x.split()[0] for x in TOLD.partition(", part")[0].split(", ")] + ["part"])
+        return answer_rows(out)
 
     return run
 
 
-PART = pa.struct([("context", pa.int64()), ("size", pa.int64()), ("twice", pa.int64()), ("gain", pa.float64()), ("kinds", pa.int64()), ("stays", pa.int64())])
-ANSWER = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(PART))
-
-
 @dataclass(frozen=True)
 class Level:
     """Where the answers for contexts of one length are, and the contexts that were dealt out and stay."""
@@ -339,7 +387,7 @@ class Level:
     hot: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def of(self, block: int) -> Answers:
-        return Answers.joined(shelved(self.path, block, ["n_contexts", "contexts", "size", "once", "n_grams", "grams", "n"]), self.hot)
+        return Answers.joined(shelved(self.path, block, ["n_contexts", "contexts", "size", "once", "kinds", "n_grams", "grams", "n", "ids"]), self.hot)
 
 
 def shelf(block: int | Column) -> int | Column:
@@ -388,8 +436,8 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def aligned(ask: Callable) -> Callable:
     """Questions and places as rows of one schema."""
-    names = [*NAMES, "n_at", "row", "at", "p"]
-    kinds = dict(zip(NAMES, QUESTION, strict=True)) | {"n_at": pa.int64(), "row": pa.binary(), "at": pa.binary(), "p": pa.binary()}
+    names = [*NAMES, "n_at", "row", "at", "p", "ids"]
+    kinds = dict(zip(NAMES, QUESTION, strict=True)) | {"n_at": pa.int64()} | dict.fromkeys(("row", "at", "p", "ids"), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ask(batches):
@@ -416,11 +464,11 @@ def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None)
                     yield Block(parts).counted(block, count)
                     continue
                 if before:
-                    rows = [r for r in shelved(before, block, ["n_at", "row", "at", "p", "n"]) if r["n_at"]]
+                    rows = [r for r in shelved(before, block, ["n_at", "row", "at", "p", "n", "ids"]) if r["n_at"]]
                     if not rows:
                         continue
                     own = Block(parts)
-                    own.resume(len(known) - 1, *(np.concatenate([unpacked(r[c], r["n_at"], t) for r in rows]) for c, t in (("row", np.int64), ("at", np.uint32), ("p", np.float64), ("n", np.int64))))
+                    own.resume(len(known) - 1, *(np.concatenate([unpacked(r[c], r["n_at"], t) for r in rows]) for c, t in (("row", np.int64), ("at", np.uint32), ("p", np.float64), ("n", np.int64), ("ids", np.uint32))))
                     own.follow(known[-1].of(block))
                 else:
                     own = Block(parts)
@@ -434,13 +482,13 @@ def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None)
         path = fresh_path(spark, f"lm-level-{len(levels)}")
         texts = blocks.select("block", "row", "text", "learn")
         if kept:
-            asked = texts.mapInArrow(aligned(ask), f"{ASKED}, n_at bigint, row binary, at binary, p binary")
+            asked = texts.mapInArrow(aligned(ask), f"{ASKED}, {PLACES}")
             shelve(asked, kept)
-            asked = spark.read.schema(f"{ASKED}, n_at bigint, row binary, at binary, p binary").parquet(kept).where("bucket IS NOT NULL").select(*NAMES)
+            asked = spark.read.schema(f"{ASKED}, {PLACES}").parquet(kept).where("bucket IS NOT NULL").select(*NAMES)
             places = kept
         else:
             asked = texts.mapInArrow(ask, ASKED)
-        told = asked.groupBy("bucket").applyInArrow(answered(bits, 2 if levels else 1), TOLD)
+        told = asked.groupBy("bucket").applyInArrow(answered(bits) if levels else numbered(buckets), TOLD)
         shelve(told, path)
         parts = spark.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
         parts = parts.agg(*[F.sum(f"p.{x}").alias(x) for x in ("size", "twice", "gain", "kinds", "stays")]).toArrow()  # HOT rows at most
