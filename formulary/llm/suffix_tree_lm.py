@@ -28,8 +28,10 @@ files in the shared folder; texts stay where they are, and are read once for eac
 length, and where lengths grow, only the places that the tree still reaches are kept. A context of over one HOT-th of all tokens is dealt out by
 its followers instead, and what its buckets add up (a few numbers for each of at
 most HOT contexts) meets on the driver. A follower can occur twice behind a context
-only if it does behind the shorter one, and the context only if it occurs twice;
-others are not asked for, which loses none.
+only if it does behind the shorter one, and the context only if it occurs twice; and
+what contexts one token longer can save is at most the sum of -n log2 P(w|s) over
+followers with n >= 2. What cannot stay by these bounds is not asked for, which
+loses none.
 
 Tokens and contexts are known by 64-bit hashes. A word that training has gets a
 number from its bucket, the lower the more frequent, by which followers are asked
@@ -135,6 +137,8 @@ class Answers:
     grams: np.ndarray
     n: np.ndarray
     ids: np.ndarray
+    #: Whether longer contexts may stay.
+    open: np.ndarray
 
     @classmethod
     def joined(cls, rows: list[dict], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Answers:
@@ -147,8 +151,9 @@ class Answers:
         else:
             grams = np.concatenate([np.empty(0, U64), *(unstepped(r["grams"], x) for r, x in zip(rows, m, strict=True))])
         # What a block asked for twice has got the same answer twice.
-        stays = size > 0
-        return cls(*(np.concatenate(x) for x in zip(hot, (contexts[stays], size[stays], once[stays]), strict=True)), grams, each("n", m, np.int64), ids)
+        stays = size > 0  # twice the size, and one more if longer contexts may stay
+        contexts, size, once, more = (np.concatenate(x) for x in zip((*hot, np.ones(len(hot[0]), np.int64)), (contexts[stays], size[stays] >> 1, once[stays], size[stays] & 1), strict=True))
+        return cls(contexts, size, once, grams, each("n", m, np.int64), ids, more > 0)
 
 
 class Block:
@@ -203,6 +208,8 @@ class Block:
         place = place[on]
         self.at, self.context, self.n = self.at[on], self.context[on], times[on]
         self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / (level.size[place] + PRIOR)
+        more = level.open[place] if len(place) else np.empty(0, bool)
+        self.at, self.context, self.n = self.at[more], self.context[more], self.n[more]
 
     def walk(self, levels: list[Answers], floor: float) -> None:
         self.start(levels[0], floor)
@@ -361,10 +368,13 @@ def answered(bits_needed: float) -> Callable[[pa.Table], pa.Table]:
         twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
         gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / STEPS), minlength=len(key))
         stays = (gains(size, twice, gain) >= bits_needed) & ~dealt
+        p = (n + (size - twice + PRIOR)[of] * 2.0 ** (-weight / STEPS)) / (size + PRIOR)[of]
+        left = np.bincount(of[two], weights=-(n * np.log2(np.minimum(p, 1)))[two], minlength=len(key)) if len(g) else np.zeros(len(key))
+        more = left >= bits_needed - 1 - size / STEPS  # with room for rounding
         told = two[place]
         kinds = np.bincount(at[told], minlength=len(every)).astype(np.uint32)
         listed = stays[back] | (kinds > 0)
-        sizes, once, times = np.where(stays, size, 0)[back], (size - twice)[back], n[place]
+        sizes, once, times = np.where(stays, 2 * size + more, 0)[back], (size - twice)[back], n[place]
         begin, upto = np.r_[0, np.cumsum(n_contexts)], np.r_[0, np.cumsum(n_grams)]
         out = []
         for i, r in enumerate(rows):
