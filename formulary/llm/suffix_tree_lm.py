@@ -368,8 +368,9 @@ def answered(bits_needed: float) -> Callable[[pa.Table], pa.Table]:
         twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
         gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / STEPS), minlength=len(key))
         stays = (gains(size, twice, gain) >= bits_needed) & ~dealt
-        p = (n + (size - twice + PRIOR)[of] * 2.0 ** (-weight / STEPS)) / (size + PRIOR)[of]
-        left = np.bincount(of[two], weights=-(n * np.log2(np.minimum(p, 1)))[two], minlength=len(key)) if len(g) else np.zeros(len(key))
+        whole = two & ~dealt[of]  # of a context that is dealt out, a bucket knows a part only
+        p = (n[whole] + (size - twice + PRIOR)[of[whole]] * 2.0 ** (-weight[whole] / STEPS)) / (size + PRIOR)[of[whole]]
+        left = np.bincount(of[whole], weights=-n[whole] * np.log2(np.minimum(p, 1)), minlength=len(key))
         more = left >= bits_needed - 1 - size / STEPS  # with room for rounding
         told = two[place]
         kinds = np.bincount(at[told], minlength=len(every)).astype(np.uint32)
