@@ -12,7 +12,8 @@ Exact: no link between two texts is missed, and each is counted out in full.
    its signatures by ranges before the shuffle; beyond it, those that share one
    form a star, never pairs.
    There are so many parts that a part with something in it is shared, unless a
-   set has exceptionally many empty parts; only such sets sign those too.
+   set has exceptionally many empty parts; only such sets sign those too, by the
+   frequent shingles in them, the least frequent first, else by their number.
 3. Candidates form clusters. A cluster, or where it is large each pair of bounded
    pieces of it (by size class, then by hash), is a block for one task.
 4. In a block the sets, with their n-grams in one common order (the more frequent
@@ -61,6 +62,8 @@ UNIT_GRAMS = 1 << 17
 FLUSH = 1 << 19
 #: A shingle of this many documents is left out of signatures; tasks pass it on from SEVERAL.
 FREQUENT, SEVERAL, MOST_FREQUENT = 24, 3, 500_000
+#: Frequent shingles are of level 1, and of one more for each time that they are so much more frequent.
+STEP = 16
 #: Bytes of text for each bucket of signatures; a bucket is held by one task at a time.
 BUCKET_BYTES = 8 << 20
 #: Members of clusters, seven numbers each, that may be broadcast.
@@ -121,8 +124,29 @@ def node_ids(sets: list[np.ndarray]) -> np.ndarray:
     return np.array([int(words.mix(np.add.reduce(words.mix(s), dtype=U64, keepdims=True) ^ U64(len(s)))[0]) if len(s) else 0 for s in sets], dtype=U64)
 
 
-def frequent_grams(docs: DataFrame, k: int) -> np.ndarray:
-    """Sorted shingles that many documents hold; at most MOST_FREQUENT.
+@dataclass(frozen=True)
+class Frequent:
+    """Sorted shingles that many documents hold, and the level of each."""
+
+    grams: np.ndarray
+    levels: np.ndarray
+
+    @classmethod
+    def of(cls, grams: np.ndarray, n: np.ndarray) -> Frequent:
+        order = np.argsort(grams)
+        steps = np.log(np.maximum(n, FREQUENT) / FREQUENT) / np.log(STEP)
+        return cls(grams[order], 1 + np.floor(steps[order]).astype(np.int64))
+
+    def level(self, grams: np.ndarray) -> np.ndarray:
+        """0 for shingles that are not frequent."""
+        if not len(self.grams):
+            return np.zeros(len(grams), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
+        return np.where(self.grams[at] == grams, self.levels[at], 0)
+
+
+def frequent_grams(docs: DataFrame, k: int) -> Frequent:
+    """Shingles that many documents hold; at most MOST_FREQUENT.
 
     Tasks count all their documents' shingles and pass on those that several hold.
     What is missed here only makes candidates more, never links fewer.
@@ -150,21 +174,20 @@ def frequent_grams(docs: DataFrame, k: int) -> np.ndarray:
             yield flush()
 
     found = docs.select("doc_id", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
-    return np.sort(found.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).select("gram").toArrow().column(0).to_numpy().view(U64))
-
-
-def among(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
-    if not len(ordered):
-        return np.zeros(len(values), dtype=bool)
-    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+    most = found.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow()
+    return Frequent.of(most.column("gram").to_numpy().view(U64), most.column("n").to_numpy())
 
 
-def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity, frequent: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity, frequent: Frequent) -> tuple[np.ndarray, np.ndarray]:
     """Signature and node of each part of each set, for its own class and the next.
 
     Frequent shingles are left out of the parts: two sets differ in no more places
     without them, so a part is still equal in both, and a passage that many
-    documents share does not make candidates of them.
+    documents share does not make candidates of them. A part is of the least level
+    that its shingles have, and signed by those of that level. Beyond level 0 it is
+    signed only if the set has more parts of its level or above, or empty, than a
+    scheme can spare: of the equal parts of two linked sets, more than it can
+    spare, all are then signed at the least level that any of them has, in both.
     """
     sizes = np.array([len(s) for s in sets])
     full = np.flatnonzero(sizes)
@@ -172,22 +195,29 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity, freq
         return np.empty(0, U64), np.empty(0, U64)
     flat = np.concatenate([sets[i] for i in full])
     owner = np.repeat(np.arange(len(full)), sizes[full])
-    rare = ~among(flat, frequent)
-    flat, owner = flat[rare], owner[rare]
+    level = frequent.level(flat)
     kinds = np.searchsorted(like.bounds(int(sizes.max())), sizes[full], side="right") - 1
     content = words.mix(flat + U64(0x51))
     top = flat >> U64(32)
     found = []
     for up in (0, 1):
-        parts = np.array([scheme(like, int(x) + up)[0] for x in kinds], dtype=U64)
+        schemes = [scheme(like, int(x) + up) for x in kinds]
+        parts, many = np.array([n for n, _ in schemes], dtype=U64), np.array([n for _, n in schemes])
         part = (top * parts[owner]) >> U64(32)
-        runs = np.flatnonzero(np.r_[len(part) > 0, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
-        label = ((kinds + up).astype(U64)[owner[runs]] << U64(40)) + part[runs]
-        if len(runs):
-            found.append((words.mix(np.add.reduceat(content, runs) ^ words.mix(label)), nodes[full][owner[runs]]))
-        filled = np.bincount(owner[runs], minlength=len(full))
-        for i in np.flatnonzero(parts.astype(np.int64) - filled >= [scheme(like, int(x) + up)[1] for x in kinds]):
-            rest = np.setdiff1d(np.arange(int(parts[i]), dtype=U64), part[owner == i])
+        runs = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (part[1:] != part[:-1])])
+        of = owner[runs]
+        label = words.mix(((kinds + up).astype(U64)[of] << U64(40)) + part[runs])
+        least = np.minimum.reduceat(level, runs)
+        own = level == np.repeat(least, np.diff(np.r_[runs, len(part)]))
+        signed = words.mix(np.add.reduceat(np.where(own, content, U64(0)), runs) ^ label)
+        some = least == 0
+        for x in range(1, int(least.max()) + 1):
+            lean = parts.astype(np.int64) - np.bincount(of[least < x], minlength=len(full)) >= many
+            some |= (least == x) & lean[of]
+        found.append((signed[some], nodes[full][of[some]]))
+        for i in np.flatnonzero(parts.astype(np.int64) - np.bincount(of, minlength=len(full)) >= many):
+            a, b = np.searchsorted(of, [i, i + 1])
+            rest = np.setdiff1d(np.arange(int(parts[i]), dtype=U64), part[runs[a:b]])
             found.append((words.mix(words.mix((U64(kinds[i] + up) << U64(40)) + rest)), np.full(len(rest), nodes[full[i]], U64)))
     return np.concatenate([s for s, _ in found]), np.concatenate([n for _, n in found])
 
@@ -195,7 +225,7 @@ def signatures(sets: list[np.ndarray], nodes: np.ndarray, like: Similarity, freq
 ROUTED = "bucket int, base bigint, width int, sigs binary, places binary, nodes binary, doc_ids array<bigint>, sizes array<bigint>, doc_nodes array<bigint>, rids array<bigint>"
 
 
-def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: np.ndarray) -> DataFrame:
+def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: Frequent) -> DataFrame:
     """Three kinds of rows: documents with their nodes and sizes; pairs of nodes that share a signature
     within a task, in the last two columns; and a task's signatures of one bucket, packed.
 

@@ -155,6 +155,37 @@ def test_near_dedup_groups(spark, monkeypatch, k, num, den, units, grams):
     assert set(rows(found)) == brute.near_classes(plain, k, num, den)
 
 
+@pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
+@pytest.mark.parametrize("shared", [0, 60])
+def test_near_dedup_keeps_candidates_of_unrelated_groups_apart(num, den, shared):
+    """Groups of near copies whose shingles are frequent, with and without a passage that all groups hold."""
+    draw = np.random.default_rng(7)
+    passage = draw.integers(0, 1 << 64, shared, dtype=np.uint64)
+    sets, group = [], []
+    for g in range(40):
+        common = np.r_[passage, draw.integers(0, 1 << 64, 300, dtype=np.uint64)]
+        for i in range(30):
+            differ = 1 + i % 12
+            sets.append(np.sort(np.r_[draw.permutation(common)[differ:], draw.integers(0, 1 << 64, differ, dtype=np.uint64)]))
+            group.append(g)
+    grams, n = np.unique(np.concatenate(sets), return_counts=True)
+    like, nodes = near_dedup.Similarity(num, den), np.arange(len(sets), dtype=np.uint64)
+    sig, node = near_dedup.signatures(sets, nodes, like, near_dedup.Frequent.of(grams[n >= near_dedup.FREQUENT], n[n >= near_dedup.FREQUENT]))
+    forest, first = near_dedup.Forest(len(sets)), {}
+    for s, x in zip(sig.tolist(), node.tolist(), strict=True):
+        forest.join(first.setdefault(s, x), x)
+    held = [set(sig[node == x].tolist()) for x in nodes]
+    for i in range(0, len(sets), 7):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if both * den >= num * (len(sets[i]) + len(sets[j]) - both):
+                assert held[i] & held[j]
+    clusters = {}
+    for x in range(len(sets)):
+        clusters.setdefault(forest.root(x), set()).add(group[x])
+    assert all(len(groups) == 1 for groups in clusters.values())
+
+
 def test_line_dedup(spark, docs, nothing):
     assert line_dedup.dedup(docs).count() == len(ROWS)
     assert line_dedup.dedup(nothing).count() == 0
