@@ -66,7 +66,7 @@ FREQUENT, SEVERAL, MOST_FREQUENT = 24, 3, 500_000
 STEP = 16
 #: Bytes of text for each bucket of signatures; a bucket is held by one task at a time.
 BUCKET_BYTES = 8 << 20
-#: Members of clusters, seven numbers each, that may be broadcast.
+#: Members of clusters, seven numbers each, or clusters in pieces, that may be broadcast.
 PLACED_ROWS = 200_000
 
 
@@ -449,8 +449,11 @@ def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> Dat
         F.map_from_entries(F.collect_list(F.struct("kind", "pieces"))).alias("pieces"),
         ((F.sum("sets") <= UNIT_SETS) & (F.sum("grams") <= UNIT_GRAMS)).alias("whole"),
     )
+    # Only clusters of several pieces need to be known: one in UNIT_SETS sets at most, but for very long ones.
+    large = written(clusters.where(~F.col("whole")).select("cluster", "pieces"), "near-large")
     number = lambda step: F.coalesce(F.element_at("pieces", F.col("kind") + step), F.lit(0))
-    placed = members.join(clusters, "cluster").select("rid", "node", F.col("cluster").alias("c"), "kind", F.when(F.col("whole"), 0).otherwise(number(0)).alias("here"), number(1).alias("above"), number(-1).alias("below"))
+    placed = members.join(F.broadcast(large) if few(large, PLACED_ROWS) else large, "cluster", "left")
+    placed = placed.select("rid", "node", F.col("cluster").alias("c"), "kind", number(0).alias("here"), number(1).alias("above"), number(-1).alias("below"))
     placed = written(placed, "near-members")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
