@@ -60,6 +60,8 @@ UNIT_SETS = 512
 UNIT_GRAMS = 1 << 17
 #: Signatures that a task combines before it passes them on.
 FLUSH = 1 << 19
+#: Pairs of a row at most.
+PAIRS = 1 << 12
 #: A shingle of this many documents is left out of signatures; tasks pass it on from SEVERAL.
 FREQUENT, SEVERAL, MOST_FREQUENT = 24, 3, 500_000
 #: Frequent shingles are of level 1, and of one more for each time that they are so much more frequent.
@@ -243,7 +245,7 @@ def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: Fr
                 nodes = node_ids(sets)
                 held.append(signatures(sets, nodes, like, told_frequent.value))
                 count += len(held[-1][0])
-                told = [[int(nodes[:1].sum() % U64(buckets))], [0], [0], [b""], [b""], [b""], [part.column("doc_id").to_pylist()], [[len(s) for s in sets]], [nodes.view(np.int64).tolist()], [part.column("rid").to_pylist()]]
+                told = [[spread(part.column("rid").to_numpy().view(U64), buckets)], [0], [0], [b""], [b""], [b""], [part.column("doc_id").to_pylist()], [[len(s) for s in sets]], [nodes.view(np.int64).tolist()], [part.column("rid").to_pylist()]]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(told, TYPES, strict=True)], NAMES)
                 if count >= FLUSH:
                     yield packed(held, buckets)
@@ -262,6 +264,11 @@ def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
     return ((sig >> U64(32)) * U64(buckets)) >> U64(32)
 
 
+def spread(content: np.ndarray, buckets: int) -> int:
+    """A bucket for a row that any task may have, by all that is in it: rows with something in common do not meet."""
+    return int(words.mix(np.add.reduce(words.mix(content), dtype=U64, keepdims=True))[0] % U64(buckets))
+
+
 def packed(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.RecordBatch:
     sig, node = (np.concatenate(x) for x in zip(*held, strict=True))
     order = np.lexsort((node, sig))
@@ -271,11 +278,14 @@ def packed(held: list[tuple[np.ndarray, np.ndarray]], buckets: int) -> pa.Record
     # Within the task a signature's nodes form a star already; only the least goes further.
     first = np.r_[True, sig[1:] != sig[:-1]]
     least = node[np.flatnonzero(first)][np.cumsum(first) - 1]
-    tied = np.unique(np.stack([node[~first], least[~first]], axis=1), axis=0).view(np.int64)
+    tied = np.unique(np.stack([node[~first], least[~first]], axis=1), axis=0)
     sig, node = sig[first], node[first]
     bucket = bucket_of(sig, buckets)
     cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(sig)]
-    rows = [(int(bucket[0]), 0, 0, b"", b"", b"", None, tied[:, 0].tolist(), tied[:, 1].tolist(), None)]
+    rows = []
+    for a in range(0, len(tied), PAIRS):
+        some = tied[a : a + PAIRS]
+        rows.append((spread(some.ravel(), buckets), 0, 0, b"", b"", b"", None, *some.view(np.int64).T, None))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
         nodes, place = np.unique(node[a:b], return_inverse=True)
         step = np.diff(sig[a:b], prepend=sig[a])
@@ -316,14 +326,12 @@ def stars(rows: DataFrame) -> DataFrame:
             return pairs(both[:, 0], both[:, 1])
 
         for batch in batches:
-            for row in batch.to_pylist():
-                if row["doc_ids"] is not None:
-                    n = len(row["doc_ids"])
-                    yield pa.RecordBatch.from_arrays([pa.array(row[c], pa.int64()) for c in ("doc_ids", "rids", "sizes", "doc_nodes")] + [pa.nulls(n, pa.int64())] * 2, STARS)
-                    continue
-                if row["sizes"] is not None:
-                    yield pairs(*(np.array(row[c], dtype=np.int64) for c in ("sizes", "doc_nodes")))
-                    continue
+            told, listed = pc.is_valid(batch.column("doc_ids")), pc.is_valid(batch.column("sizes"))
+            own = [batch.filter(told).column(c).flatten() for c in ("doc_ids", "rids", "sizes", "doc_nodes")]
+            yield pa.RecordBatch.from_arrays(own + [pa.nulls(len(own[0]), pa.int64())] * 2, STARS)
+            tied = batch.filter(pc.and_not(listed, told))
+            yield pairs(*(tied.column(c).flatten().to_numpy() for c in ("sizes", "doc_nodes")))
+            for row in batch.filter(pc.invert(listed)).select(NAMES[:6]).to_pylist():
                 if row["bucket"] != bucket and held:
                     yield flush()
                     held = []
@@ -463,24 +471,42 @@ def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> Dat
                 nodes = node_ids(sets).view(np.int64)
                 # Hashes of rows may clash.
                 right = np.flatnonzero(nodes == part.column("node").to_numpy())
-                told = [part.column(c).to_numpy()[right].tolist() for c in ("c", "kind", "here", "above", "below")]
-                at = [places(*row, int(node)) for *row, node in zip(*told, nodes[right].view(U64), strict=True)]
-                each = np.repeat(right, [len(x) for x in at])
-                yield pa.RecordBatch.from_arrays([pa.array([b for x in at for b, _ in x], pa.string()), pa.array([s for x in at for _, s in x], pa.int32()), pa.array(nodes[each]), pa.array([sets[i].tobytes() for i in each], pa.binary())], ["block", "side", "node", "grams"])
+                told = zip(*(part.column(c).to_numpy()[right].tolist() for c in ("c", "kind", "here", "above", "below")), strict=True)
+                yield from block_rows((sets[i], int(nodes[i]), row) for i, row in zip(right.tolist(), told, strict=True))
 
     joined = docs.join(F.broadcast(placed) if few(placed, PLACED_ROWS) else placed, "rid").select("text", *placed.columns[1:])
     return joined.mapInArrow(read, "block string, side int, node bigint, grams binary")
 
 
-def places(cluster: int, kind: int, here: int, above: int, below: int, node: int) -> list[tuple[str, int]]:
+def block_rows(placed: Iterator[tuple[np.ndarray, int, tuple]]) -> Iterator[pa.RecordBatch]:
+    """Rows of sets, with their nodes and where their clusters' pieces are, in all their blocks.
+
+    In a large cluster a set is in as many blocks as there are pieces, so bytes bound a batch, not sets.
+    """
+    held: list[tuple[str, int, int, bytes]] = []
+    size = 0
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*held, strict=True), (pa.string(), pa.int32(), pa.int64(), pa.binary()), strict=True)], ["block", "side", "node", "grams"])
+    for grams, node, row in placed:
+        raw = grams.tobytes()
+        for block, side in places(*row, node % (1 << 64)):
+            held.append((block, side, node, raw))
+            size += len(raw)
+            if size >= words.SLICE_BYTES:
+                yield made()
+                held, size = [], 0
+    if held:
+        yield made()
+
+
+def places(cluster: int, kind: int, here: int, above: int, below: int, node: int) -> Iterator[tuple[str, int]]:
     """Blocks of a set, and its side in each: with every piece of its own class and of the neighbouring ones."""
     if not here:  # the whole cluster is one block
-        return [(str(cluster), 0)]
+        yield str(cluster), 0
+        return
     own = node % here
-    within = [(f"{cluster}:{kind}:{min(own, x)}:{kind}:{max(own, x)}", int(own > x)) for x in range(here)]
-    over = [(f"{cluster}:{kind}:{own}:{kind + 1}:{x}", 0) for x in range(above)]
-    under = [(f"{cluster}:{kind - 1}:{x}:{kind}:{own}", 1) for x in range(below)]
-    return within + over + under
+    yield from ((f"{cluster}:{kind}:{min(own, x)}:{kind}:{max(own, x)}", int(own > x)) for x in range(here))
+    yield from ((f"{cluster}:{kind}:{own}:{kind + 1}:{x}", 0) for x in range(above))
+    yield from ((f"{cluster}:{kind - 1}:{x}:{kind}:{own}", 1) for x in range(below))
 
 
 def classes(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5) -> DataFrame:

@@ -155,6 +155,31 @@ def test_near_dedup_groups(spark, monkeypatch, k, num, den, units, grams):
     assert set(rows(found)) == brute.near_classes(plain, k, num, den)
 
 
+def test_near_dedup_spreads_pairs():
+    """Pairs that tasks find go out in rows of bounded length and to all buckets, not to the task of the first one."""
+    draw = np.random.default_rng(3)
+    load = np.zeros(64, dtype=np.int64)
+    for _ in range(20):
+        sig, node = np.repeat(draw.integers(0, 1 << 64, 20_000, dtype=np.uint64), 2), draw.integers(0, 1 << 64, 40_000, dtype=np.uint64)
+        own = [r for r in near_dedup.packed([(sig, node)], 64).to_pylist() if r["sizes"] is not None]
+        found = {(x % (1 << 64), y % (1 << 64)) for r in own for x, y in zip(r["sizes"], r["doc_nodes"], strict=True)}
+        assert found == {(max(x), min(x)) for x in node.reshape(-1, 2).tolist()} and max(len(r["sizes"]) for r in own) <= 1 << 12
+        np.add.at(load, [r["bucket"] for r in own], [len(r["sizes"]) for r in own])
+    assert load.max() < 0.1 * load.sum() and (load > 0).sum() > 32
+
+
+def test_near_dedup_bounds_batches_of_large_clusters():
+    """A set of a cluster of many pieces is in many blocks; a batch holds so many bytes all the same."""
+    sets = [np.arange(i, i + 20_000, dtype=np.uint64) for i in range(3)]
+    batches = list(near_dedup.block_rows((s, -1 - i, (7, 4, 50, 30, 20)) for i, s in enumerate(sets)))
+    found = [r for b in batches for r in b.to_pylist()]
+    assert max(b.nbytes for b in batches) < 2 << 20
+    for i, s in enumerate(sets):
+        own = [r for r in found if r["node"] == -1 - i]
+        assert len({r["block"] for r in own}) == len(own) == 100 and {r["grams"] for r in own} == {s.tobytes()}
+        assert f"7:4:{(2**64 - 1 - i) % 50}:5:0" in {r["block"] for r in own}
+
+
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
 @pytest.mark.parametrize("shared", [0, 60])
 def test_near_dedup_keeps_candidates_of_unrelated_groups_apart(num, den, shared):
