@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formulary.llm.storage import few, fresh_path, without_rows, written
+from formulary.llm.storage import few, fresh_path, lean, without_rows, written
 
 #: Text bytes that a memtable holds before it is flushed.
 MEMTABLE_BYTES = 24 << 20
@@ -104,7 +104,7 @@ def runs(docs: DataFrame, keep: str, digest_bytes: int) -> DataFrame:
         if memtable.rows:
             yield memtable.flush()
 
-    return docs.mapInArrow(flushes, RUNS_DDL)
+    return docs.mapInArrow(lean(flushes), RUNS_DDL)
 
 
 def digested(docs: DataFrame, digest_bytes: int) -> DataFrame:
@@ -115,7 +115,7 @@ def digested(docs: DataFrame, digest_bytes: int) -> DataFrame:
             texts = list(normal(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([digest(x, digest_bytes) for x in texts], pa.binary()), pa.array(texts, pa.binary())], ["rep", "digest", "text"])
 
-    return docs.mapInArrow(lowered, "rep bigint, digest binary, text binary")
+    return docs.mapInArrow(lean(lowered), "rep bigint, digest binary, text binary")
 
 
 def dedup(docs: DataFrame, keep: str = "smallest", digest_bytes: int = 32) -> DataFrame:

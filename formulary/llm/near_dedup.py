@@ -52,7 +52,7 @@ from pyspark.sql import functions as F
 
 from formulary.llm import words
 from formulary.llm.graph import components
-from formulary.llm.storage import few, row_id, without_rows, written
+from formulary.llm.storage import few, lean, released, row_id, without_rows, written
 
 U64 = np.uint64
 #: Sets and n-grams of a piece of a cluster at most (a longer set is a piece of its own).
@@ -175,7 +175,7 @@ def frequent_grams(docs: DataFrame, k: int) -> Frequent:
         if held:
             yield flush()
 
-    found = docs.select("doc_id", "text").mapInArrow(run, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
+    found = docs.select("doc_id", "text").mapInArrow(lean(run), "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n")).where(F.col("n") >= FREQUENT)
     most = found.orderBy(F.desc("n"), "gram").limit(MOST_FREQUENT).toArrow()
     return Frequent.of(most.column("gram").to_numpy().view(U64), most.column("n").to_numpy())
 
@@ -250,10 +250,11 @@ def routed(docs: DataFrame, k: int, like: Similarity, buckets: int, frequent: Fr
                 if count >= FLUSH:
                     yield packed(held, buckets)
                     held, count = [], 0
+                    released()
         if count:
             yield packed(held, buckets)
 
-    return docs.mapInArrow(run, ROUTED)
+    return docs.mapInArrow(lean(run), ROUTED)
 
 
 NAMES = ["bucket", "base", "width", "sigs", "places", "nodes", "doc_ids", "sizes", "doc_nodes", "rids"]
@@ -340,7 +341,7 @@ def stars(rows: DataFrame) -> DataFrame:
         if held:
             yield flush()
 
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "doc_id bigint, rid bigint, n bigint, node bigint, a bigint, b bigint")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "doc_id bigint, rid bigint, n bigint, node bigint, a bigint, b bigint")
 
 
 STARS = ["doc_id", "rid", "n", "node", "a", "b"]
@@ -440,7 +441,7 @@ def block_links(blocks: DataFrame, like: Similarity) -> DataFrame:
             found = solved(held)
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"])
 
-    return blocks.select("block", "side", "node", "grams").repartition("block").sortWithinPartitions("block").mapInArrow(run, "a bigint, b bigint")
+    return blocks.select("block", "side", "node", "grams").repartition("block").sortWithinPartitions("block").mapInArrow(lean(run), "a bigint, b bigint")
 
 
 def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> DataFrame:
@@ -475,7 +476,7 @@ def blocks(docs: DataFrame, members: DataFrame, k: int, like: Similarity) -> Dat
                 yield from block_rows((sets[i], int(nodes[i]), row) for i, row in zip(right.tolist(), told, strict=True))
 
     joined = docs.join(F.broadcast(placed) if few(placed, PLACED_ROWS) else placed, "rid").select("text", *placed.columns[1:])
-    return joined.mapInArrow(read, "block string, side int, node bigint, grams binary")
+    return joined.mapInArrow(lean(read), "block string, side int, node bigint, grams binary")
 
 
 def block_rows(placed: Iterator[tuple[np.ndarray, int, tuple]]) -> Iterator[pa.RecordBatch]:

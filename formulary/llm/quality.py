@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
+from formulary.llm.storage import lean, written
+
 #: Bytes of text that are compressed at once.
 PIECE = 2048
 DICTIONARY_BYTES = 112 << 10
@@ -116,14 +118,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
     parts = []
     for label in (0, 1):  # bounded by the limits
         parts.append(known.where(F.col("label") == label).orderBy(F.xxhash64("doc_id", F.lit(17)), "doc_id").limit(2 * sample_rows))
-    chosen = parts[0].unionByName(parts[1]).withColumn("teach", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) == 0).toPandas()
-    counts = [int((chosen["label"] == k).sum()) for k in (0, 1)]
+    chosen = parts[0].unionByName(parts[1]).withColumn("teach", F.pmod(F.xxhash64("doc_id", F.lit(29)), F.lit(2)) == 0)
+    # Rows made by the driver would go through Python workers of a second kind, which executors hold beside the others.
+    chosen = written(chosen.select(F.col("doc_id").cast("bigint").alias("doc_id"), "label", "teach"), "quality-sample")
+    found = {r["label"]: int(r["n"]) for r in chosen.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    counts = [found.get(k, 0) for k in (0, 1)]
     share = (counts[1] + 1) / (sum(counts) + 2)
     blank = Model(None, None, (0.0, 0.0, float(np.log(share / (1 - share)))))
     if min(counts) < 2:
         return blank
-    sample = F.broadcast(docs.sparkSession.createDataFrame(chosen, "doc_id bigint, label int, teach boolean"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).join(sample, "doc_id")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("text")).join(F.broadcast(chosen), "doc_id")
     count = F.ceil(F.length("text") / PIECE).cast("int")
     pieces = texts.where("teach").where(F.length("text") > 0).select("label", "doc_id", "text", F.explode(F.sequence(F.lit(0), count - 1)).alias("i"))
     pieces = pieces.select("label", "doc_id", "i", F.expr(f"substring(text, i * {PIECE} + 1, {PIECE})").alias("piece"))
@@ -139,7 +143,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, samp
             found = raw.features(utf8(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found[:, 0]), pa.array(found[:, 1])], ["label", "margin", "density"])
 
-    seen = texts.where("not teach").select("label", "text").mapInArrow(measured, "label int, margin double, density double").toPandas()
+    seen = texts.where("not teach").select("label", "text").mapInArrow(lean(measured), "label int, margin double, density double").toPandas()
     if seen["label"].nunique() < 2:
         return blank
     weights = curve(seen[["margin", "density"]].to_numpy(), seen["label"].to_numpy().astype(float))
@@ -167,7 +171,7 @@ def scored(docs: DataFrame, model: Model, output: str = "score") -> DataFrame:
             score = pa.array(held.value.scores(utf8(batch.column(at))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, output])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())]))
+    return docs.mapInArrow(lean(run), T.StructType([*docs.schema.fields, T.StructField(output, T.DoubleType())]))
 
 
 def accepted(docs: DataFrame, model: Model, accept: float = ACCEPT) -> DataFrame:

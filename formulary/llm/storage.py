@@ -6,10 +6,12 @@ Parquet, so that a lost executor costs only the tasks that it was running.
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -51,6 +53,24 @@ def dropped(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+def released() -> None:
+    """Gives memory that was freed back to the system; allocators else keep it for as long as the worker lives."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # of glibc
+        trim(0)
+
+
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The same for mapInArrow, but a worker that waits for its next task holds no memory of the last one."""
+
+    @functools.wraps(run)
+    def lean_run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        released()
+
+    return lean_run
+
+
 def opened_folder(uri: str, columns: list[str], where: tuple[str, object]) -> Iterator[pa.Table]:
     """Rows of the Parquet files of a shared folder that have a value in a column, read on an executor; none where there is no such folder."""
     import pyarrow.compute as pc

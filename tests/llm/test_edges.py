@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, substring_dedup, suffix_tree_lm, token_counts, warc
+from formulary.llm import decontaminate, exact_dedup, line_dedup, mixing, near_dedup, quality, storage, substring_dedup, suffix_tree_lm, token_counts, warc
 
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
 SOME = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega"
@@ -374,3 +374,39 @@ def test_warc_inflates_in_small_steps(monkeypatch):
     records = [warc.record("response", i, "http://a", warc.HTTP + bytes([i]) * i, "D", i) for i in range(20)]
     for stream in (zlib.compress(b"".join(records), wbits=31), b"".join(zlib.compress(r, wbits=31) for r in records)):
         assert [h + b"\r\n\r\n" + b + b"\r\n\r\n" for h, b in warc.Inflated(io.BytesIO(stream)).records()] == records
+
+
+def test_quality_starts_no_second_kind_of_workers(spark, monkeypatch):
+    """Rows from the driver go through Python workers that executors hold beside those of mapInArrow."""
+    df = spark.createDataFrame([(i, f"{SOME if i % 2 else 'junk ' * 20} {i}", "a") for i in range(200)], DOCS)
+    labels = df.select("doc_id", F.pmod("doc_id", F.lit(2)).alias("quality"), F.lit(0).alias("toxic"))
+    df, labels = storage.written(df, "test-docs"), storage.written(labels, "test-labels")
+
+    def refused(*_, **__):
+        raise AssertionError("rows of the driver")
+
+    monkeypatch.setattr(type(spark), "createDataFrame", refused)
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", refused)
+    model = quality.fit(df, labels)
+    assert model.good and model.bad
+    assert quality.accepted(df, model).where("doc_id % 2 = 1").count() == 100
+
+
+def test_a_task_leaves_no_memory_in_its_worker():
+    """Many small arrays below one that stays: freed, but only a trim gives them back."""
+    stays = []
+
+    def run(batches):
+        for batch in batches:
+            held = [np.ones(8000) for _ in range(3000)]
+            stays.append(np.ones(8000))
+            yield batch
+            del held
+
+    def resident():
+        with open("/proc/self/statm") as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    before = resident()
+    assert list(storage.lean(run)(iter([0]))) == [0]
+    assert resident() - before < 60
