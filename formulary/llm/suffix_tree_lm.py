@@ -30,8 +30,9 @@ its followers instead, and what its buckets add up (a few numbers for each of at
 most HOT contexts) meets on the driver. A follower can occur twice behind a context
 only if it does behind the shorter one, and the context only if it occurs twice; and
 what contexts one token longer can save is at most the sum of -n log2 P(w|s) over
-followers with n >= 2. What cannot stay by these bounds is not asked for, which
-loses none.
+followers with n >= 2; and a context that occurs m times can save at most
+m log2(N / m), N being the size of the shorter one. What cannot stay by these
+bounds is not asked for, which loses none.
 
 Tokens and contexts are known by 64-bit hashes. A word that training has gets a
 number from its bucket, the lower the more frequent, by which followers are asked
@@ -175,6 +176,7 @@ class Block:
         self.rows = np.concatenate([p.column("row").to_numpy() for p in parts])
         self.counts = np.concatenate(counts)
         self.begin = np.r_[0, np.cumsum(self.counts)]
+        self.then: np.ndarray | None = None
         self.held = np.concatenate([[END], *tokens])  # a row stands behind the end of the one before it
         self.tokens = self.held[1:]
         self.learn = np.repeat(np.concatenate([p.column("learn").to_numpy(zero_copy_only=False).astype(bool) for p in parts]), self.counts)
@@ -194,6 +196,9 @@ class Block:
         self.at, self.context, self.n = np.arange(len(self.tokens)), np.zeros(len(self.tokens), U64), self.count
         #: Of each place, how often its token follows the context asked for last, if twice at least; -1 where none was.
         self.follows = self.count
+        #: Of what ends behind each token held, as long as the contexts to ask for next, at most how many there are.
+        self.cap = np.r_[self.count[self.begin[1] - 1], self.count]
+        self.room = np.full(len(self.tokens), floor)
 
     def follow(self, level: Answers) -> None:
         """What is told of the contexts asked for: how often tokens follow them, and which of them stay, with ``p`` in these."""
@@ -204,20 +209,24 @@ class Block:
             times[some] = np.where(has, level.n[spot], 0)
         self.follows = np.full(len(self.tokens), -1, dtype=np.int64)
         self.follows[self.at] = times
+        self.cap = np.minimum(self.cap, np.r_[self.cap[:1], self.cap[:-1]]) if self.then is None else self.then
+        self.then = None
+        self.cap[self.at + 1] = times
         on, place = found(level.contexts, self.context)
         place = place[on]
         self.at, self.context, self.n = self.at[on], self.context[on], times[on]
-        self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / (level.size[place] + PRIOR)
+        self.room = level.size[place] + PRIOR
+        self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / self.room
         more = level.open[place] if len(place) else np.empty(0, bool)
-        self.at, self.context, self.n = self.at[more], self.context[more], self.n[more]
+        self.at, self.context, self.n, self.room = self.at[more], self.context[more], self.n[more], self.room[more]
 
-    def walk(self, levels: list[Answers], floor: float) -> None:
+    def walk(self, levels: list[Answers], floor: float, bits: float) -> None:
         self.start(levels[0], floor)
         for depth, level in enumerate(levels[1:], 1):
-            self.step(depth)
+            self.step(depth, bits)
             self.follow(level)
 
-    def resume(self, depth: int, row: np.ndarray, offset: np.ndarray, p: np.ndarray, n: np.ndarray, ids: np.ndarray) -> None:
+    def resume(self, depth: int, row: np.ndarray, offset: np.ndarray, p: np.ndarray, n: np.ndarray, ids: np.ndarray, most: np.ndarray) -> None:
         """As after step(depth), from what state() kept of these rows, whichever task read them then."""
         self.p = np.ones(len(self.tokens))
         here, spot = found(self.rows, row)
@@ -225,24 +234,27 @@ class Block:
         self.p[self.at] = p[here]
         self.ids = np.zeros(len(self.tokens), U64)
         self.ids[self.at] = ids[here]
+        self.then = np.full(len(self.held), np.iinfo(np.int64).max)
+        self.then[self.at] = most[here]
         self.context = np.zeros(len(self.at), U64)
         for back in range(1, depth + 1):
             self.context = extended(self.context, self.held[self.at + 1 - back])
 
     def state(self, block: int) -> pa.RecordBatch:
         row = np.repeat(np.arange(len(self.rows)), self.counts)[self.at]
-        columns = [[block], [len(self.at)], [packed(self.rows[row])], [packed((self.at - self.begin[row]).astype(np.uint32))], [packed(self.p[self.at])], [packed(self.n)], [packed(self.ids[self.at].astype(np.uint32))]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 5), strict=True)], ["block", "n_at", "row", "at", "p", "n", "ids"])
+        most = np.minimum(self.cap[self.at], self.cap[self.at - 1])
+        columns = [[block], [len(self.at)], [packed(self.rows[row])], [packed((self.at - self.begin[row]).astype(np.uint32))], [packed(self.p[self.at])], [packed(self.n)], [packed(self.ids[self.at].astype(np.uint32))], [packed(most)]]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], ["block", "n_at", "row", "at", "p", "n", "ids", "most"])
 
-    def step(self, depth: int) -> None:
-        """On to the contexts with one more token in front, where there is one, and where it can occur twice."""
+    def step(self, depth: int, bits: float) -> None:
+        """On to the contexts with one more token in front, where there is one, and where it can occur often enough to stay."""
         on = self.history[self.at] >= depth
         at = self.at[on]
         # How often the last token follows what stands before it in the context, where that was asked for.
         prior = self.follows[at - 1] if depth > 1 else np.where(at > 0, self.count[at - 1], self.count[self.begin[1] - 1])
-        twice = (prior < 0) | (prior >= 2)
-        self.at, self.n, self.most = at[twice], self.n[on][twice], prior[twice]
-        self.context = extended(self.context[on][twice], self.held[self.at + 1 - depth])
+        may = worth(self.cap[at], self.room[on], bits)
+        self.at, self.n, self.most = at[may], self.n[on][may], prior[may]
+        self.context = extended(self.context[on][may], self.held[self.at + 1 - depth])
 
     def questions(self, block: int, buckets: int, hot: int) -> pa.RecordBatch:
         """The contexts of ``at`` and their followers, by bucket."""
@@ -276,7 +288,7 @@ class Block:
 ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, kinds binary, n_grams bigint, grams binary, n binary, bits binary"
 NAMES = [x.split()[0] for x in ASKED.split(", ")]
 QUESTION = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-PLACES = "n_at bigint, row binary, at binary, p binary, ids binary"
+PLACES = "n_at bigint, row binary, at binary, p binary, ids binary, most binary"
 PART = "array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
 TOLD = f"block bigint, n_contexts bigint, contexts binary, size binary, once binary, kinds binary, n_grams bigint, grams binary, n binary, ids binary, part {PART}"
 TOLD_NAMES = ["block", "n_contexts", "contexts", "size", "once", "kinds", "n_grams", "grams", "n", "ids", "part"]
@@ -326,6 +338,16 @@ def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
         return gain - size / STEPS - np.where(twice > 0, twice * np.log2(np.maximum(size, 1)), 0) + np.where(once > 0, once * np.log2((once + PRIOR) / (size + PRIOR)), 0)
 
 
+def worth(most: np.ndarray, room: np.ndarray, bits: float) -> np.ndarray:
+    """Whether contexts that occur at most so often may stay, ``room`` being what divides the shorter context's probabilities.
+
+    A follower that n of m times is behind the context has p >= n / room behind the shorter one, so
+    gains() is at most m log2(room / m), which grows up to room / e.
+    """
+    m = np.minimum(np.maximum(most, 1), room / np.e)
+    return (most >= 2) & (m * np.log2(room / m) >= bits - 1e-6)
+
+
 def numbered(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """What a bucket does with the tokens: adds up, and numbers them by frequency, beside the other buckets."""
 
@@ -447,8 +469,8 @@ def placed(docs: DataFrame) -> DataFrame:
 
 def aligned(ask: Callable) -> Callable:
     """Questions and places as rows of one schema."""
-    names = [*NAMES, "n_at", "row", "at", "p", "ids"]
-    kinds = dict(zip(NAMES, QUESTION, strict=True)) | {"n_at": pa.int64()} | dict.fromkeys(("row", "at", "p", "ids"), pa.binary())
+    names = [*NAMES, "n_at", "row", "at", "p", "ids", "most"]
+    kinds = dict(zip(NAMES, QUESTION, strict=True)) | {"n_at": pa.int64()} | dict.fromkeys(("row", "at", "p", "ids", "most"), pa.binary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in ask(batches):
@@ -475,16 +497,16 @@ def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None)
                     yield Block(parts).counted(block, count)
                     continue
                 if before:
-                    rows = [r for r in shelved(before, block, ["n_at", "row", "at", "p", "n", "ids"]) if r["n_at"]]
+                    rows = [r for r in shelved(before, block, ["n_at", "row", "at", "p", "n", "ids", "most"]) if r["n_at"]]
                     if not rows:
                         continue
                     own = Block(parts)
-                    own.resume(len(known) - 1, *(np.concatenate([unpacked(r[c], r["n_at"], t) for r in rows]) for c, t in (("row", np.int64), ("at", np.uint32), ("p", np.float64), ("n", np.int64), ("ids", np.uint32))))
+                    own.resume(len(known) - 1, *(np.concatenate([unpacked(r[c], r["n_at"], t) for r in rows]) for c, t in (("row", np.int64), ("at", np.uint32), ("p", np.float64), ("n", np.int64), ("ids", np.uint32), ("most", np.int64))))
                     own.follow(known[-1].of(block))
                 else:
                     own = Block(parts)
-                    own.walk([level.of(block) for level in known], floor)
-                own.step(len(known))
+                    own.walk([level.of(block) for level in known], floor, bits)
+                own.step(len(known), bits)
                 if len(own.at):
                     yield own.questions(block, count, hot_size)
                     if keep:
@@ -536,7 +558,7 @@ def scored(docs: DataFrame, bits: float = BITS) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, parts in blocks_of(batches):
             own = Block(parts)
-            own.walk([level.of(block) for level in levels], floor)
+            own.walk([level.of(block) for level in levels], floor, bits)
             total = lambda x: np.add.reduceat(x, own.begin[:-1])
             ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
             yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts, pa.int64()), pa.array(total((own.count > 0).astype(np.int64))), pa.array(total(np.log10(own.base))), pa.array(total(np.log10(own.p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])

@@ -351,6 +351,21 @@ def test_suffix_tree_asks_for_the_same_evidence_of_a_larger_corpus():
         assert (suffix_tree_lm.gains(size, twice, gain) >= suffix_tree_lm.BITS).tolist() == [True, True, True, False]
 
 
+def test_suffix_tree_asks_only_for_contexts_that_may_stay():
+    """What occurs too rarely beside its shorter context is not asked for; whatever passes the test is."""
+    most, room = np.array([1, 2, 2, 3, 3, 100]), np.array([1e9, 120, 140, 40, 60, 101.0])
+    assert suffix_tree_lm.worth(most, room, 12.0).tolist() == [False, False, True, False, True, True]  # of 100 in 101, there may be fewer
+    draw = random.Random(3)
+    for _ in range(3000):
+        n = np.array([draw.randrange(2, 6) for _ in range(draw.randrange(1, 4))])
+        size = int(n.sum()) + draw.randrange(2)
+        behind = n + [draw.choice((0, 1, 9)) for _ in n]  # in the shorter context
+        room = max(int(behind.sum()), size) + draw.choice((0, 5, 50, 500)) + 0.5
+        steps = np.rint(-suffix_tree_lm.STEPS * np.log2(behind / room)) / suffix_tree_lm.STEPS
+        gain = suffix_tree_lm.gains(np.array([size]), np.array([n.sum()]), np.array([(n * (np.log2(n) + steps)).sum()]))[0]
+        assert suffix_tree_lm.worth(np.array([size]), np.array([room]), max(gain, 0.1))[0] or gain <= 0
+
+
 PAGES = [(1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://c", ""), (5, "u\r\nX: y", "é\x00\r\n\r\nWARC/1.1"), (6, "http://d", "<p>" + LONG), (7, "http://e", "<p>same</p>"), (7, "http://e", "<p>same</p>"), (None, "http://f", "<p>same</p>"), (None, "http://g", "alone")]
 
 
