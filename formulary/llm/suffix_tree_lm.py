@@ -47,13 +47,14 @@ result; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formulary.llm import words
@@ -75,6 +76,10 @@ SHELVES = 2048
 ANEW = 2
 #: Tokens of text for each bucket.
 BUCKET_TOKENS = 1 << 20
+#: Bytes of text for each bucket of words.
+WORD_BYTES = 64 << 20
+#: Blocks that are handed to Python at once.
+BLOCK_ROWS = "8"
 #: A context is dealt out by followers if it has more than one token in so many.
 HOT = 1000
 #: A context of fewer tokens is never dealt out.
@@ -92,31 +97,70 @@ def found(keys: np.ndarray, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Different values in order, and of each one its place among them; faster than by sorting all."""
-    held = pa.array(x).dictionary_encode()
-    values = held.dictionary.to_numpy()
-    order = np.argsort(values)
-    rank = np.empty(len(values), dtype=np.int64)
-    rank[order] = np.arange(len(values))
-    return values[order], rank[held.indices.to_numpy()]
+    """Different values in order, and of each one its place among them."""
+    order = np.argsort(x)
+    held = x[order]
+    first = np.ones(len(x), dtype=bool)
+    first[1:] = held[1:] != held[:-1]
+    place = np.empty(len(x), dtype=np.int64)
+    place[order] = np.cumsum(first) - 1
+    return held[first], place
 
 
 def packed(x: np.ndarray) -> bytes:
-    """Bytes of numbers by place, compressed."""
-    return pa.compress(np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T), codec="zstd", asbytes=True) if len(x) else b""
+    """Bytes of numbers by place, compressed; whole numbers of 0 or more in as many bytes as the largest takes."""
+    if not len(x):
+        return b""
+    if x.dtype.kind != "f":
+        x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, U64) if int(x.max()) <= np.iinfo(t).max))
+    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
+    return bytes([x.itemsize]) + len(x).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
 
 
-def unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
-    width = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(pa.decompress(data, n * width, codec="zstd"), dtype=np.uint8).reshape(width, n).T).view(kind).reshape(n) if n else np.empty(0, kind)
+def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
+    if not data:
+        return np.empty(0, kind)
+    width, n = data[0], int.from_bytes(data[1:5], "little")
+    planes = np.frombuffer(pa.decompress(memoryview(data)[5:], n * width, codec="zstd"), dtype=np.uint8).reshape(width, n)
+    x = np.ascontiguousarray(planes.T).reshape(-1)
+    return x.view(kind) if np.dtype(kind).kind == "f" else x.view(f"u{width}").astype(kind)
 
 
-def stepped(key: np.ndarray) -> bytes:
-    return packed(np.diff(np.r_[U64(0), key]))
+def stepped(x: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """Steps between numbers that rise within runs; a run starts anew."""
+    steps = x.copy()
+    steps[1:] = np.where(start[1:], x[1:], x[1:] - x[:-1])
+    return steps
 
 
-def unstepped(data: bytes, n: int) -> np.ndarray:
-    return np.cumsum(unpacked(data, n, U64), dtype=U64)
+def unstepped(steps: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers again, from the sizes of the runs."""
+    sizes = sizes[sizes > 0]
+    upto = np.cumsum(steps, dtype=U64)
+    first = np.cumsum(sizes) - sizes
+    return upto - np.repeat(upto[first] - steps[first], sizes)
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    """Small numbers below 0 as small ones above."""
+    return (x << 1) ^ (x >> 63)
+
+
+def unfolded(x: np.ndarray) -> np.ndarray:
+    return (x >> 1) ^ -(x & 1)
+
+
+def starts(sizes: np.ndarray) -> np.ndarray:
+    """Whether each item is the first of its run."""
+    first = np.zeros(int(sizes.sum()), dtype=bool)
+    sizes = sizes[sizes > 0]
+    first[np.cumsum(sizes) - sizes] = True
+    return first
+
+
+def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All places of ranges, one range after the other."""
+    return np.arange(int(sizes.sum())) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
 
 
 def extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
@@ -124,211 +168,240 @@ def extended(context: np.ndarray, token: np.ndarray) -> np.ndarray:
     return words.mix(context * U64(0xA24BAED4963EE407) + token)
 
 
-def gram(context: np.ndarray, token: np.ndarray) -> np.ndarray:
-    return words.mix((context ^ U64(0x6A09E667F3BCC909)) * U64(0x9E3779B97F4A7C15) + words.mix(token))
-
+def read(block: int, buckets: int, parts: list[pa.RecordBatch]) -> tuple[dict, list[dict]]:
+    """Rows of a block as one of PIECES, and what it asks buckets about its tokens.
 
-@dataclass(frozen=True)
-class Answers:
-    """Of one length: contexts that stay, and followers with n >= 2 (any, of the empty context, with their numbers)."""
-
-    contexts: np.ndarray
-    size: np.ndarray
-    once: np.ndarray
-    grams: np.ndarray
-    n: np.ndarray
-    ids: np.ndarray
-    #: Whether longer contexts may stay.
-    open: np.ndarray
-
-    @classmethod
-    def joined(cls, rows: list[dict], hot: tuple[np.ndarray, np.ndarray, np.ndarray]) -> Answers:
-        k, m = [r["n_contexts"] for r in rows], [r["n_grams"] for r in rows]
-        each = lambda name, sizes, kind: np.concatenate([np.empty(0, kind), *(unpacked(r[name], x, kind) for r, x in zip(rows, sizes, strict=True))])
-        contexts = np.concatenate([np.empty(0, U64), *(unstepped(r["contexts"], x) for r, x in zip(rows, k, strict=True))])
-        size, once, ids = each("size", k, np.int64), each("once", k, np.int64), each("ids", m, np.uint32)
-        if sum(k):
-            grams = gram(np.repeat(contexts, each("kinds", k, np.uint32)), ids.astype(U64))
-        else:
-            grams = np.concatenate([np.empty(0, U64), *(unstepped(r["grams"], x) for r, x in zip(rows, m, strict=True))])
-        # What a block asked for twice has got the same answer twice.
-        stays = size > 0  # twice the size, and one more if longer contexts may stay
-        contexts, size, once, more = (np.concatenate(x) for x in zip((*hot, np.ones(len(hot[0]), np.int64)), (contexts[stays], size[stays] >> 1, once[stays], size[stays] & 1), strict=True))
-        return cls(contexts, size, once, grams, each("n", m, np.int64), ids, more > 0)
+    Tokens are told by the bucket of their hash and their rank in it by frequency in the block.
+    """
+    tokens, counts = [], []
+    for part in parts:
+        data, rows = words.flat(part.column("text"))
+        data = words.LOWER[data]
+        begin, end, at = words.spans(data, rows)
+        h = words.hashes(data, begin, end)
+        h[h == END] = U64(2)
+        n = np.diff(at)
+        out = np.full(len(h) + len(n), END)
+        out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
+        tokens.append(out)
+        counts.append(n + 1)
+    joined = lambda name: np.concatenate([p.column(name).to_numpy(zero_copy_only=False) for p in parts])
+    count, learn = np.concatenate(counts), joined("learn").astype(bool)
+    key, place = coded(np.concatenate(tokens))
+    n = np.bincount(place, weights=np.repeat(learn, count), minlength=len(key)).astype(np.int64)
+    bucket = (words.mix(key) % U64(buckets)).astype(np.int64)
+    order = np.argsort((bucket << 32) - np.bincount(place))
+    size = np.bincount(bucket, minlength=buckets)
+    code = np.empty(len(key), dtype=np.int64)
+    code[order] = ranges(np.zeros(buckets, np.int64), size) * buckets + bucket[order]
+    ids = pa.chunked_array([p.column("doc_id") for p in parts])
+    # The same rows, read again, may be dealt to tasks in other pieces.
+    name = int(words.mix(np.array([block], np.int64).view(U64) + U64(int(parts[0].column("row")[0].as_py())))[0].view(np.int64))
+    piece = {"block": name, "rows": len(count), "doc_id": pc.fill_null(ids, 0).to_numpy().astype(np.int64).tobytes(), "no_id": packed(ids.is_null().to_numpy().astype(np.uint8)), "counts": packed(count), "learn": packed(learn.astype(np.uint8)), "tokens": packed(code[place])}
+    upto = np.r_[0, np.cumsum(size)]
+    asked = [{"bucket": b, "block": name, "hot": False, "above": packed(key[order[x:y]]), "n": packed(n[order[x:y]])} for b, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)) if y > x]
+    return piece, asked
 
 
 class Block:
-    """Tokens of rows, and how far the tree's contexts reach at each of them."""
-
-    def __init__(self, parts: list[pa.RecordBatch]):
-        tokens, counts = [], []
-        for part in parts:
-            data, rows = words.flat(part.column("text"))
-            data = words.LOWER[data]
-            starts, ends, at = words.spans(data, rows)
-            h = words.hashes(data, starts, ends)
-            h[h == END] = U64(2)
-            n = np.diff(at)
-            out = np.full(len(h) + len(n), END)
-            out[np.arange(len(h)) + np.repeat(np.arange(len(n)), n)] = h
-            tokens.append(out)
-            counts.append(n + 1)
-        self.rows = np.concatenate([p.column("row").to_numpy() for p in parts])
-        self.counts = np.concatenate(counts)
+    """Tokens of rows by their kinds, in order of their numbers, and how far the tree's contexts reach at each of them."""
+
+    def __init__(self, piece: dict, answers: list[dict], buckets: int):
+        self.name = piece["block"]
+        self.counts = unpacked(piece["counts"])
         self.begin = np.r_[0, np.cumsum(self.counts)]
-        self.then: np.ndarray | None = None
-        self.held = np.concatenate([[END], *tokens])  # a row stands behind the end of the one before it
-        self.tokens = self.held[1:]
-        self.learn = np.repeat(np.concatenate([p.column("learn").to_numpy(zero_copy_only=False).astype(bool) for p in parts]), self.counts)
+        tokens = unpacked(piece["tokens"])
+        n, ids = np.zeros(int(tokens.max()) + 1, np.int64), np.zeros(int(tokens.max()) + 1, np.int64)
+        for r in answers:
+            told = unpacked(r["n"])
+            at = np.arange(len(told)) * buckets + r["bucket"]
+            n[at], ids[at] = told, unpacked(r["ids"])
+        order = np.argsort(ids)
+        kind = np.empty(len(ids), dtype=np.int64)
+        kind[order] = np.arange(len(ids))
+        self.ids, self.times = ids[order].astype(U64), n[order]
+        self.tokens = kind[tokens]
+        self.held = np.r_[self.tokens[self.begin[1] - 1], self.tokens]  # a row stands behind the end of the one before it
+        self.count = self.times[self.tokens]
+        self.learn = np.repeat(unpacked(piece["learn"]).astype(bool), self.counts)
+        self.row = np.repeat(np.arange(len(self.counts)), self.counts)
 
     @property
     def history(self) -> np.ndarray:
         """Tokens that stand before each one, with the end before its text."""
-        return np.arange(1, len(self.tokens) + 1) - np.repeat(self.begin[:-1], self.counts)
+        return np.arange(1, len(self.tokens) + 1) - self.begin[self.row]
 
-    def start(self, level: Answers, floor: float) -> None:
+    def start(self, floor: float) -> None:
         """Counts and probabilities of the empty context; ``at`` are the places that the tree goes on from."""
-        has, spot = found(level.grams, self.tokens)
-        self.count = np.where(has, level.n[spot] if len(level.n) else 0, 0)
-        self.ids = np.where(has, level.ids[spot] if len(level.n) else 0, 0).astype(U64)  # without a number, what a word follows is never looked up
+        self.bits = np.clip(np.rint(-STEPS * np.log2((self.times + 0.5) / floor)), 0, 65535).astype(np.int64)
         self.base = (self.count + 0.5) / floor
         self.p = self.base.copy()
-        self.at, self.context, self.n = np.arange(len(self.tokens)), np.zeros(len(self.tokens), U64), self.count
+        self.at, self.n, self.room = np.arange(len(self.tokens)), self.count, np.full(len(self.tokens), floor)
+        #: Of each place, the context it stands behind, among ``codes``.
+        self.inner, self.codes = np.zeros(len(self.tokens), np.int64), np.zeros(1, U64)
         #: Of each place, how often its token follows the context asked for last, if twice at least; -1 where none was.
         self.follows = self.count
         #: Of what ends behind each token held, as long as the contexts to ask for next, at most how many there are.
-        self.cap = np.r_[self.count[self.begin[1] - 1], self.count]
-        self.room = np.full(len(self.tokens), floor)
+        self.cap = self.times[self.held]
+        self.then: np.ndarray | None = None
 
-    def follow(self, level: Answers) -> None:
+    def step(self, depth: int, bits: float, hot: int) -> None:
+        """On to the contexts with one more token in front, where there is one, and where it can occur often enough to stay."""
+        on = self.history[self.at] >= depth
+        at = self.at[on]
+        # How often the last token follows what stands before it in the context, where that was asked for.
+        prior = self.follows[at - 1] if depth > 1 else self.cap[at]
+        may = worth(self.cap[at], self.room[on], bits)
+        self.at, self.n, self.inner = at[may], self.n[on][may], self.inner[on][may]
+        self.ask(depth, prior[may] > hot)
+
+    def ask(self, depth: int, much: np.ndarray) -> None:
+        """The different contexts of ``at``, by the shorter context and the token in front, and what follows them."""
+        self.above, self.much = self.codes, much
+        self.parent = self.inner
+        key, self.inner = coded((self.inner << 32) | self.held[self.at + 1 - depth])
+        self.owner, self.front = key >> 32, key & 0xFFFFFFFF
+        front = self.ids[self.front]
+        self.codes = front if depth == 1 else extended(self.above[self.owner], front)
+        self.dealt = np.zeros(len(key), dtype=bool)
+        self.dealt[self.inner[much]] = True
+        self.some = np.flatnonzero(self.n >= 2)
+        self.pair, self.back = coded((self.inner[self.some] << 32) | self.tokens[self.at[self.some]])
+
+    def lay(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """How contexts and followers are dealt to buckets: the bucket, context and number of followers of each item, and the followers in order.
+
+        A context goes to a bucket with all of its followers. One that is dealt out goes with
+        each of its followers to the follower's bucket, and with its size to its own.
+        """
+        home = 2 * (words.mix(self.codes ^ U64(0x51)) % U64(buckets)).astype(np.int64)
+        of, dealt = self.pair >> 32, np.flatnonzero(self.dealt)
+        n = np.bincount(of, minlength=len(home))
+        upto = np.cumsum(n)
+        apart = np.flatnonzero(self.dealt[of])
+        to = 2 * (words.mix(self.ids[self.pair[apart] & 0xFFFFFFFF]) % U64(buckets)).astype(np.int64) + 1
+        each = (to << 32) | of[apart]
+        order = np.argsort(each, kind="stable")
+        apart, each = apart[order], each[order]
+        items = np.union1d(each, ((home[dealt] + 1) << 32) | dealt)
+        begin = np.searchsorted(each, items)
+        own = np.flatnonzero(~self.dealt)
+        group, context = np.r_[home[own], items >> 32], np.r_[own, items & 0xFFFFFFFF]
+        first, size = np.r_[(upto - n)[own], len(of) + begin], np.r_[n[own], np.searchsorted(each, items, side="right") - begin]
+        order = np.argsort((group << 32) | context)
+        group, context, first, size = group[order], context[order], first[order], size[order]
+        return group, context, size, np.r_[np.arange(len(of)), apart][ranges(first, size)]
+
+    def questions(self, buckets: int, depth: int) -> list[dict]:
+        """A row for each bucket, and one more for contexts that are dealt out by followers."""
+        group, context, kinds, order = self.lay(buckets)
+        learn = self.learn[self.at]
+        size = np.bincount(self.inner, weights=learn, minlength=len(self.codes)).astype(np.int64)[context]
+        home = 2 * (words.mix(self.codes ^ U64(0x51)) % U64(buckets)).astype(np.int64) + self.dealt
+        size[group != home[context]] = 0
+        n = np.bincount(self.back, weights=learn[self.some], minlength=len(self.pair)).astype(np.int64)[order]
+        follower = (self.pair & 0xFFFFFFFF)[order]
+        if depth > 1:
+            p = np.empty(len(self.pair))
+            p[self.back] = self.p[self.at[self.some]]
+            bits = np.clip(np.rint(-STEPS * np.log2(p)), 0, 65535).astype(np.int64)[order]
+        anew = np.ones(len(group), dtype=bool)
+        anew[1:] = group[1:] != group[:-1]
+        fork = anew.copy()
+        fork[1:] |= self.owner[context[1:]] != self.owner[context[:-1]]
+        fronts, grams = stepped(self.ids[self.front[context]], fork), stepped(self.ids[follower], starts(kinds))
+        forks = np.flatnonzero(fork)
+        width = np.diff(np.r_[forks, len(group)])
+        a = np.r_[np.flatnonzero(anew), len(group)]
+        f, g = np.searchsorted(forks, a), np.r_[0, np.cumsum(kinds)][a]
+        above = self.above[self.owner[context[forks]]]
+        rows = []
+        for i in range(len(a) - 1):
+            items, up, down = slice(a[i], a[i + 1]), slice(f[i], f[i + 1]), slice(g[i], g[i + 1])
+            key = int(group[a[i]])
+            # Behind the empty context, followers have the same probability wherever they stand.
+            told = bits[down] if depth > 1 else folded(np.diff(self.bits[np.flatnonzero(np.bincount(follower[down]))], prepend=0))
+            rows.append({"bucket": key >> 1, "block": self.name, "hot": bool(key & 1), "above": packed(above[up]), "forks": packed(width[up]), "fronts": packed(fronts[items]), "size": packed(size[items]), "kinds": packed(kinds[items]), "grams": packed(grams[down]), "n": packed(n[down]), "bits": packed(told)})
+        return rows
+
+    def follow(self, level: Level) -> None:
         """What is told of the contexts asked for: how often tokens follow them, and which of them stay, with ``p`` in these."""
-        some = np.flatnonzero(self.n >= 2)
-        has, spot = found(level.grams, gram(self.context[some], self.ids[self.at[some]]))
+        group, context, kinds, order = self.lay(level.buckets)
+        rows = sorted(level.rows(self.name), key=lambda r: (r["bucket"], r["hot"]))
+        join = lambda name: np.concatenate([np.empty(0, np.int64), *(unpacked(r[name]) for r in rows)])
+        told, n = join("size"), join("n")
+        if len(told) != len(context) or len(n) != len(order):
+            raise RuntimeError("answers are not to the questions of this block")
+        size, once, pair = np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes), np.int64), np.zeros(len(self.pair), np.int64)
+        stays = told > 0  # twice the size, and one more if longer contexts may stay
+        size[context[stays]], once[context[stays]], pair[order] = told[stays], join("once"), n
+        if len(level.hot[0]) and self.dealt.any():
+            dealt = np.flatnonzero(self.dealt)
+            has, spot = found(level.hot[0], self.codes[dealt])
+            size[dealt[has]], once[dealt[has]] = 2 * level.hot[1][spot[has]] + 1, level.hot[2][spot[has]]
         times = np.zeros(len(self.at), dtype=np.int64)
-        if len(some) and len(level.grams):
-            times[some] = np.where(has, level.n[spot], 0)
+        times[self.some] = pair[self.back]
         self.follows = np.full(len(self.tokens), -1, dtype=np.int64)
         self.follows[self.at] = times
         self.cap = np.minimum(self.cap, np.r_[self.cap[:1], self.cap[:-1]]) if self.then is None else self.then
         self.then = None
         self.cap[self.at + 1] = times
-        on, place = found(level.contexts, self.context)
-        place = place[on]
-        self.at, self.context, self.n = self.at[on], self.context[on], times[on]
-        self.room = level.size[place] + PRIOR
-        self.p[self.at] = (self.n + (level.once[place] + PRIOR) * self.p[self.at]) / self.room
-        more = level.open[place] if len(place) else np.empty(0, bool)
-        self.at, self.context, self.n, self.room = self.at[more], self.context[more], self.n[more], self.room[more]
-
-    def walk(self, levels: list[Answers], floor: float, bits: float) -> None:
-        self.start(levels[0], floor)
-        for depth, level in enumerate(levels[1:], 1):
-            self.step(depth, bits)
+        on = size[self.inner] > 0
+        self.at, self.inner, self.n = self.at[on], self.inner[on], times[on]
+        self.room = (size >> 1)[self.inner] + PRIOR
+        self.p[self.at] = (self.n + (once[self.inner] + PRIOR) * self.p[self.at]) / self.room
+        more = (size & 1)[self.inner] > 0
+        self.at, self.inner, self.n, self.room = self.at[more], self.inner[more], self.n[more], self.room[more]
+
+    def walk(self, levels: list[Level], bits: float) -> None:
+        for depth, level in enumerate(levels, 1):
+            self.step(depth, bits, level.much)
             self.follow(level)
 
-    def resume(self, depth: int, row: np.ndarray, offset: np.ndarray, p: np.ndarray, n: np.ndarray, ids: np.ndarray, most: np.ndarray) -> None:
-        """As after step(depth), from what state() kept of these rows, whichever task read them then."""
-        self.p = np.ones(len(self.tokens))
-        here, spot = found(self.rows, row)
-        self.at, self.n = self.begin[spot[here]] + offset[here], n[here]
-        self.p[self.at] = p[here]
-        self.ids = np.zeros(len(self.tokens), U64)
-        self.ids[self.at] = ids[here]
-        self.then = np.full(len(self.held), np.iinfo(np.int64).max)
-        self.then[self.at] = most[here]
-        self.context = np.zeros(len(self.at), U64)
-        for back in range(1, depth + 1):
-            self.context = extended(self.context, self.held[self.at + 1 - back])
+    def sums(self, left: np.ndarray) -> np.ndarray:
+        """Of each row, log10 of what its tokens' probabilities at some places come to."""
+        return np.bincount(self.row[left], weights=np.log10(self.p[left]), minlength=len(self.counts)).astype(np.float64)  # whole numbers where there are none
 
-    def state(self, block: int) -> pa.RecordBatch:
-        row = np.repeat(np.arange(len(self.rows)), self.counts)[self.at]
+    def state(self, left: np.ndarray) -> dict:
+        """What resume() needs, and the sums of the places ``left``, which the tree does not go on from."""
         most = np.minimum(self.cap[self.at], self.cap[self.at - 1])
-        columns = [[block], [len(self.at)], [packed(self.rows[row])], [packed((self.at - self.begin[row]).astype(np.uint32))], [packed(self.p[self.at])], [packed(self.n)], [packed(self.ids[self.at].astype(np.uint32))], [packed(most)]]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.binary()] * 6), strict=True)], ["block", "n_at", "row", "at", "p", "n", "ids", "most"])
-
-    def step(self, depth: int, bits: float) -> None:
-        """On to the contexts with one more token in front, where there is one, and where it can occur often enough to stay."""
-        on = self.history[self.at] >= depth
-        at = self.at[on]
-        # How often the last token follows what stands before it in the context, where that was asked for.
-        prior = self.follows[at - 1] if depth > 1 else np.where(at > 0, self.count[at - 1], self.count[self.begin[1] - 1])
-        may = worth(self.cap[at], self.room[on], bits)
-        self.at, self.n, self.most = at[may], self.n[on][may], prior[may]
-        self.context = extended(self.context[on][may], self.held[self.at + 1 - depth])
-
-    def questions(self, block: int, buckets: int, hot: int) -> pa.RecordBatch:
-        """The contexts of ``at`` and their followers, by bucket."""
-        learn = self.learn[self.at].astype(np.int64)
-        context, inverse = coded(self.context)
-        size = np.bincount(inverse, weights=learn, minlength=len(context)).astype(np.int64)
-        dealt = np.zeros(len(context), dtype=bool)
-        dealt[inverse] = self.most > hot
-        some = np.flatnonzero(self.n >= 2)
-        pair, back = coded((inverse[some].astype(U64) << U64(32)) | self.ids[self.at[some]])
-        n = np.bincount(back, weights=learn[some], minlength=len(pair)).astype(np.int64)
-        p = np.empty(len(pair))
-        p[back] = self.p[self.at[some]]
-        bits = np.clip(np.rint(-STEPS * np.log2(p)), 0, 65535).astype(np.uint16)
-        return packed_questions(block, buckets, context, size, dealt, (pair >> U64(32)).astype(np.int64), (pair & U64(0xFFFFFFFF)).astype(np.uint32), n, bits)
-
-    def counted(self, block: int, buckets: int) -> pa.RecordBatch:
-        """The tokens and how often training texts have them, by bucket."""
-        key, inverse = coded(self.tokens)
-        n = np.bincount(inverse, weights=self.learn, minlength=len(key)).astype(np.int64)
-        group = (words.mix(key) % U64(buckets)).astype(np.int64)
-        order = np.argsort(group, kind="stable")
-        key, n, group = key[order], n[order], group[order]
-        rows = []
-        for bucket in np.unique(group).tolist():
-            a, b = np.searchsorted(group, [bucket, bucket + 1])
-            rows.append((bucket, block, False, 0, b"", b"", b"", b - a, stepped(key[a:b]), packed(n[a:b]), b""))
-        return question_rows(rows)
+        used, parent = coded(self.parent)
+        kept = {"at": packed(stepped(self.at, np.arange(len(self.at)) == 0)), "p": packed(self.p[self.at]), "n": packed(self.n), "parent": packed(parent), "above": packed(self.above[used]), "most": packed(most), "much": packed(self.much.astype(np.uint8))}
+        return {"block": self.name, "n_at": len(self.at), "sums": packed(self.sums(left)), "rest": packed(self.sums(self.at)), **kept}
+
+    def resume(self, depth: int, kept: dict) -> None:
+        """As after step(depth)."""
+        self.at = np.cumsum(unpacked(kept["at"]))
+        self.n, much = unpacked(kept["n"]), unpacked(kept["much"]).astype(bool)
+        self.p = np.ones(len(self.tokens))
+        self.p[self.at] = unpacked(kept["p"], np.float64)
+        self.then = np.full(len(self.held), np.iinfo(np.int64).max)
+        self.then[self.at] = unpacked(kept["most"])
+        self.inner, self.codes = unpacked(kept["parent"]), unpacked(kept["above"], U64)
+        self.ask(depth, much)
 
 
-ASKED = "bucket bigint, block bigint, hot boolean, n_contexts bigint, contexts binary, size binary, kinds binary, n_grams bigint, grams binary, n binary, bits binary"
+ASKED = "bucket bigint, block bigint, hot boolean, above binary, forks binary, fronts binary, size binary, kinds binary, grams binary, n binary, bits binary"
 NAMES = [x.split()[0] for x in ASKED.split(", ")]
-QUESTION = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-PLACES = "n_at bigint, row binary, at binary, p binary, ids binary, most binary"
+PIECES = "block bigint, rows bigint, doc_id binary, no_id binary, counts binary, learn binary, tokens binary"
+PLACES = "block bigint, n_at bigint, sums binary, rest binary, at binary, p binary, n binary, parent binary, above binary, most binary, much binary, known binary, base binary"
 PART = "array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
-TOLD = f"block bigint, n_contexts bigint, contexts binary, size binary, once binary, kinds binary, n_grams bigint, grams binary, n binary, ids binary, part {PART}"
-TOLD_NAMES = ["block", "n_contexts", "contexts", "size", "once", "kinds", "n_grams", "grams", "n", "ids", "part"]
+TOLD = f"block bigint, bucket bigint, hot boolean, size binary, once binary, n binary, ids binary, part {PART}"
 PARTS = pa.list_(pa.struct([("context", pa.int64()), ("size", pa.int64()), ("twice", pa.int64()), ("gain", pa.float64()), ("kinds", pa.int64()), ("stays", pa.int64())]))
-ANSWER = (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), PARTS)
+KINDS = {"bigint": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
-def question_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(QUESTION), QUESTION, strict=True)], NAMES)
+def merged(*schemas: str) -> str:
+    """Columns of several schemas, each once."""
+    return ", ".join(dict.fromkeys(x for schema in schemas for x in schema.split(", ")))
 
 
-def answer_rows(rows: list[tuple]) -> pa.Table:
-    return pa.table([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), ANSWER, strict=True)], names=TOLD_NAMES)
+def fields(schema: str) -> pa.Schema:
+    return pa.schema([(name, KINDS.get(kind, PARTS)) for name, kind in (x.split(" ", 1) for x in schema.replace(f", part {PART}", ", part array").split(", "))])
 
 
-def packed_questions(block: int, buckets: int, context: np.ndarray, size: np.ndarray, dealt: np.ndarray, owner: np.ndarray, ids: np.ndarray, n: np.ndarray, bits: np.ndarray) -> pa.RecordBatch:
-    """A row for each bucket, and one more for contexts that are dealt out by followers.
-
-    Followers stand in order of their contexts and numbers, and go to their context's
-    bucket, or to one of their own; a context that is dealt out goes with each of its
-    followers, and gives its size in one place.
-    """
-    home = (words.mix(context ^ U64(0x51)) % U64(buckets)).astype(np.int64)
-    to = np.where(dealt[owner], (words.mix(ids.astype(U64)) % U64(buckets)).astype(np.int64), home[owner])
-    group = 2 * to + dealt[owner]
-    order = np.argsort(group, kind="stable")  # followers stay in order within a group
-    owner, ids, n, bits, group = owner[order], ids[order], n[order], bits[order], group[order]
-    own = 2 * home + dealt
-    by_own = np.argsort(own, kind="stable")
-    keys = np.union1d(own, group)
-    ends, here_ends = np.searchsorted(group, [keys, keys + 1]), np.searchsorted(own[by_own], [keys, keys + 1])
-    rows: list[tuple] = []
-    for i, key in enumerate(keys.tolist()):
-        a, b = ends[:, i]
-        here = by_own[here_ends[0, i] : here_ends[1, i]]
-        asked = np.union1d(here, owner[a:b]) if key & 1 else here  # in order of their hashes
-        told = np.where(own[asked] == key, size[asked], 0)
-        kinds = np.bincount(np.searchsorted(asked, owner[a:b]), minlength=len(asked)).astype(np.uint32)
-        rows.append((key >> 1, block, bool(key & 1), len(asked), stepped(context[asked]), packed(told), packed(kinds), b - a, packed(ids[a:b]), packed(n[a:b]), packed(bits[a:b])))
-    return question_rows(rows)
+def batch_of(rows: list[dict], schema: str) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=fields(schema))
 
 
 def gains(size: np.ndarray, twice: np.ndarray, gain: np.ndarray) -> np.ndarray:
@@ -352,40 +425,48 @@ def numbered(buckets: int) -> Callable[[pa.Table], pa.Table]:
     """What a bucket does with the tokens: adds up, and numbers them by frequency, beside the other buckets."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        rows = bucket.to_pylist()
-        asked = np.concatenate([unstepped(r["grams"], r["n_grams"]) for r in rows])
-        key, place = coded(asked)
-        n = np.bincount(place, weights=np.concatenate([unpacked(r["n"], r["n_grams"], np.int64) for r in rows]), minlength=len(key)).astype(np.int64)
+        rows = bucket.select(["block", "bucket", "above", "n"]).to_pylist()
+        asked = [unpacked(r["above"], U64) for r in rows]
+        key, place = coded(np.concatenate(asked))
+        n = np.bincount(place, weights=np.concatenate([unpacked(r["n"]) for r in rows]), minlength=len(key)).astype(np.int64)
         ids = np.empty(len(key), dtype=np.int64)
         ids[np.lexsort((key, -n))] = np.arange(len(key)) * buckets + rows[0]["bucket"] + 1
-        upto, told, out = np.r_[0, np.cumsum([r["n_grams"] for r in rows])], (n >= 1)[place], []
+        ids[n == 0] = 0  # without a number, what a word follows is never looked up
+        upto, out = np.r_[0, np.cumsum([len(x) for x in asked])], []
         for i, r in enumerate(rows):
-            m = np.flatnonzero(told[upto[i] : upto[i + 1]]) + upto[i]
-            out.append((r["block"], 0, b"", b"", b"", b"", len(m), stepped(asked[m]), packed(n[place[m]]), packed(ids[place[m]].astype(np.uint32)), []))
-        out[0] = (*out[0][:-1], [{"context": 0, "size": int(n.sum()), "twice": 0, "gain": 0.0, "kinds": int((n > 0).sum()), "stays": 0}])
-        return answer_rows(out)
+            at = place[upto[i] : upto[i + 1]]
+            out.append({"block": r["block"], "bucket": r["bucket"], "n": packed(n[at]), "ids": packed(ids[at]), "part": []})
+        out[0]["part"] = [{"context": 0, "size": int(n.sum()), "twice": 0, "gain": 0.0, "kinds": int((n > 0).sum()), "stays": 0}]
+        return pa.Table.from_pylist(out, schema=fields(TOLD))
 
     return run
 
 
-def answered(bits_needed: float) -> Callable[[pa.Table], pa.Table]:
-    """What a bucket does with contexts: adds up, judges, and answers each row."""
+def answered(bits_needed: float, depth: int) -> Callable[[pa.Table], pa.Table]:
+    """What a bucket does with contexts: adds up, judges, and answers each row, in the order of what it asks."""
 
     def run(bucket: pa.Table) -> pa.Table:
         rows = bucket.to_pylist()
-        n_contexts, n_grams = [r["n_contexts"] for r in rows], [r["n_grams"] for r in rows]
-        column = lambda name, sizes, kind: np.concatenate([unpacked(r[name], x, kind) for r, x in zip(rows, sizes, strict=True)])
-        every = np.concatenate([unstepped(r["contexts"], x) for r, x in zip(rows, n_contexts, strict=True)])
+        column = lambda name, kind=np.int64: [unpacked(r[name], kind) for r in rows]
+        kinds, forks, grams = column("kinds"), np.concatenate(column("forks")), column("grams", U64)
+        n_contexts, n_grams = [len(x) for x in kinds], [len(x) for x in grams]
+        kinds = np.concatenate(kinds)
+        fronts = unstepped(np.concatenate(column("fronts", U64)), forks)
+        every = fronts if depth == 1 else extended(np.repeat(np.concatenate(column("above", U64)), forks), fronts)
         key, back = coded(every)
-        size = np.bincount(back, weights=column("size", n_contexts, np.int64), minlength=len(key)).astype(np.int64)
+        size = np.bincount(back, weights=np.concatenate(column("size")), minlength=len(key)).astype(np.int64)
         dealt = np.zeros(len(key), dtype=bool)
         dealt[back[np.repeat([r["hot"] for r in rows], n_contexts)]] = True
-        at = np.repeat(np.arange(len(every)), column("kinds", n_contexts, np.uint32))  # the context asked with each follower
-        ids = column("grams", n_grams, np.uint32)
-        g, place = coded(gram(every[at], ids.astype(U64)))
-        n = np.bincount(place, weights=column("n", n_grams, np.int64), minlength=len(g)).astype(np.int64)
-        of, weight = np.empty(len(g), np.int64), np.empty(len(g), np.int64)
-        of[place], weight[place] = back[at], column("bits", n_grams, np.uint16)
+        ids = unstepped(np.concatenate(grams), kinds)
+        begin, upto = np.r_[0, np.cumsum(n_contexts)], np.r_[0, np.cumsum(n_grams)]
+        bits = column("bits")
+        if depth == 1:  # by follower
+            bits = [np.cumsum(unfolded(b))[coded(ids[upto[i] : upto[i + 1]])[1]] for i, b in enumerate(bits)]
+        at = np.repeat(back, kinds)
+        g, place = coded((at.astype(U64) << U64(32)) | ids)
+        n = np.bincount(place, weights=np.concatenate(column("n")), minlength=len(g)).astype(np.int64)
+        of, weight = (g >> U64(32)).astype(np.int64), np.empty(len(g), np.int64)
+        weight[place] = np.concatenate(bits)
         two = n >= 2
         twice = np.bincount(of[two], weights=n[two], minlength=len(key)).astype(np.int64)
         gain = np.bincount(of[two], weights=n[two] * (np.log2(n[two]) + weight[two] / STEPS), minlength=len(key))
@@ -394,20 +475,15 @@ def answered(bits_needed: float) -> Callable[[pa.Table], pa.Table]:
         p = (n[whole] + (size - twice + PRIOR)[of[whole]] * 2.0 ** (-weight[whole] / STEPS)) / (size + PRIOR)[of[whole]]
         left = np.bincount(of[whole], weights=-n[whole] * np.log2(np.minimum(p, 1)), minlength=len(key))
         more = left >= bits_needed - 1 - size / STEPS  # with room for rounding
-        told = two[place]
-        kinds = np.bincount(at[told], minlength=len(every)).astype(np.uint32)
-        listed = stays[back] | (kinds > 0)
-        sizes, once, times = np.where(stays, 2 * size + more, 0)[back], (size - twice)[back], n[place]
-        begin, upto = np.r_[0, np.cumsum(n_contexts)], np.r_[0, np.cumsum(n_grams)]
+        sizes, once, times = np.where(stays, 2 * size + more, 0)[back], (size - twice)[back], np.where(two, n, 0)[place]
         out = []
         for i, r in enumerate(rows):
-            c = np.flatnonzero(listed[begin[i] : begin[i + 1]]) + begin[i]
-            m = np.flatnonzero(told[upto[i] : upto[i + 1]]) + upto[i]
-            out.append((r["block"], len(c), stepped(every[c]), packed(sizes[c]), packed(once[c]), packed(kinds[c]), len(m), b"", packed(times[m]), packed(ids[m]), []))
+            c = slice(begin[i], begin[i + 1])
+            out.append({"block": r["block"], "bucket": r["bucket"], "hot": r["hot"], "size": packed(sizes[c]), "once": packed(once[c][sizes[c] > 0]), "n": packed(times[upto[i] : upto[i + 1]]), "part": []})
         part = [{"context": int(key[i].view(np.int64)), "size": int(size[i]), "twice": int(twice[i]), "gain": float(gain[i]), "kinds": 0, "stays": 0} for i in np.flatnonzero(dealt)]
         part.append({"context": None, "size": 0, "twice": 0, "gain": 0.0, "kinds": 0, "stays": int(stays.sum())})
-        out[0] = (*out[0][:-1], part)
-        return answer_rows(out)
+        out[0]["part"] = part
+        return pa.Table.from_pylist(out, schema=fields(TOLD))
 
     return run
 
@@ -417,10 +493,13 @@ class Level:
     """Where the answers for contexts of one length are, and the contexts that were dealt out and stay."""
 
     path: str
+    buckets: int
+    #: A context that occurs more often was dealt out.
+    much: int
     hot: tuple[np.ndarray, np.ndarray, np.ndarray]
 
-    def of(self, block: int) -> Answers:
-        return Answers.joined(shelved(self.path, block, ["n_contexts", "contexts", "size", "once", "kinds", "n_grams", "grams", "n", "ids"]), self.hot)
+    def rows(self, block: int) -> list[dict]:
+        return shelved(self.path, block, ["bucket", "hot", "size", "once", "n", "ids"])
 
 
 def shelf(block: int | Column) -> int | Column:
@@ -454,8 +533,8 @@ def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[pa.
         yield block, held
 
 
-def placed(docs: DataFrame) -> DataFrame:
-    """doc_id, row (of its file), text, learn and block; a row's block is the same whenever the table is read, and blocks stand in order."""
+def placed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """doc_id, row (of its file), text, learn and block, blocks in order; and buckets for the words."""
     narrow = [F.col("doc_id").cast("bigint").alias("doc_id"), "text", learned(F.col("doc_id")).alias("learn")]
     where = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row")]
     try:
@@ -464,86 +543,121 @@ def placed(docs: DataFrame) -> DataFrame:
         docs = written(docs.select("doc_id", "text"), "lm-texts").select(*narrow, *where)
     rows, size = docs.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
     each = max(1, int(BLOCK_BYTES * rows // max(1, size or 0)))
-    return docs.select("doc_id", "row", "text", "learn", F.xxhash64("file", F.floor(F.col("row") / each)).alias("block"))
+    return docs.select("doc_id", "row", "text", "learn", F.xxhash64("file", F.floor(F.col("row") / each)).alias("block")), max(64, int(size or 0) // WORD_BYTES)
+
+
+@contextmanager
+def few_rows(spark: SparkSession) -> Iterator[None]:
+    """Rows that hold whole blocks go to Python a few at a time."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, BLOCK_ROWS)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
 
+def told(asked: DataFrame, path: str, answer: Callable[[pa.Table], pa.Table]) -> pa.Table:
+    """Writes what buckets answer; what they add up of contexts that are dealt out."""
+    shelve(asked.groupBy("bucket").applyInArrow(answer, TOLD), path)
+    parts = asked.sparkSession.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
+    return parts.agg(*[F.sum(f"p.{x}").alias(x) for x in ("size", "twice", "gain", "kinds", "stays")]).toArrow()  # HOT rows at most
 
-def aligned(ask: Callable) -> Callable:
-    """Questions and places as rows of one schema."""
-    names = [*NAMES, "n_at", "row", "at", "p", "ids", "most"]
-    kinds = dict(zip(NAMES, QUESTION, strict=True)) | {"n_at": pa.int64()} | dict.fromkeys(("row", "at", "p", "ids", "most"), pa.binary())
+
+def pieces_of(blocks: DataFrame, buckets: int) -> tuple[DataFrame, Level, dict]:
+    """The texts as tokens, the answers for them, and tokens and kinds of the training texts."""
+    spark, path, level = blocks.sparkSession, fresh_path(blocks.sparkSession, "lm-pieces"), fresh_path(blocks.sparkSession, "lm-level-0")
+    schema = merged(ASKED, PIECES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in ask(batches):
-            have = set(batch.schema.names)
-            yield pa.RecordBatch.from_arrays([batch.column(x) if x in have else pa.nulls(batch.num_rows, kinds[x]) for x in names], names)
+        for block, parts in blocks_of(batches):
+            piece, asked = read(block, buckets, parts)
+            yield batch_of([piece, *asked], schema)
+
+    made = blocks.select("doc_id", "block", "row", "text", "learn").mapInArrow(run, schema)
+    made.withColumn("asks", F.col("bucket").isNotNull().cast("int")).write.partitionBy("asks").parquet(path)
+    parts = told(spark.read.schema(schema).parquet(f"{path}/asks=1").select(*NAMES), level, numbered(buckets)) if rows_at(spark, f"{path}/asks=1") else None
+    if parts is None:
+        return spark.createDataFrame([], PIECES), Level(level, buckets, 0, ()), {"tokens": 0, "kinds": 0}
+    removed(spark, f"{path}/asks=1")
+    dropped(spark)
+    facts = {x: int(pc.sum(parts.column(y)).as_py() or 0) for x, y in (("tokens", "size"), ("kinds", "kinds"))}
+    return spark.read.schema(PIECES).parquet(f"{path}/asks=0"), Level(level, buckets, 0, ()), facts
 
-    return run
 
+def rows_at(spark: SparkSession, path: str) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
 
-def grown(blocks: DataFrame, bits: float = BITS, most_levels: int | None = None) -> tuple[list[Level], dict]:
-    """The answers of all lengths, the empty context first, and tokens, kinds and ends of the training texts."""
-    spark = blocks.sparkSession
+
+def grown(pieces: DataFrame, first: Level, facts: dict, bits: float = BITS) -> list[str]:
+    """Folders of PLACES, of one length of contexts after the other, with the sums of places that the tree does not go on from."""
+    spark, floor = pieces.sparkSession, facts["tokens"] + 0.5 * (facts["kinds"] + 1)
+    buckets, much = max(64, facts["tokens"] // BUCKET_TOKENS), max(LEAST_HOT, facts["tokens"] // HOT)
     levels: list[Level] = []
-    facts = {"tokens": 0, "kinds": 0}
-    buckets, places = 64, None
-    while most_levels is None or len(levels) <= most_levels:
-        known, floor, hot_size, count = list(levels), facts["tokens"] + 0.5 * (facts["kinds"] + 1), max(LEAST_HOT, facts["tokens"] // HOT), buckets
-
-        kept = fresh_path(spark, f"lm-places-{len(levels)}") if len(levels) > ANEW else None
-
-        def ask(batches: Iterator[pa.RecordBatch], known: list[Level] = known, before: str | None = places, keep: bool = kept is not None) -> Iterator[pa.RecordBatch]:
-            for block, parts in blocks_of(batches):
-                if not known:
-                    yield Block(parts).counted(block, count)
-                    continue
-                if before:
-                    rows = [r for r in shelved(before, block, ["n_at", "row", "at", "p", "n", "ids", "most"]) if r["n_at"]]
-                    if not rows:
+    folders: list[str] = []
+    schema = merged(ASKED, PLACES)
+    stays = facts["tokens"]
+    while True:
+        depth, known, last = len(levels) + 1, list(levels), not stays
+        before, keep = folders[-1] if folders else None, last or len(levels) >= ANEW
+        if last and before:
+            break
+
+        def ask(batches: Iterator[pa.RecordBatch], known: list[Level] = known, depth: int = depth, before: str | None = before, keep: bool = keep, last: bool = last) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i in range(batch.num_rows):
+                    piece, kept = batch.slice(i, 1).to_pylist()[0], []
+                    if before and not (kept := [r for r in shelved(before, piece["block"], [x.split()[0] for x in PLACES.split(", ")]) if r["n_at"]]):
                         continue
-                    own = Block(parts)
-                    own.resume(len(known) - 1, *(np.concatenate([unpacked(r[c], r["n_at"], t) for r in rows]) for c, t in (("row", np.int64), ("at", np.uint32), ("p", np.float64), ("n", np.int64), ("ids", np.uint32), ("most", np.int64))))
-                    own.follow(known[-1].of(block))
-                else:
-                    own = Block(parts)
-                    own.walk([level.of(block) for level in known], floor, bits)
-                own.step(len(known), bits)
-                if len(own.at):
-                    yield own.questions(block, count, hot_size)
+                    own = Block(piece, first.rows(piece["block"]), first.buckets)
+                    more = {}
+                    if kept:
+                        own.resume(depth - 1, kept[0])
+                        stood = own.at
+                        own.follow(known[-1])
+                    else:
+                        own.start(floor)
+                        own.walk(known, bits)
+                        stood = np.arange(len(own.tokens))
+                        total = lambda x: np.add.reduceat(x, own.begin[:-1])
+                        more = {"known": packed(total((own.count > 0).astype(np.int64))), "base": packed(total(np.log10(own.base)))}
+                    if last:
+                        yield batch_of([{"block": own.name, "n_at": 0, "sums": packed(own.sums(stood)), **more}], schema)
+                        continue
+                    own.step(depth, bits, much)
+                    if len(own.at):
+                        yield batch_of(own.questions(buckets, depth), schema)
                     if keep:
-                        yield own.state(block)
-
-        path = fresh_path(spark, f"lm-level-{len(levels)}")
-        texts = blocks.select("block", "row", "text", "learn")
-        if kept:
-            asked = texts.mapInArrow(aligned(ask), f"{ASKED}, {PLACES}")
-            shelve(asked, kept)
-            asked = spark.read.schema(f"{ASKED}, {PLACES}").parquet(kept).where("bucket IS NOT NULL").select(*NAMES)
-            places = kept
-        else:
-            asked = texts.mapInArrow(ask, ASKED)
-        told = asked.groupBy("bucket").applyInArrow(answered(bits) if levels else numbered(buckets), TOLD)
-        shelve(told, path)
-        parts = spark.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
-        parts = parts.agg(*[F.sum(f"p.{x}").alias(x) for x in ("size", "twice", "gain", "kinds", "stays")]).toArrow()  # HOT rows at most
-        del told, asked
+                        gone = np.ones(len(own.tokens), dtype=bool)
+                        gone[own.at] = False
+                        yield batch_of([own.state(stood[gone[stood]]) | more], schema)
+
+        path = fresh_path(spark, f"lm-level-{depth}")
+        with few_rows(spark):
+            asked = pieces.mapInArrow(ask, schema)
+            if keep:
+                folders.append(fresh_path(spark, f"lm-places-{depth}"))
+                shelve(asked, folders[-1])
+                if last:
+                    break
+                asked = spark.read.schema(schema).parquet(folders[-1]).where("bucket IS NOT NULL")
+            parts = told(asked.select(*NAMES), path, answered(bits, depth))
+        del asked
+        dropped(spark)
         stays = pc.sum(parts.column("stays")).as_py() or 0
         parts = parts.filter(pc.is_valid(parts.column("context")))
         context, size, twice, gain = (parts.column(x).to_numpy() for x in ("context", "size", "twice", "gain"))
-        if not levels:
-            facts = {"tokens": int(size.sum()), "kinds": int(pc.sum(parts.column("kinds")).as_py() or 0)}
-            buckets = max(buckets, facts["tokens"] // BUCKET_TOKENS)
-            levels.append(Level(path, (np.empty(0, U64), np.empty(0, np.int64), np.empty(0, np.int64))))
-        else:
-            good = gains(size, twice, gain) >= bits
-            order = np.argsort(context.view(U64)[good])
-            levels.append(Level(path, tuple(x[good][order] for x in (context.view(U64), size, size - twice))))
-            stays += int(good.sum())
-            if not stays:
-                break
-        dropped(spark)
-        if not facts["tokens"]:
-            break
-    return levels, facts
+        good = gains(size, twice, gain) >= bits
+        levels.append(Level(path, buckets, much, tuple(x[good] for x in (context.view(U64), size, size - twice))))
+        stays += int(good.sum())
+    return folders
 
 
 SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, score double"
@@ -551,18 +665,20 @@ SCORED = "doc_id bigint, n_tokens bigint, n_known bigint, base_score double, sco
 
 def scored(docs: DataFrame, bits: float = BITS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row of (doc_id, text)."""
-    blocks = placed(docs)
-    levels, facts = grown(blocks, bits)
-    floor = facts["tokens"] + 0.5 * (facts["kinds"] + 1)
+    blocks, buckets = placed(docs)
+    pieces, first, facts = pieces_of(blocks, buckets)
+    folders = grown(pieces, first, facts, bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, parts in blocks_of(batches):
-            own = Block(parts)
-            own.walk([level.of(block) for level in levels], floor, bits)
-            total = lambda x: np.add.reduceat(x, own.begin[:-1])
-            ids = pa.chunked_array([p.column("doc_id") for p in parts]).combine_chunks()
-            yield pa.RecordBatch.from_arrays([ids, pa.array(own.counts, pa.int64()), pa.array(total((own.count > 0).astype(np.int64))), pa.array(total(np.log10(own.base))), pa.array(total(np.log10(own.p)))], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    result = blocks.select("doc_id", "block", "row", "text", "learn").mapInArrow(run, SCORED)
+        for batch in batches:
+            for piece in batch.to_pylist():
+                kept = [r for x in folders for r in shelved(x, piece["block"], ["sums", "rest", "n_at", "known", "base"]) if r["sums"]]
+                score = np.sum([unpacked(r["sums"], np.float64) for r in kept], axis=0)
+                if kept[-1]["n_at"]:
+                    score += unpacked(kept[-1]["rest"], np.float64)
+                ids = pa.array(np.frombuffer(piece["doc_id"], np.int64), mask=unpacked(piece["no_id"]).astype(bool))
+                yield pa.RecordBatch.from_arrays([ids, pa.array(unpacked(piece["counts"])), pa.array(unpacked(kept[0]["known"])), pa.array(unpacked(kept[0]["base"], np.float64)), pa.array(score)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    result = pieces.select("block", "doc_id", "no_id", "counts").mapInArrow(run, SCORED)
     held_out = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1, F.lit(False))
     return result.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(facts["tokens"]).cast("bigint").alias("train_tokens"), "base_score", "score")
