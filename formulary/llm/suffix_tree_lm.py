@@ -58,7 +58,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formulary.llm import words
-from formulary.llm.storage import dropped, fresh_path, opened_folder, written
+from formulary.llm.storage import dropped, fresh_path, lean, opened_folder, written
 
 U64 = np.uint64
 #: Bits that a context must save to stay.
@@ -73,13 +73,13 @@ BLOCK_BYTES = 8 << 20
 #: Folders of answers.
 SHELVES = 2048
 #: Contexts of up to this length are followed anew in each pass; beyond, few places are left, and these are kept.
-ANEW = 2
+ANEW = 3
 #: Tokens of text for each bucket.
 BUCKET_TOKENS = 1 << 20
 #: Bytes of text for each bucket of words.
 WORD_BYTES = 64 << 20
 #: Blocks that are handed to Python at once.
-BLOCK_ROWS = "8"
+BLOCK_ROWS = "4"
 #: A context is dealt out by followers if it has more than one token in so many.
 HOT = 1000
 #: A context of fewer tokens is never dealt out.
@@ -190,7 +190,7 @@ def read(block: int, buckets: int, parts: list[pa.RecordBatch]) -> tuple[dict, l
     key, place = coded(np.concatenate(tokens))
     n = np.bincount(place, weights=np.repeat(learn, count), minlength=len(key)).astype(np.int64)
     bucket = (words.mix(key) % U64(buckets)).astype(np.int64)
-    order = np.argsort((bucket << 32) - np.bincount(place))
+    order = np.lexsort((-np.bincount(place), bucket))  # of equal frequency, in order of their hashes
     size = np.bincount(bucket, minlength=buckets)
     code = np.empty(len(key), dtype=np.int64)
     code[order] = ranges(np.zeros(buckets, np.int64), size) * buckets + bucket[order]
@@ -199,7 +199,7 @@ def read(block: int, buckets: int, parts: list[pa.RecordBatch]) -> tuple[dict, l
     name = int(words.mix(np.array([block], np.int64).view(U64) + U64(int(parts[0].column("row")[0].as_py())))[0].view(np.int64))
     piece = {"block": name, "rows": len(count), "doc_id": pc.fill_null(ids, 0).to_numpy().astype(np.int64).tobytes(), "no_id": packed(ids.is_null().to_numpy().astype(np.uint8)), "counts": packed(count), "learn": packed(learn.astype(np.uint8)), "tokens": packed(code[place])}
     upto = np.r_[0, np.cumsum(size)]
-    asked = [{"bucket": b, "block": name, "hot": False, "above": packed(key[order[x:y]]), "n": packed(n[order[x:y]])} for b, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)) if y > x]
+    asked = [{"bucket": b, "block": name, "hot": False, "above": packed(np.diff(key[order[x:y]], prepend=U64(0))), "n": packed(n[order[x:y]])} for b, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)) if y > x]
     return piece, asked
 
 
@@ -231,7 +231,7 @@ class Block:
         """Tokens that stand before each one, with the end before its text."""
         return np.arange(1, len(self.tokens) + 1) - self.begin[self.row]
 
-    def start(self, floor: float) -> None:
+    def start(self, floor: float, buckets: int) -> None:
         """Counts and probabilities of the empty context; ``at`` are the places that the tree goes on from."""
         self.bits = np.clip(np.rint(-STEPS * np.log2((self.times + 0.5) / floor)), 0, 65535).astype(np.int64)
         self.base = (self.count + 0.5) / floor
@@ -239,6 +239,8 @@ class Block:
         self.at, self.n, self.room = np.arange(len(self.tokens)), self.count, np.full(len(self.tokens), floor)
         #: Of each place, the context it stands behind, among ``codes``.
         self.inner, self.codes = np.zeros(len(self.tokens), np.int64), np.zeros(1, U64)
+        #: Over how many buckets the contexts are spread that have one of ``codes`` as the shorter one.
+        self.spread = np.array([buckets])
         #: Of each place, how often its token follows the context asked for last, if twice at least; -1 where none was.
         self.follows = self.count
         #: Of what ends behind each token held, as long as the contexts to ask for next, at most how many there are.
@@ -247,7 +249,7 @@ class Block:
 
     def step(self, depth: int, bits: float, hot: int) -> None:
         """On to the contexts with one more token in front, where there is one, and where it can occur often enough to stay."""
-        on = self.history[self.at] >= depth
+        on = self.history[self.at] >= depth if depth > 1 else slice(None)
         at = self.at[on]
         # How often the last token follows what stands before it in the context, where that was asked for.
         prior = self.follows[at - 1] if depth > 1 else self.cap[at]
@@ -257,9 +259,16 @@ class Block:
 
     def ask(self, depth: int, much: np.ndarray) -> None:
         """The different contexts of ``at``, by the shorter context and the token in front, and what follows them."""
-        self.above, self.much = self.codes, much
+        self.above, self.wide, self.much = self.codes, self.spread, much
         self.parent = self.inner
-        key, self.inner = coded((self.inner << 32) | self.held[self.at + 1 - depth])
+        front = self.held[self.at + 1 - depth]
+        if depth == 1:
+            key = np.flatnonzero(np.bincount(front, minlength=len(self.ids)))
+            spot = np.zeros(len(self.ids), dtype=np.int64)
+            spot[key] = np.arange(len(key))
+            self.inner = spot[front]
+        else:
+            key, self.inner = coded((self.inner << 32) | front)
         self.owner, self.front = key >> 32, key & 0xFFFFFFFF
         front = self.ids[self.front]
         self.codes = front if depth == 1 else extended(self.above[self.owner], front)
@@ -268,13 +277,18 @@ class Block:
         self.some = np.flatnonzero(self.n >= 2)
         self.pair, self.back = coded((self.inner[self.some] << 32) | self.tokens[self.at[self.some]])
 
+    def homes(self, buckets: int) -> np.ndarray:
+        """The bucket of each context; those with one shorter context are together, but for a frequent one's."""
+        above = (words.mix(self.above ^ U64(0x51)) % U64(buckets)).astype(np.int64)[self.owner]
+        return (above + (words.mix(self.ids[self.front]) % self.wide[self.owner].astype(U64)).astype(np.int64)) % buckets
+
     def lay(self, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """How contexts and followers are dealt to buckets: the bucket, context and number of followers of each item, and the followers in order.
 
         A context goes to a bucket with all of its followers. One that is dealt out goes with
         each of its followers to the follower's bucket, and with its size to its own.
         """
-        home = 2 * (words.mix(self.codes ^ U64(0x51)) % U64(buckets)).astype(np.int64)
+        home = 2 * self.homes(buckets)
         of, dealt = self.pair >> 32, np.flatnonzero(self.dealt)
         n = np.bincount(of, minlength=len(home))
         upto = np.cumsum(n)
@@ -297,7 +311,7 @@ class Block:
         group, context, kinds, order = self.lay(buckets)
         learn = self.learn[self.at]
         size = np.bincount(self.inner, weights=learn, minlength=len(self.codes)).astype(np.int64)[context]
-        home = 2 * (words.mix(self.codes ^ U64(0x51)) % U64(buckets)).astype(np.int64) + self.dealt
+        home = 2 * self.homes(buckets) + self.dealt
         size[group != home[context]] = 0
         n = np.bincount(self.back, weights=learn[self.some], minlength=len(self.pair)).astype(np.int64)[order]
         follower = (self.pair & 0xFFFFFFFF)[order]
@@ -305,6 +319,9 @@ class Block:
             p = np.empty(len(self.pair))
             p[self.back] = self.p[self.at[self.some]]
             bits = np.clip(np.rint(-STEPS * np.log2(p)), 0, 65535).astype(np.int64)[order]
+        else:
+            bits = self.bits[follower]
+        behind = (self.owner[self.pair >> 32][order] << 32) | follower
         anew = np.ones(len(group), dtype=bool)
         anew[1:] = group[1:] != group[:-1]
         fork = anew.copy()
@@ -319,8 +336,12 @@ class Block:
         for i in range(len(a) - 1):
             items, up, down = slice(a[i], a[i + 1]), slice(f[i], f[i + 1]), slice(g[i], g[i + 1])
             key = int(group[a[i]])
-            # Behind the empty context, followers have the same probability wherever they stand.
-            told = bits[down] if depth > 1 else folded(np.diff(self.bits[np.flatnonzero(np.bincount(follower[down]))], prepend=0))
+            # Followers have one probability behind the shorter context, however many contexts have it.
+            different, place = coded(behind[down])
+            told = np.empty(len(different), dtype=np.int64)
+            told[place] = bits[down]
+            if depth == 1:  # in order of frequency
+                told = folded(np.diff(told, prepend=0))
             rows.append({"bucket": key >> 1, "block": self.name, "hot": bool(key & 1), "above": packed(above[up]), "forks": packed(width[up]), "fronts": packed(fronts[items]), "size": packed(size[items]), "kinds": packed(kinds[items]), "grams": packed(grams[down]), "n": packed(n[down]), "bits": packed(told)})
         return rows
 
@@ -348,6 +369,7 @@ class Block:
         self.cap[self.at + 1] = times
         on = size[self.inner] > 0
         self.at, self.inner, self.n = self.at[on], self.inner[on], times[on]
+        self.spread = np.minimum(1 + (size >> 1) // level.each, level.buckets)
         self.room = (size >> 1)[self.inner] + PRIOR
         self.p[self.at] = (self.n + (once[self.inner] + PRIOR) * self.p[self.at]) / self.room
         more = (size & 1)[self.inner] > 0
@@ -366,7 +388,7 @@ class Block:
         """What resume() needs, and the sums of the places ``left``, which the tree does not go on from."""
         most = np.minimum(self.cap[self.at], self.cap[self.at - 1])
         used, parent = coded(self.parent)
-        kept = {"at": packed(stepped(self.at, np.arange(len(self.at)) == 0)), "p": packed(self.p[self.at]), "n": packed(self.n), "parent": packed(parent), "above": packed(self.above[used]), "most": packed(most), "much": packed(self.much.astype(np.uint8))}
+        kept = {"at": packed(stepped(self.at, np.arange(len(self.at)) == 0)), "p": packed(self.p[self.at]), "n": packed(self.n), "parent": packed(parent), "above": packed(self.above[used]), "wide": packed(self.wide[used]), "most": packed(most), "much": packed(self.much.astype(np.uint8))}
         return {"block": self.name, "n_at": len(self.at), "sums": packed(self.sums(left)), "rest": packed(self.sums(self.at)), **kept}
 
     def resume(self, depth: int, kept: dict) -> None:
@@ -377,14 +399,14 @@ class Block:
         self.p[self.at] = unpacked(kept["p"], np.float64)
         self.then = np.full(len(self.held), np.iinfo(np.int64).max)
         self.then[self.at] = unpacked(kept["most"])
-        self.inner, self.codes = unpacked(kept["parent"]), unpacked(kept["above"], U64)
+        self.inner, self.codes, self.spread = unpacked(kept["parent"]), unpacked(kept["above"], U64), unpacked(kept["wide"])
         self.ask(depth, much)
 
 
 ASKED = "bucket bigint, block bigint, hot boolean, above binary, forks binary, fronts binary, size binary, kinds binary, grams binary, n binary, bits binary"
 NAMES = [x.split()[0] for x in ASKED.split(", ")]
 PIECES = "block bigint, rows bigint, doc_id binary, no_id binary, counts binary, learn binary, tokens binary"
-PLACES = "block bigint, n_at bigint, sums binary, rest binary, at binary, p binary, n binary, parent binary, above binary, most binary, much binary, known binary, base binary"
+PLACES = "block bigint, n_at bigint, sums binary, rest binary, at binary, p binary, n binary, parent binary, above binary, wide binary, most binary, much binary, known binary, base binary"
 PART = "array<struct<context: bigint, size: bigint, twice: bigint, gain: double, kinds: bigint, stays: bigint>>"
 TOLD = f"block bigint, bucket bigint, hot boolean, size binary, once binary, n binary, ids binary, part {PART}"
 PARTS = pa.list_(pa.struct([("context", pa.int64()), ("size", pa.int64()), ("twice", pa.int64()), ("gain", pa.float64()), ("kinds", pa.int64()), ("stays", pa.int64())]))
@@ -426,7 +448,7 @@ def numbered(buckets: int) -> Callable[[pa.Table], pa.Table]:
 
     def run(bucket: pa.Table) -> pa.Table:
         rows = bucket.select(["block", "bucket", "above", "n"]).to_pylist()
-        asked = [unpacked(r["above"], U64) for r in rows]
+        asked = [np.cumsum(unpacked(r["above"], U64), dtype=U64) for r in rows]
         key, place = coded(np.concatenate(asked))
         n = np.bincount(place, weights=np.concatenate([unpacked(r["n"]) for r in rows]), minlength=len(key)).astype(np.int64)
         ids = np.empty(len(key), dtype=np.int64)
@@ -460,8 +482,10 @@ def answered(bits_needed: float, depth: int) -> Callable[[pa.Table], pa.Table]:
         ids = unstepped(np.concatenate(grams), kinds)
         begin, upto = np.r_[0, np.cumsum(n_contexts)], np.r_[0, np.cumsum(n_grams)]
         bits = column("bits")
-        if depth == 1:  # by follower
-            bits = [np.cumsum(unfolded(b))[coded(ids[upto[i] : upto[i + 1]])[1]] for i, b in enumerate(bits)]
+        if depth == 1:
+            bits = [np.cumsum(unfolded(b)) for b in bits]
+        behind = (np.repeat(np.repeat(np.arange(len(forks)), forks), kinds).astype(U64) << U64(32)) | ids
+        bits = [b[coded(behind[upto[i] : upto[i + 1]])[1]] for i, b in enumerate(bits)]
         at = np.repeat(back, kinds)
         g, place = coded((at.astype(U64) << U64(32)) | ids)
         n = np.bincount(place, weights=np.concatenate(column("n")), minlength=len(g)).astype(np.int64)
@@ -496,6 +520,8 @@ class Level:
     buckets: int
     #: A context that occurs more often was dealt out.
     much: int
+    #: Contexts one longer are spread over one bucket more for each so many times that it occurs.
+    each: int
     hot: tuple[np.ndarray, np.ndarray, np.ndarray]
 
     def rows(self, block: int) -> list[dict]:
@@ -580,15 +606,15 @@ def pieces_of(blocks: DataFrame, buckets: int) -> tuple[DataFrame, Level, dict]:
             piece, asked = read(block, buckets, parts)
             yield batch_of([piece, *asked], schema)
 
-    made = blocks.select("doc_id", "block", "row", "text", "learn").mapInArrow(run, schema)
+    made = blocks.select("doc_id", "block", "row", "text", "learn").mapInArrow(lean(run), schema)
     made.withColumn("asks", F.col("bucket").isNotNull().cast("int")).write.partitionBy("asks").parquet(path)
     parts = told(spark.read.schema(schema).parquet(f"{path}/asks=1").select(*NAMES), level, numbered(buckets)) if rows_at(spark, f"{path}/asks=1") else None
     if parts is None:
-        return spark.createDataFrame([], PIECES), Level(level, buckets, 0, ()), {"tokens": 0, "kinds": 0}
+        return spark.createDataFrame([], PIECES), Level(level, buckets, 0, 1, ()), {"tokens": 0, "kinds": 0}
     removed(spark, f"{path}/asks=1")
     dropped(spark)
     facts = {x: int(pc.sum(parts.column(y)).as_py() or 0) for x, y in (("tokens", "size"), ("kinds", "kinds"))}
-    return spark.read.schema(PIECES).parquet(f"{path}/asks=0"), Level(level, buckets, 0, ()), facts
+    return spark.read.schema(PIECES).parquet(f"{path}/asks=0"), Level(level, buckets, 0, 1, ()), facts
 
 
 def rows_at(spark: SparkSession, path: str) -> bool:
@@ -623,7 +649,7 @@ def grown(pieces: DataFrame, first: Level, facts: dict, bits: float = BITS) -> l
                         stood = own.at
                         own.follow(known[-1])
                     else:
-                        own.start(floor)
+                        own.start(floor, buckets)
                         own.walk(known, bits)
                         stood = np.arange(len(own.tokens))
                         total = lambda x: np.add.reduceat(x, own.begin[:-1])
@@ -641,7 +667,7 @@ def grown(pieces: DataFrame, first: Level, facts: dict, bits: float = BITS) -> l
 
         path = fresh_path(spark, f"lm-level-{depth}")
         with few_rows(spark):
-            asked = pieces.mapInArrow(ask, schema)
+            asked = pieces.mapInArrow(lean(ask), schema)
             if keep:
                 folders.append(fresh_path(spark, f"lm-places-{depth}"))
                 shelve(asked, folders[-1])
@@ -655,7 +681,7 @@ def grown(pieces: DataFrame, first: Level, facts: dict, bits: float = BITS) -> l
         parts = parts.filter(pc.is_valid(parts.column("context")))
         context, size, twice, gain = (parts.column(x).to_numpy() for x in ("context", "size", "twice", "gain"))
         good = gains(size, twice, gain) >= bits
-        levels.append(Level(path, buckets, much, tuple(x[good] for x in (context.view(U64), size, size - twice))))
+        levels.append(Level(path, buckets, much, max(1, facts["tokens"] // (4 * buckets)), tuple(x[good] for x in (context.view(U64), size, size - twice))))
         stays += int(good.sum())
     return folders
 
