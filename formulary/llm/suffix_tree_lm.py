@@ -107,14 +107,14 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return held[first], place
 
 
-def packed(x: np.ndarray) -> bytes:
+def packed(x: np.ndarray, level: int = 1) -> bytes:
     """Bytes of numbers by place, compressed; whole numbers of 0 or more in as many bytes as the largest takes."""
     if not len(x):
         return b""
     if x.dtype.kind != "f":
         x = x.astype(next(t for t in (np.uint8, np.uint16, np.uint32, U64) if int(x.max()) <= np.iinfo(t).max))
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T)
-    return bytes([x.itemsize]) + len(x).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+    return bytes([x.itemsize]) + len(x).to_bytes(4, "little") + pa.Codec("zstd", compression_level=level).compress(planes, asbytes=True)
 
 
 def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
@@ -126,6 +126,22 @@ def unpacked(data: bytes, kind: type = np.int64) -> np.ndarray:
     return x.view(kind) if np.dtype(kind).kind == "f" else x.view(f"u{width}").astype(kind)
 
 
+def sparse(x: np.ndarray) -> bytes:
+    """Numbers of which many are 0: how many there are, which are more, and these."""
+    some = x > 0
+    flags = pa.compress(np.packbits(some), codec="zstd", asbytes=True)
+    return len(x).to_bytes(4, "little") + len(flags).to_bytes(4, "little") + flags + packed(x[some])
+
+
+def unsparse(data: bytes) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), int.from_bytes(data[4:8], "little")
+    out = np.zeros(n, dtype=np.int64)
+    if n:
+        flags = np.frombuffer(pa.decompress(memoryview(data)[8 : 8 + size], (n + 7) // 8, codec="zstd"), dtype=np.uint8)
+        out[np.unpackbits(flags, count=n).astype(bool)] = unpacked(data[8 + size :])
+    return out
+
+
 def stepped(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Steps between numbers that rise within runs; a run starts anew."""
     steps = x.copy()
@@ -197,7 +213,7 @@ def read(block: int, buckets: int, parts: list[pa.RecordBatch]) -> tuple[dict, l
     ids = pa.chunked_array([p.column("doc_id") for p in parts])
     # The same rows, read again, may be dealt to tasks in other pieces.
     name = int(words.mix(np.array([block], np.int64).view(U64) + U64(int(parts[0].column("row")[0].as_py())))[0].view(np.int64))
-    piece = {"block": name, "rows": len(count), "doc_id": pc.fill_null(ids, 0).to_numpy().astype(np.int64).tobytes(), "no_id": packed(ids.is_null().to_numpy().astype(np.uint8)), "counts": packed(count), "learn": packed(learn.astype(np.uint8)), "tokens": packed(code[place])}
+    piece = {"block": name, "rows": len(count), "doc_id": pc.fill_null(ids, 0).to_numpy().astype(np.int64).tobytes(), "no_id": packed(ids.is_null().to_numpy().astype(np.uint8)), "counts": packed(count), "learn": packed(learn.astype(np.uint8)), "tokens": packed(code[place], 9)}
     upto = np.r_[0, np.cumsum(size)]
     asked = [{"bucket": b, "block": name, "hot": False, "above": packed(np.diff(key[order[x:y]], prepend=U64(0))), "n": packed(n[order[x:y]])} for b, (x, y) in enumerate(zip(upto[:-1].tolist(), upto[1:].tolist(), strict=True)) if y > x]
     return piece, asked
@@ -315,6 +331,8 @@ class Block:
         size[group != home[context]] = 0
         n = np.bincount(self.back, weights=learn[self.some], minlength=len(self.pair)).astype(np.int64)[order]
         follower = (self.pair & 0xFFFFFFFF)[order]
+        item = np.repeat(np.arange(len(group)), kinds)
+        size -= np.where(self.dealt[context], 0, np.bincount(item, weights=n, minlength=len(group)).astype(np.int64))  # what is told by the followers
         if depth > 1:
             p = np.empty(len(self.pair))
             p[self.back] = self.p[self.at[self.some]]
@@ -349,13 +367,13 @@ class Block:
         """What is told of the contexts asked for: how often tokens follow them, and which of them stay, with ``p`` in these."""
         group, context, kinds, order = self.lay(level.buckets)
         rows = sorted(level.rows(self.name), key=lambda r: (r["bucket"], r["hot"]))
-        join = lambda name: np.concatenate([np.empty(0, np.int64), *(unpacked(r[name]) for r in rows)])
-        told, n = join("size"), join("n")
+        join = lambda name, opened: np.concatenate([np.empty(0, np.int64), *(opened(r[name]) for r in rows)])
+        told, n = join("size", unsparse), join("n", unsparse)
         if len(told) != len(context) or len(n) != len(order):
             raise RuntimeError("answers are not to the questions of this block")
         size, once, pair = np.zeros(len(self.codes), np.int64), np.zeros(len(self.codes), np.int64), np.zeros(len(self.pair), np.int64)
         stays = told > 0  # twice the size, and one more if longer contexts may stay
-        size[context[stays]], once[context[stays]], pair[order] = told[stays], join("once"), n
+        size[context[stays]], once[context[stays]], pair[order] = told[stays], join("once", unpacked), n
         if len(level.hot[0]) and self.dealt.any():
             dealt = np.flatnonzero(self.dealt)
             has, spot = found(level.hot[0], self.codes[dealt])
@@ -476,7 +494,6 @@ def answered(bits_needed: float, depth: int) -> Callable[[pa.Table], pa.Table]:
         fronts = unstepped(np.concatenate(column("fronts", U64)), forks)
         every = fronts if depth == 1 else extended(np.repeat(np.concatenate(column("above", U64)), forks), fronts)
         key, back = coded(every)
-        size = np.bincount(back, weights=np.concatenate(column("size")), minlength=len(key)).astype(np.int64)
         dealt = np.zeros(len(key), dtype=bool)
         dealt[back[np.repeat([r["hot"] for r in rows], n_contexts)]] = True
         ids = unstepped(np.concatenate(grams), kinds)
@@ -486,9 +503,11 @@ def answered(bits_needed: float, depth: int) -> Callable[[pa.Table], pa.Table]:
             bits = [np.cumsum(unfolded(b)) for b in bits]
         behind = (np.repeat(np.repeat(np.arange(len(forks)), forks), kinds).astype(U64) << U64(32)) | ids
         bits = [b[coded(behind[upto[i] : upto[i + 1]])[1]] for i, b in enumerate(bits)]
-        at = np.repeat(back, kinds)
+        at, times = np.repeat(back, kinds), np.concatenate(column("n"))
+        size = np.bincount(back, weights=np.concatenate(column("size")), minlength=len(key)).astype(np.int64)
+        size += np.bincount(at, weights=np.where(dealt[at], 0, times), minlength=len(key)).astype(np.int64)
         g, place = coded((at.astype(U64) << U64(32)) | ids)
-        n = np.bincount(place, weights=np.concatenate(column("n")), minlength=len(g)).astype(np.int64)
+        n = np.bincount(place, weights=times, minlength=len(g)).astype(np.int64)
         of, weight = (g >> U64(32)).astype(np.int64), np.empty(len(g), np.int64)
         weight[place] = np.concatenate(bits)
         two = n >= 2
@@ -503,7 +522,7 @@ def answered(bits_needed: float, depth: int) -> Callable[[pa.Table], pa.Table]:
         out = []
         for i, r in enumerate(rows):
             c = slice(begin[i], begin[i + 1])
-            out.append({"block": r["block"], "bucket": r["bucket"], "hot": r["hot"], "size": packed(sizes[c]), "once": packed(once[c][sizes[c] > 0]), "n": packed(times[upto[i] : upto[i + 1]]), "part": []})
+            out.append({"block": r["block"], "bucket": r["bucket"], "hot": r["hot"], "size": sparse(sizes[c]), "once": packed(once[c][sizes[c] > 0]), "n": sparse(times[upto[i] : upto[i + 1]]), "part": []})
         part = [{"context": int(key[i].view(np.int64)), "size": int(size[i]), "twice": int(twice[i]), "gain": float(gain[i]), "kinds": 0, "stays": 0} for i in np.flatnonzero(dealt)]
         part.append({"context": None, "size": 0, "twice": 0, "gain": 0.0, "kinds": 0, "stays": int(stays.sum())})
         out[0]["part"] = part
@@ -591,8 +610,13 @@ def removed(spark: SparkSession, path: str) -> None:
 
 def told(asked: DataFrame, path: str, answer: Callable[[pa.Table], pa.Table]) -> pa.Table:
     """Writes what buckets answer; what they add up of contexts that are dealt out."""
-    shelve(asked.groupBy("bucket").applyInArrow(answer, TOLD), path)
-    parts = asked.sparkSession.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
+    spark, plain = asked.sparkSession, f"{path}-plain"
+    asked.groupBy("bucket").applyInArrow(answer, TOLD).write.parquet(plain)
+    dropped(spark)  # the questions, before the answers are shelved
+    dropped(spark)  # only now what the first collection has set free
+    shelve(spark.read.schema(TOLD).parquet(plain), path)
+    removed(spark, plain)
+    parts = spark.read.schema(TOLD).parquet(path).select(F.explode("part").alias("p")).groupBy("p.context")
     return parts.agg(*[F.sum(f"p.{x}").alias(x) for x in ("size", "twice", "gain", "kinds", "stays")]).toArrow()  # HOT rows at most
 
 

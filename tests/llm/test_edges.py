@@ -366,6 +366,25 @@ def test_suffix_tree_asks_only_for_contexts_that_may_stay():
         assert suffix_tree_lm.worth(np.array([size]), np.array([room]), max(gain, 0.1))[0] or gain <= 0
 
 
+def test_suffix_tree_numbers_come_back_from_their_packed_forms():
+    lm = suffix_tree_lm
+    for x in ([], [0], [0, 0, 7, 300, 0, 2**33], [255] * 9):
+        x = np.array(x, dtype=np.int64)
+        assert lm.unpacked(lm.packed(x)).tolist() == lm.unsparse(lm.sparse(x)).tolist() == x.tolist()
+        assert lm.unfolded(lm.folded(x - 5)).tolist() == (x - 5).tolist()
+    assert lm.unpacked(lm.packed(np.array([-0.5, 1e300])), np.float64).tolist() == [-0.5, 1e300]
+    sizes, x = np.array([2, 0, 3, 1]), np.array([5, 9, 1, 2, 7, 3], dtype=np.uint64)
+    assert lm.unstepped(lm.stepped(x, lm.starts(sizes)), sizes).tolist() == x.tolist()
+
+
+def test_suffix_tree_sums_of_a_block_without_finished_places_are_fractions():
+    """Where the tree goes on from every place of a block, the sums are packed as those of other blocks."""
+    own = object.__new__(suffix_tree_lm.Block)
+    own.row, own.p, own.counts = np.array([0, 0, 1]), np.array([0.5, 0.5, 0.1]), np.array([2, 1])
+    for left in (np.empty(0, np.int64), np.arange(3)):
+        assert len(suffix_tree_lm.unpacked(suffix_tree_lm.packed(own.sums(left)), np.float64)) == 2
+
+
 PAGES = [(1, "http://a", "<p>same</p>"), (2, "http://b", "<p>same</p>"), (3, None, None), (4, "http://c", ""), (5, "u\r\nX: y", "é\x00\r\n\r\nWARC/1.1"), (6, "http://d", "<p>" + LONG), (7, "http://e", "<p>same</p>"), (7, "http://e", "<p>same</p>"), (None, "http://f", "<p>same</p>"), (None, "http://g", "alone")]
 
 
